@@ -12,23 +12,23 @@ LIFECYCLE = (("draft", "active"), ("active", "deprecated"), ("deprecated", "arch
 
 
 def audit_trail(audit: DataFrame, entity: str = "entity_id") -> DataFrame:
-    """Each entity's events in order, with the event before. ``audit``: entity, at, audit_id, event_type, actor_id."""
-    order = ["at", "audit_id"]
+    """Each entity's events in order, with the event before. ``audit``: entity, happened_at, audit_id, event_type, actor_id."""
+    order = ["happened_at", "audit_id"]
     numbered = with_row_number(audit, order, [entity], name="event_number")
     return with_previous(numbered, order, {"previous_event": "event_type", "previous_actor": "actor_id"}, [entity])
 
 
 def last_actors(audit: DataFrame, entity: str = "entity_id") -> DataFrame:
     return audit.groupBy(entity).agg(
-        F.count("*").alias("events"), F.max_by("actor_id", F.struct("at", "audit_id")).alias("last_actor"),
-        F.max("at").alias("last_at"),
+        F.count("*").alias("events"), F.max_by("actor_id", F.struct("happened_at", "audit_id")).alias("last_actor"),
+        F.max("happened_at").alias("last_at"),
     )
 
 
 def invalid_transitions(log: DataFrame, entity: str = "asset_id") -> DataFrame:
-    """State changes outside the lifecycle. ``log``: entity, at, event_id, state; repeats of a state count."""
-    steps = with_previous(log, ["at", "event_id"], {"from_state": "state"}, [entity]).where("from_state IS NOT NULL")
+    """State changes outside the lifecycle. ``log``: entity, happened_at, event_id, state; repeats of a state count."""
+    steps = with_previous(log, ["happened_at", "event_id"], {"from_state": "state"}, [entity]).where("from_state IS NOT NULL")
     allowed = F.lit(False)
     for before, after in LIFECYCLE:
         allowed = allowed | ((F.col("from_state") == before) & (F.col("state") == after))
-    return steps.where(~allowed).select(entity, "event_id", "at", "from_state", F.col("state").alias("to_state"))
+    return steps.where(~allowed).select(entity, "event_id", "happened_at", "from_state", F.col("state").alias("to_state"))

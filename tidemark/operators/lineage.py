@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import cut, scratch_path
 
@@ -75,8 +76,8 @@ def trace(lineage: DataFrame, starts: DataFrame, direction: str, labels: list[st
         on = reduce(lambda a, b: a & b, [F.col(f"n.{c}").eqNullSafe(F.col(f"r.{c}")) for c in node])
         depth += 1
         onward.alias("n").join(reached.alias("r"), on, "left_anti").write.parquet(f"{base}/depth={depth}")
-    found = spark.read.schema(schema.add("depth", "bigint")).option("basePath", base).parquet(base)
-    return found.where("depth > 0")
+    with_depth = T.StructType([*schema.fields, T.StructField("depth", T.LongType())])
+    return spark.read.schema(with_depth).parquet(base).where("depth > 0")
 
 
 def with_transformation(traced: DataFrame, lineage: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.operators.quality import Rule, evaluate_gate, profile, rules_frame
 from tidemark.sources.tables import write_dataset
 
-POINTER = "_current"
+# Not hidden by a leading underscore or dot, so that Spark itself can read it.
+POINTER = "CURRENT"
 
 
 def _file_system(spark: SparkSession, path: str):

@@ -40,7 +40,9 @@ class Rule:
 
 
 def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    rows = [(i, r.type, r.column, r.value, r.text) for i, r in enumerate(rules)]
+    rows = [
+        (i, r.type, r.column, None if r.value is None else float(r.value), r.text) for i, r in enumerate(rules)
+    ]
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 

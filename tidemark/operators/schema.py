@@ -92,16 +92,19 @@ def flatten_constraints(objects: DataFrame) -> DataFrame:
     return pk.unionByName(index).unionByName(fk)
 
 
-def discovery_summary(runs: DataFrame) -> DataFrame:
+def discovery_summary(runs: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Totals per discovery run.
 
-    ``runs``: run_id, snapshots array<struct<object_id, n_fields>>, soft_failures, started_at, completed_at.
+    ``runs``: run_id, soft_failures, started_at, completed_at; ``snapshots``: run_id, n_fields, one row per
+    object found. Snapshots are counted before the join, however many one run holds.
     """
-    fields = F.aggregate("snapshots", F.lit(0).cast("bigint"), lambda acc, s: acc + s["n_fields"])
-    return runs.select(
+    totals = snapshots.groupBy("run_id").agg(
+        F.count("*").alias("objects"), F.sum("n_fields").cast("bigint").alias("fields")
+    )
+    return runs.join(totals, "run_id", "left").select(
         "run_id",
-        F.size("snapshots").cast("bigint").alias("objects"),
-        fields.alias("fields"),
+        F.coalesce("objects", F.lit(0)).alias("objects"),
+        F.coalesce("fields", F.lit(0)).alias("fields"),
         F.when(F.col("completed_at").isNull(), "running")
         .when(F.col("soft_failures") > 0, "partial")
         .otherwise("completed")
