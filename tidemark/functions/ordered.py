@@ -1,9 +1,10 @@
-"""Row order within keys without ever sorting one whole key, or the whole table, in a single task.
+"""Row order within keys without ever sorting one hot key, or the whole table, in a single task.
 
 A plain ``Window.partitionBy(key)`` puts all rows of a key into one task, which fails once a key holds a
-large share of the table. Here rows are range-partitioned by (keys, order) so a hot key spreads over many
-segments; each segment is windowed alone and a tiny carry per (key, segment) links neighbours.
-``order`` must be a total order within a key.
+large share of a large table. So the largest key is counted first. Up to ``HOT_ROWS`` rows a plain window
+is the cheapest exact plan. Beyond that rows are range-partitioned by (keys, order), which spreads a hot
+key over many segments; each segment is windowed alone, and a carry of one row per (key, segment) links
+neighbours. ``order`` must be a total order within a key.
 """
 
 from __future__ import annotations
@@ -17,70 +18,83 @@ from tidemark.session import cut
 
 SEGMENT = "_segment"
 
-
-def _segmented(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *keys, *order)
-    # Written out so that the segment number of a row is the same for every later reader.
-    return cut(ranged.withColumn(SEGMENT, F.spark_partition_id()), "segments")
-
-
-def _join_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join on (segment, keys) where null keys match each other."""
-    renamed = carry.select(
-        *[F.col(c).alias(f"_carry_{c}") if c in (SEGMENT, *keys) else F.col(c) for c in carry.columns]
-    )
-    on = reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_carry_{k}")) for k in (SEGMENT, *keys)]
-    )
-    return rows.join(renamed, on, "left").drop(*[f"_carry_{k}" for k in (SEGMENT, *keys)])
-
-
-def _across(keys: list[str]) -> Window:
-    """Segments of one key in order: never more rows than there are partitions."""
-    return Window.partitionBy(*keys).orderBy(SEGMENT)
-
-
-def _inside(keys: list[str], order: list[str]) -> Window:
-    return Window.partitionBy(SEGMENT, *keys).orderBy(*order)
-
-
-def with_row_number(
-    df: DataFrame, order: list[str], keys: list[str] | None = None, name: str = "row_number"
-) -> DataFrame:
-    """Exact 1-based row number over ``order`` (per key, or over the whole table when no keys)."""
-    return with_running_sum(df, order, {name: F.lit(1)}, keys)
-
-
-def with_running_sum(
-    df: DataFrame, order: list[str], sums: dict[str, Column], keys: list[str] | None = None
-) -> DataFrame:
-    """Running totals of BIGINT expressions in order, the current row included."""
-    keys = list(keys or [])
-    prepared = df.select("*", *[e.cast("bigint").alias(f"_add_{n}") for n, e in sums.items()])
-    rows = _segmented(prepared, keys, order)
-    totals = rows.groupBy(SEGMENT, *keys).agg(*[F.sum(f"_add_{n}").alias(f"_add_{n}") for n in sums])
-    before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
-        SEGMENT, *keys, *[F.coalesce(F.sum(f"_add_{n}").over(before), F.lit(0)).alias(f"_off_{n}") for n in sums]
-    )
-    upto = _inside(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    local = rows.select("*", *[F.sum(f"_add_{n}").over(upto).alias(f"_run_{n}") for n in sums])
-    joined = _join_carry(local, carry, keys)
-    return joined.select(
-        *df.columns, *[(F.col(f"_run_{n}") + F.col(f"_off_{n}")).alias(n) for n in sums]
-    )
-
-
-def with_previous(
-    df: DataFrame, order: list[str], previous: dict[str, str], keys: list[str] | None = None
-) -> DataFrame:
-    """Add, for each ``{new_name: column}``, that column's value on the previous row of the key."""
-    keys = list(keys or [])
-    rows = _segmented(df, keys, order)
-    payload = F.struct(*[F.col(c).alias(n) for n, c in previous.items()])
-    tails = rows.groupBy(SEGMENT, *keys).agg(F.max_by(payload, F.struct(*order)).alias("_tail"))
-    carry = tails.select(SEGMENT, *keys, F.lag("_tail").over(_across(keys)).alias("_carry"))
-    local = rows.withColumn("_local", F.lag(payload).over(_inside(keys, order)))
-    joined = _join_carry(local, carry, keys).withColumn("_prev", F.coalesce("_local", "_carry"))
-    return joined.select(*df.columns, *[F.col(f"_prev.{n}").alias(n) for n in previous])
+# Largest number of rows of one key that a single task sorts.
+HOT_ROWS = 5_000_000
+
+
+def largest_key(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the most frequent key; reads the key columns only."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return counts.agg(F.coalesce(F.max("_n"), F.lit(0))).first()[0]
+
+
+class Ordered:
+    """Rows of a table in order within keys, to which order-dependent columns are added."""
+
+    def __init__(self, df: DataFrame, order: list[str], keys: list[str] | None = None, hot_rows: int = HOT_ROWS):
+        self.order, self.keys = order, list(keys or [])
+        self.segmented = largest_key(df, self.keys) > hot_rows
+        self.rows = self._segments(df) if self.segmented else df
+
+    def _segments(self, df: DataFrame) -> DataFrame:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranged = df.repartitionByRange(parts, *self.keys, *self.order)
+        # Written out so that the segment number of a row is the same for every later reader.
+        return cut(ranged.withColumn(SEGMENT, F.spark_partition_id()), "segments")
+
+    def _local(self) -> Window:
+        inside = [SEGMENT, *self.keys] if self.segmented else self.keys
+        return Window.partitionBy(*inside).orderBy(*self.order)
+
+    def _across(self) -> Window:
+        """The segments of one key in order: never more rows than there are partitions."""
+        return Window.partitionBy(*self.keys).orderBy(SEGMENT)
+
+    def _with_carry(self, carry: DataFrame) -> DataFrame:
+        """Rows with their segment's carry; null keys match each other."""
+        on = [SEGMENT, *self.keys]
+        renamed = carry.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in carry.columns])
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+        return self.rows.join(renamed, same, "left").drop(*[f"_on_{c}" for c in on])
+
+    def previous(self, columns: dict[str, str]) -> Ordered:
+        """Add, for each ``{new_name: column}``, that column's value on the row before."""
+        payload = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
+        kept = self.rows.columns
+        before = F.lag(payload).over(self._local())
+        if self.segmented:
+            tails = self.rows.groupBy(SEGMENT, *self.keys).agg(F.max_by(payload, F.struct(*self.order)).alias("_tail"))
+            carry = tails.select(SEGMENT, *self.keys, F.lag("_tail").over(self._across()).alias("_carry"))
+            found = self._with_carry(carry).withColumn("_prev", F.coalesce(before, F.col("_carry")))
+        else:
+            found = self.rows.withColumn("_prev", before)
+        self.rows = found.select(*kept, *[F.col(f"_prev.{n}").alias(n) for n in columns])
+        return self
+
+    def running_sum(self, sums: dict[str, Column]) -> Ordered:
+        """Add running totals of whole-number expressions, the current row included."""
+        kept = self.rows.columns
+        upto = self._local().rowsBetween(Window.unboundedPreceding, 0)
+        local = {name: F.sum(value.cast("bigint")).over(upto) for name, value in sums.items()}
+        if not self.segmented:
+            self.rows = self.rows.select(*kept, *[total.alias(name) for name, total in local.items()])
+            return self
+        totals = self.rows.groupBy(SEGMENT, *self.keys).agg(
+            *[F.sum(value.cast("bigint")).alias(f"_total_{name}") for name, value in sums.items()]
+        )
+        earlier = self._across().rowsBetween(Window.unboundedPreceding, -1)
+        carry = totals.select(
+            SEGMENT, *self.keys,
+            *[F.coalesce(F.sum(f"_total_{name}").over(earlier), F.lit(0)).alias(f"_carry_{name}") for name in sums],
+        )
+        self.rows = self._with_carry(carry).select(
+            *kept, *[(total + F.col(f"_carry_{name}")).alias(name) for name, total in local.items()]
+        )
+        return self
+
+    def row_number(self, name: str = "row_number") -> Ordered:
+        """Add the exact 1-based position within the key, or within the table when there are no keys."""
+        return self.running_sum({name: F.lit(1)})
+
+    def done(self) -> DataFrame:
+        return self.rows.drop(SEGMENT)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import with_previous, with_row_number
+from tidemark.functions.ordered import Ordered
 
 # The allowed lifecycle steps.
 LIFECYCLE = (("draft", "active"), ("active", "deprecated"), ("deprecated", "archived"))
@@ -13,9 +13,8 @@ LIFECYCLE = (("draft", "active"), ("active", "deprecated"), ("deprecated", "arch
 
 def audit_trail(audit: DataFrame, entity: str = "entity_id") -> DataFrame:
     """Each entity's events in order, with the event before. ``audit``: entity, happened_at, audit_id, event_type, actor_id."""
-    order = ["happened_at", "audit_id"]
-    numbered = with_row_number(audit, order, [entity], name="event_number")
-    return with_previous(numbered, order, {"previous_event": "event_type", "previous_actor": "actor_id"}, [entity])
+    before = {"previous_event": "event_type", "previous_actor": "actor_id"}
+    return Ordered(audit, ["happened_at", "audit_id"], [entity]).row_number("event_number").previous(before).done()
 
 
 def last_actors(audit: DataFrame, entity: str = "entity_id") -> DataFrame:
@@ -27,7 +26,8 @@ def last_actors(audit: DataFrame, entity: str = "entity_id") -> DataFrame:
 
 def invalid_transitions(log: DataFrame, entity: str = "asset_id") -> DataFrame:
     """State changes outside the lifecycle. ``log``: entity, happened_at, event_id, state; repeats of a state count."""
-    steps = with_previous(log, ["happened_at", "event_id"], {"from_state": "state"}, [entity]).where("from_state IS NOT NULL")
+    ordered = Ordered(log, ["happened_at", "event_id"], [entity]).previous({"from_state": "state"})
+    steps = ordered.done().where("from_state IS NOT NULL")
     allowed = F.lit(False)
     for before, after in LIFECYCLE:
         allowed = allowed | ((F.col("from_state") == before) & (F.col("state") == after))

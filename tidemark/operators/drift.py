@@ -32,14 +32,20 @@ def is_compatible(previous: Column, current: Column) -> Column:
     return widened
 
 
+def presence(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """One row per object: whether it was there before (``had``) and is there now (``has``)."""
+    sides = previous.select("object_id", F.lit(True).alias("had"), F.lit(False).alias("has")).unionByName(
+        current.select("object_id", F.lit(False).alias("had"), F.lit(True).alias("has"))
+    )
+    return sides.groupBy("object_id").agg(F.bool_or("had").alias("had"), F.bool_or("has").alias("has"))
+
+
 def object_events(previous: DataFrame, current: DataFrame, removed: bool = False) -> DataFrame:
     """Added objects, and removed ones when asked for."""
-    before = previous.select("object_id").distinct()
-    after = current.select("object_id").distinct()
-    events = _object_event(after.join(before, "object_id", "left_anti"), "object_added", "added to")
+    known = presence(previous, current)
+    events = _object_event(known.where("NOT had"), "object_added", "added to")
     if removed:
-        gone = before.join(after, "object_id", "left_anti")
-        events = events.unionByName(_object_event(gone, "object_removed", "removed from"))
+        events = events.unionByName(_object_event(known.where("NOT has"), "object_removed", "removed from"))
     return events
 
 
@@ -64,9 +70,13 @@ def field_events(previous: DataFrame, current: DataFrame) -> DataFrame:
             F.col("nullable").alias(f"{mark}_nullable"), F.col("ordinal").cast("bigint").alias(f"{mark}_ordinal"),
         )
 
-    both = previous.select("object_id").distinct().join(current.select("object_id").distinct(), "object_id")
+    both = presence(previous, current).where("had AND has").select("object_id")
     pairs = side(previous, "p").join(side(current, "c"), ["object_id", "name"], "full_outer")
-    pairs = pairs.join(both, "object_id", "left_semi")
+    return pair_events(pairs.join(both, "object_id", "left_semi"), ["object_id"])
+
+
+def pair_events(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Events of paired fields: name and, for the side before (p) and now (c), type, nullable and ordinal."""
     old, new = F.col("p_type"), F.col("c_type")
     was, now = F.col("p_nullable"), F.col("c_nullable")
     shared = F.col("p_ordinal").isNotNull() & F.col("c_ordinal").isNotNull()
@@ -98,10 +108,9 @@ def field_events(previous: DataFrame, current: DataFrame) -> DataFrame:
               none, last + F.col("p_ordinal")),
     )
     return (
-        pairs.select("object_id", field.alias("field_name"),
-                     F.explode(F.filter(candidates, lambda e: e.isNotNull())).alias("e"))
-        .select("object_id", "field_name", "e.*")
-        .select(*EVENT_COLUMNS)
+        pairs.select(*keys, field.alias("field_name"), F.explode(F.array_compact(candidates)).alias("e"))
+        .select(*keys, "field_name", "e.*")
+        .select(*keys, *[c for c in EVENT_COLUMNS if c != "object_id"])
     )
 
 
@@ -135,7 +144,7 @@ def drift_gate(
     An object missing on either side proceeds. The reason lists an object's fields, so it is as long as
     its schema is wide.
     """
-    objects = previous.select("object_id").union(current.select("object_id")).distinct()
+    objects = presence(previous, current).select("object_id")
     stops = events.where(F.col("change_type").isin(*blocking) & F.col("field_name").isNotNull())
     item = F.struct("event_order", F.concat("field_name", F.lit(": "), "change_type").alias("text"))
     reasons = stops.groupBy("object_id").agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +36,7 @@ def _steps(lineage: DataFrame, direction: str) -> DataFrame:
     return lineage.select(
         F.col(f"{near}_object").alias("object_id"), F.col(f"{near}_column").alias("column_name"),
         F.col(f"{far}_object").alias("next_object"), F.col(f"{far}_column").alias("next_column"),
-    ).distinct()
+    ).dropna()
 
 
 def trace(lineage: DataFrame, starts: DataFrame, direction: str, labels: list[str] | None = None) -> DataFrame:
@@ -59,23 +59,25 @@ def trace(lineage: DataFrame, starts: DataFrame, direction: str, labels: list[st
         raise ValueError(f"unknown direction {direction!r}")
     spark = lineage.sparkSession
     node = [*labels, "object_id", "column_name"]
+    # Not bucketed by node: a hub's edges would sit in one bucket, whereas a shuffled join splits them.
     steps = cut(_steps(lineage, direction), "steps")
     base = scratch_path(spark, "trace")
-    frontier = starts.select(*node).distinct()
-    frontier.write.parquet(f"{base}/depth=0")
-    schema = frontier.schema
+    fresh = starts.select(*node).dropna().distinct()
+    schema = fresh.schema
     depth = 0
     while True:
-        newest = spark.read.schema(schema).parquet(f"{base}/depth={depth}")
-        if newest.isEmpty():
+        watch = Observation()
+        fresh.observe(watch, F.count(F.lit(1)).alias("n")).write.parquet(f"{base}/depth={depth}")
+        if watch.get["n"] == 0:
             break
+        newest = spark.read.schema(schema).parquet(f"{base}/depth={depth}")
         reached = spark.read.schema(schema).parquet(*[f"{base}/depth={d}" for d in range(depth + 1)])
         onward = newest.join(steps, ["object_id", "column_name"]).select(
             *labels, F.col("next_object").alias("object_id"), F.col("next_column").alias("column_name")
-        ).distinct()
-        on = reduce(lambda a, b: a & b, [F.col(f"n.{c}").eqNullSafe(F.col(f"r.{c}")) for c in node])
+        )
+        # The distinct rows already lie where the anti join wants them.
+        fresh = onward.distinct().join(reached, node, "left_anti")
         depth += 1
-        onward.alias("n").join(reached.alias("r"), on, "left_anti").write.parquet(f"{base}/depth={depth}")
     with_depth = T.StructType([*schema.fields, T.StructField("depth", T.LongType())])
     return spark.read.schema(with_depth).parquet(base).where("depth > 0")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.names import canonical_names
 from tidemark.functions.types import SPARK_TYPES, canonical_of
+from tidemark.sources.tables import write_dataset
 
 PROCESSED_AT = "_processed_at"
 
@@ -55,6 +56,10 @@ def cast_to_contract(df: DataFrame, elements: list[Element]) -> tuple[DataFrame,
                               list(casts), "failed_casts")
 
 
+def null_count(column: str) -> Column:
+    return F.count_if(F.col(column).isNull())
+
+
 def long_counts(wide: DataFrame, columns: list[str], value: str, keys: list[str] | None = None) -> DataFrame:
     """One row per counted column from a one-row-per-key aggregate."""
     return wide.unpivot([*(keys or [])], columns, "column", value)
@@ -136,17 +141,19 @@ def run_ingestion(source: DataFrame, config: IngestConfig) -> tuple[DataFrame, D
 
     Row, null and failed-cast counts are observed while the rows are written, so profiling adds no scan.
     """
-    from tidemark.sources.tables import write_dataset
-
     spark = source.sparkSession
     landed = canonicalize(source)
     casts = _contract_casts(landed, config.elements)
-    observed = [F.count("*").alias("row_count")]
-    for name, (value, lost) in casts.items():
-        observed.append(F.count_if(value.isNull()).alias(f"null_count_{name}"))
-        observed.append(F.count_if(lost).alias(f"failed_casts_{name}"))
+    values = landed.select(
+        *[value.alias(name) for name, (value, _) in casts.items()],
+        *[lost.alias(f"_lost_{name}") for name, (_, lost) in casts.items()],
+    )
+    observed = [F.count(F.lit(1)).alias("row_count")]
+    for name in casts:
+        observed.append(null_count(name).alias(f"null_count_{name}"))
+        observed.append(F.count_if(F.col(f"_lost_{name}")).alias(f"failed_casts_{name}"))
     watch = Observation()
-    clean = landed.observe(watch, *observed).select(*[v.alias(n) for n, (v, _) in casts.items()])
+    clean = values.observe(watch, *observed).select(*casts)
     stamped = with_processing_ts(clean, config.processed_at)
     write_dataset(stamped, config.path, mode="overwrite", partition_by=config.partition_by or None)
     metrics = spark.createDataFrame(sorted(watch.get.items()), "metric string, value bigint")

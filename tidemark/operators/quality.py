@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.checksum import checksum
-from tidemark.operators.prepare import Element, long_counts
+from tidemark.operators.prepare import Element, long_counts, null_count
 
 RULE_SCHEMA = "rule_id int, type string, column string, value double, text string"
 
@@ -46,10 +46,6 @@ def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
-def null_count(column: str) -> Column:
-    return F.count_if(F.col(column).isNull())
-
-
 def duplicate_count(columns: list[str], approx: float | None = None) -> Column:
     """Non-null rows minus distinct non-null keys; ``approx`` is a relative error for a sketch instead."""
     present = F.lit(True)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import with_previous, with_running_sum
-from tidemark.operators.drift import field_events
+from tidemark.functions.ordered import Ordered
+from tidemark.operators.drift import pair_events
 
 VERSIONED = ["name", "source_type", "normalized_type", "nullable", "is_primary_key", "description"]
 
@@ -32,9 +32,10 @@ def version_history(snapshots: DataFrame) -> DataFrame:
     """
     order = ["captured_at", "snapshot_id"]
     slim = snapshots.select("object_id", *order, snapshot_json().alias("snapshot_json"))
-    seen = with_previous(slim, order, {"_before": "snapshot_json"}, ["object_id"])
-    changed = seen.where(F.col("_before").isNull() | (F.col("_before") != F.col("snapshot_json"))).drop("_before")
-    return with_running_sum(changed, order, {"version": F.lit(1)}, ["object_id"])
+    changed = F.col("_before").isNull() | (F.col("_before") != F.col("snapshot_json"))
+    ordered = Ordered(slim, order, ["object_id"]).previous({"_before": "snapshot_json"})
+    numbered = ordered.running_sum({"version": changed.cast("int")}).done()
+    return numbered.where(changed).drop("_before")
 
 
 def latest_version(versions: DataFrame) -> DataFrame:
@@ -66,22 +67,29 @@ def tag_version(versions: DataFrame, tags: DataFrame) -> DataFrame:
     )
 
 
-def exploded_versions(versions: DataFrame) -> DataFrame:
-    """One row per field of each version."""
-    schema = "array<struct<name:string,source_type:string,normalized_type:string,nullable:boolean>>"
-    return versions.select(
-        "object_id", "version", F.posexplode(F.from_json("snapshot_json", schema)).alias("ordinal", "f")
-    ).select("object_id", "version", "ordinal", "f.*")
+def version_drift(versions: DataFrame) -> DataFrame:
+    """Drift events from each version to the next, labelled with the later version.
+
+    Both field lists meet on one row, so fields are paired by name inside the row and nothing is joined.
+    """
+    kind = "array<struct<name:string,normalized_type:string,nullable:boolean>>"
+    slim = versions.select("object_id", "version", "snapshot_json")
+    steps = Ordered(slim, ["version"], ["object_id"]).previous({"_before": "snapshot_json"}).done()
+    both = steps.where("_before IS NOT NULL").select(
+        "object_id", "version", F.from_json("_before", kind).alias("p"), F.from_json("snapshot_json", kind).alias("c")
+    )
+    named = both.select(
+        "object_id", "version", "p", "c",
+        F.explode(F.array_union("c.name", "p.name")).alias("name"),
+    )
 
+    def side(mark: str) -> list:
+        place = F.array_position(F.col(mark)["name"], F.col("name"))
+        found = F.get(F.col(mark), (place - 1).cast("int"))
+        return [
+            found["normalized_type"].alias(f"{mark}_type"), found["nullable"].alias(f"{mark}_nullable"),
+            F.when(place > 0, place).alias(f"{mark}_ordinal"),
+        ]
 
-def version_drift(versions: DataFrame) -> DataFrame:
-    """Drift events from each version to the next, labelled with the later version."""
-    def keyed(df: DataFrame) -> DataFrame:
-        return df.withColumn("object_id", F.struct("object_id", "version").alias("object_id")).drop("version")
-
-    fields = exploded_versions(versions)
-    # A version's fields are compared as "previous" under the number of the version after it.
-    moved = fields.withColumn("version", F.col("version") + 1)
-    events = field_events(keyed(moved), keyed(fields))
-    return events.select("object_id.object_id", F.col("object_id.version").alias("version"),
-                         *[c for c in events.columns if c != "object_id"])
+    pairs = named.select("object_id", "version", "name", *side("p"), *side("c"))
+    return pair_events(pairs, ["object_id", "version"])

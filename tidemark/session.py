@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -45,6 +46,16 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame, label: str = "cut") -> tuple[DataFrame, int]:
+    """Like ``cut``, with the number of rows observed while writing.
+
+    A re-run stage may count a row twice, so the number is an upper bound; zero is always zero.
+    """
+    watch = Observation()
+    written = cut(df.observe(watch, F.count(F.lit(1)).alias("n")), label)
+    return written, watch.get["n"]
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete everything this application staged below the shared folder."""
     root = f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"

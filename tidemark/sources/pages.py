@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import with_row_number
-from tidemark.session import cut
+from tidemark.functions.ordered import Ordered
+from tidemark.session import cut, cut_counted
 
 # Envelope keys in the order they are tried.
 ENVELOPE_KEYS = ("data", "items", "results", "records", "content")
@@ -38,7 +38,7 @@ def page_slice(
     """Add ``page`` (or ``offset``) by position in a total order; ``none`` is a single page."""
     if strategy == "none":
         return df.withColumn("page", F.lit(page_start).cast("bigint"))
-    numbered = with_row_number(df, order, name="_rn")
+    numbered = Ordered(df, order).row_number("_rn").done()
     index = F.floor((F.col("_rn") - 1) / size)
     if strategy == "page_number":
         return numbered.withColumn("page", index + page_start).drop("_rn")
@@ -98,22 +98,28 @@ def cursor_chain(pages: DataFrame) -> DataFrame:
     of a page collapse first and a cycle stops at the page count.
     """
     page_id = F.coalesce(F.col("cursor"), F.lit(""))
-    landed = cut(
+    landed, total = cut_counted(
         pages.groupBy("resource", page_id.alias("id"))
         .agg(F.min(F.when(F.col("next_cursor") != "", F.col("next_cursor"))).alias("next")),
         "chain",
     )
     known = landed.select("resource", F.col("id").alias("next"))
-    jumps = cut(landed.where("next IS NOT NULL").join(known, ["resource", "next"]).select("resource", "id", "next"))
+    jumps, left = cut_counted(
+        landed.where("next IS NOT NULL").join(known, ["resource", "next"]).select("resource", "id", "next"), "jumps"
+    )
     reached = landed.where("id = ''").select("resource", "id", F.lit(0).cast("bigint").alias("position"))
-    total, step = landed.count(), 1
-    while step <= total and not jumps.isEmpty():
+    step = 1
+    while step <= total and left:
         ahead = reached.join(jumps, ["resource", "id"]).select(
             "resource", F.col("next").alias("id"), (F.col("position") + step).alias("position")
         )
-        reached = cut(reached.unionByName(ahead).groupBy("resource", "id").agg(F.min("position").alias("position")))
+        reached = cut(
+            reached.unionByName(ahead).groupBy("resource", "id").agg(F.min("position").alias("position")), "reached"
+        )
         onward = jumps.select("resource", F.col("id").alias("next"), F.col("next").alias("_far"))
-        jumps = cut(jumps.join(onward, ["resource", "next"]).select("resource", "id", F.col("_far").alias("next")))
+        jumps, left = cut_counted(
+            jumps.join(onward, ["resource", "next"]).select("resource", "id", F.col("_far").alias("next")), "jumps"
+        )
         step *= 2
     dangling = landed.where("next IS NOT NULL").join(known, ["resource", "next"], "left_anti").select("resource", "id")
     return (
