@@ -72,10 +72,10 @@ class Ordered:
         return self
 
     def running_sum(self, sums: dict[str, Column]) -> Ordered:
-        """Add running totals of whole-number expressions, the current row included."""
+        """Add running totals of whole-number expressions, the current row included; nulls add nothing."""
         kept = self.rows.columns
         upto = self._local().rowsBetween(Window.unboundedPreceding, 0)
-        local = {name: F.sum(value.cast("bigint")).over(upto) for name, value in sums.items()}
+        local = {name: F.coalesce(F.sum(value.cast("bigint")).over(upto), F.lit(0)) for name, value in sums.items()}
         if not self.segmented:
             self.rows = self.rows.select(*kept, *[total.alias(name) for name, total in local.items()])
             return self

@@ -65,8 +65,10 @@ def truthy(value: Column, kind: str) -> Column:
 
 def is_ready(df: DataFrame) -> DataFrame:
     """One row: whether the query has a first row and its first value is truthy."""
-    name, kind = df.dtypes[0]
-    first = df.limit(1).select(truthy(F.col(name), kind).alias("_t"))
+    kind = df.dtypes[0][1]
+    # Renamed by position, since a query's column may be called anything.
+    first = df.limit(1).toDF(*[f"c{i}" for i in range(len(df.columns))])
+    first = first.select(truthy(F.col("c0"), kind).alias("_t"))
     return first.agg(F.coalesce(F.bool_or("_t"), F.lit(False)).alias("ready"))
 
 

@@ -84,9 +84,11 @@ def trace(lineage: DataFrame, starts: DataFrame, direction: str, labels: list[st
 
 def with_transformation(traced: DataFrame, lineage: DataFrame) -> DataFrame:
     """Add the expression a column is computed by: the smallest of its incoming edges', null if copied."""
-    incoming = lineage.groupBy(
-        F.col("dst_object").alias("object_id"), F.col("dst_column").alias("column_name")
-    ).agg(F.min("expression").alias("transformation"))
+    node = ["object_id", "column_name"]
+    into = lineage.select(F.col("dst_object").alias("object_id"), F.col("dst_column").alias("column_name"), "expression")
+    # Edges into columns that were not reached are dropped before anything is grouped.
+    into = into.where("expression IS NOT NULL").join(traced.select(*node), node, "left_semi")
+    incoming = into.groupBy(*node).agg(F.min("expression").alias("transformation"))
     return traced.join(incoming, ["object_id", "column_name"], "left")
 
 
