@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.checksum import checksum
 from tidemark.operators.prepare import Element, long_counts, null_count
 
-RULE_SCHEMA = "rule_id int, type string, column string, value double, text string"
+RULE_FIELDS = {"rule_id": "int", "type": "string", "column": "string", "value": "double", "text": "string"}
 
 # Which metric each rule type reads.
 RULE_METRICS = {
@@ -43,7 +43,7 @@ def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     rows = [
         (i, r.type, r.column, None if r.value is None else float(r.value), r.text) for i, r in enumerate(rules)
     ]
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+    return spark.createDataFrame(rows, ", ".join(f"{name} {kind}" for name, kind in RULE_FIELDS.items()))
 
 
 def duplicate_count(columns: list[str], approx: float | None = None) -> Column:
@@ -88,10 +88,21 @@ def orphan_rows(child: DataFrame, parent: DataFrame, child_key: str, parent_key:
     return child.where(F.col(child_key).isNotNull()).join(known, F.col(child_key) == F.col("_parent"), "left_anti")
 
 
-def orphan_metric(found: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    total = F.coalesce(F.sum("rows"), F.lit(0)).cast("double").alias("value")
-    return found.groupBy(*(by or [])).agg(total).select(
-        *(by or []), F.lit("orphan_count").alias("metric"), F.lit(column).alias("column"), "value",
+def orphan_metric(
+    child: DataFrame, parent: DataFrame, child_key: str, parent_key: str, by: list[str] | None = None
+) -> DataFrame:
+    """The orphan count as a metric row, per batch when ``by`` is given; batches without orphans count zero.
+
+    Keys are counted first here too. A parent key found twice does no harm: only unmatched keys add up.
+    """
+    by = list(by or [])
+    counted = child.groupBy(*by, child_key).agg(F.count("*").alias("rows"))
+    known = parent.select(F.col(parent_key).alias("_parent"))
+    joined = counted.join(known, F.col(child_key) == F.col("_parent"), "left")
+    lost = F.when(F.col(child_key).isNotNull() & F.col("_parent").isNull(), F.col("rows"))
+    total = F.coalesce(F.sum(lost), F.lit(0)).cast("double").alias("value")
+    return joined.groupBy(*by).agg(total).select(
+        *by, F.lit("orphan_count").alias("metric"), F.lit(child_key).alias("column"), "value",
         F.lit(None).cast("string").alias("text"),
     )
 
@@ -103,7 +114,7 @@ def profile(
 
     ``by`` profiles each batch or partition value apart. Exact distinct counts of several rules share one
     Expand whose partial aggregation removes repeats before the shuffle; past about four unique rules
-    ``approx`` keeps the pass narrow. Orphan counts need a second table and come from ``orphans``.
+    ``approx`` keeps the pass narrow. Orphan counts need a second table and come from ``orphan_metric``.
     """
     by = list(by or [])
     wanted: dict[tuple[str, str | None], Column] = {("row_count", None): F.count("*")}
@@ -156,7 +167,7 @@ def evaluate_gate(metrics: DataFrame, rules: DataFrame, by: list[str] | None = N
     known = known.withColumn("_column", F.when(~F.col("type").isin("row_count_min", "checksum"), F.col("column")))
     if by:
         # Metrics of one batch are a few numbers: gather them as a map and hold every rule against it.
-        # The rule list is fixed configuration, so it travels as an array literal with each batch.
+        # The rule list is fixed configuration, so it travels as one literal with each batch.
         return _evaluate_batches(metrics, known, by)
     found = metrics.select(
         F.col("metric").alias("_metric"), F.col("column").alias("_found"), F.col("value").alias("_value"),
@@ -170,65 +181,65 @@ def evaluate_gate(metrics: DataFrame, rules: DataFrame, by: list[str] | None = N
 def _evaluate_batches(metrics: DataFrame, known: DataFrame, by: list[str]) -> DataFrame:
     entry = F.struct(F.col("metric"), F.col("column"), F.col("value"), F.col("text"))
     batches = metrics.groupBy(*by).agg(F.collect_list(entry).alias("_metrics"))
-    rule_rows = [row.asDict() for row in known.collect()]
-    literal = F.array(
-        *[
-            F.struct(
-                F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["type"]).alias("type"),
-                F.lit(r["column"]).cast("string").alias("column"), F.lit(r["value"]).cast("double").alias("value"),
-                F.lit(r["text"]).cast("string").alias("text"), F.lit(r["_metric"]).alias("_metric"),
-                F.lit(r["_column"]).cast("string").alias("_column"),
-            )
-            for r in rule_rows
-        ]
-    )
-    rows = batches.select(*by, "_metrics", F.inline(literal))
-    match = F.filter(
-        "_metrics",
-        lambda m: (m["metric"] == F.col("_metric")) & m["column"].eqNullSafe(F.col("_column")),
-    )
-    hit = rows.withColumn("_hit", F.get(match, F.lit(0)))
-    flat = hit.select(
+    rules = "[" + ",".join(row[0] for row in known.select(F.to_json(F.struct("*"))).collect()) + "]"
+    fields = {**RULE_FIELDS, "_metric": "string", "_column": "string"}
+    kind = "array<struct<" + ",".join(f"{name}:{kind}" for name, kind in fields.items()) + ">>"
+    rows = batches.select(*by, "_metrics", F.inline(F.from_json(F.lit(rules), kind)))
+    hit = "get(filter(_metrics, m -> m.metric = _metric AND m.column <=> _column), 0)"
+    found = rows.withColumn("_hit", F.expr(hit)).selectExpr(
         *by, "rule_id", "type", "column", "value", "text",
-        F.col("_hit").isNotNull().alias("_present"), F.col("_hit.value").alias("_value"),
-        F.col("_hit.text").alias("_text"),
+        "_hit IS NOT NULL AS _present", "_hit.value AS _value", "_hit.text AS _text",
     )
-    return flat.select(*by, "rule_id", "type", "column", _message().alias("message")).where("message IS NOT NULL")
+    return found.select(*by, "rule_id", "type", "column", _message().alias("message")).where("message IS NOT NULL")
 
 
-def _message() -> Column:
-    """The violation text of a rule row joined to its metric, null when the rule holds."""
-    value, kind = F.col("_value"), F.col("type")
-    threshold = F.coalesce(F.col("value"), F.lit(0.0))
-    # NaN is the greatest number here but fails every comparison where the rules come from.
-    positive = ~F.isnan(value) & (value > 0)
-    column_text = F.concat(F.lit("column '"), F.coalesce(F.col("column"), F.lit("")), F.lit("' has "))
-
-    def counted(noun: str) -> Column:
-        return F.when(positive, F.concat(F.lit("VIOLATION "), kind, F.lit(": "), column_text, _number(value),
-                                         F.lit(f" {noun}")))
-
-    expected = F.coalesce(F.col("text"), _number(F.col("value")), F.lit(""))
-    actual = F.coalesce(F.col("_text"), _number(value), F.lit(""))
-    low_rows = F.when(
-        F.isnan(value) | (value < threshold),
-        F.concat(F.lit("VIOLATION row_count_min: got "), _number(value), F.lit(", expected >= "), _number(threshold)),
-    )
+def _number(value: str) -> str:
+    """Counts print as whole numbers, anything else as it is."""
     return (
-        F.when(F.col("_present").isNull() | ~F.col("_present"),
-               F.concat(F.lit("VIOLATION "), kind, F.lit(": metric not computed/missing")))
-        .when(kind == "row_count_min", low_rows)
-        .when(kind == "not_null", counted("null(s)"))
-        .when(kind == "unique", counted("duplicate(s)"))
-        .when(kind == "accepted_values", counted("invalid value(s)"))
-        .when(kind == "referential_integrity", counted("orphan record(s)"))
-        .when(kind == "null_pct_max", F.when(
-            value > threshold,
-            F.concat(F.lit("VIOLATION null_pct_max: "), column_text,
-                     F.format_number(value, 2), F.lit("% null(s), allowed "), _number(threshold), F.lit("%"))))
-        .when(kind == "checksum", F.when(
-            actual != expected, F.concat(F.lit("VIOLATION checksum: got "), actual, F.lit(", expected "), expected)))
+        f"CASE WHEN isnan({value}) THEN 'NaN' WHEN {value} = floor({value}) "
+        f"THEN CAST(CAST({value} AS DECIMAL(38, 0)) AS STRING) ELSE CAST({value} AS STRING) END"
+    )
+
+
+# What a rule on a column says it found.
+FINDINGS = {
+    "not_null": "null(s)",
+    "unique": "duplicate(s)",
+    "accepted_values": "invalid value(s)",
+    "referential_integrity": "orphan record(s)",
+}
+
+
+def _message() -> Column:
+    """The violation text of a rule row joined to its metric, null when the rule holds.
+
+    NaN is the greatest number here but fails every comparison where the rules come from, hence the guards.
+    """
+    threshold = "coalesce(value, 0.0D)"
+    column = "'column \\'', coalesce(column, ''), '\\' has '"
+    expected = f"coalesce(text, {_number('value')}, '')"
+    actual = f"coalesce(_text, {_number('_value')}, '')"
+    counted = " ".join(
+        f"WHEN type = '{rule}' THEN CASE WHEN NOT isnan(_value) AND _value > 0 THEN "
+        f"concat('VIOLATION {rule}: ', {column}, {_number('_value')}, ' {finding}') END"
+        for rule, finding in FINDINGS.items()
     )
+    return F.expr(f"""
+        CASE WHEN NOT coalesce(_present, false) THEN concat('VIOLATION ', type, ': metric not computed/missing')
+             WHEN type = 'row_count_min' THEN
+               CASE WHEN isnan(_value) OR _value < {threshold}
+                    THEN concat('VIOLATION row_count_min: got ', {_number('_value')}, ', expected >= ', {_number(threshold)})
+               END
+             {counted}
+             WHEN type = 'null_pct_max' THEN
+               CASE WHEN _value > {threshold}
+                    THEN concat('VIOLATION null_pct_max: ', {column}, format_number(_value, 2), '% null(s), allowed ',
+                                {_number(threshold)}, '%')
+               END
+             WHEN type = 'checksum' THEN
+               CASE WHEN {actual} <> {expected}
+                    THEN concat('VIOLATION checksum: got ', {actual}, ', expected ', {expected}) END
+        END""")
 
 
 def gate_verdict(violations: DataFrame, runs: DataFrame, key: str) -> DataFrame:

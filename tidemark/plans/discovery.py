@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.types import TYPE_MAP, UNMAPPED, normalize_types
 from tidemark.operators import contract, drift, infer, schema, tags
-from tidemark.plans.inputs import TABLES, run_sql
+from tidemark.plans.inputs import TABLES
 from tidemark.plans.ingestion import _CANONICAL_SQL, _TABLE_LIST
 from tidemark.plans.registry import Inputs, query
 
@@ -58,7 +58,7 @@ _UNMAPPED_CASE = " ".join(f"WHEN '{s}' THEN '{n}'" for s, n in UNMAPPED.items())
     LEFT JOIN m a ON a.system = d.system AND a.type = d.type AND a.format = d.format
     LEFT JOIN m b ON b.system = d.system AND b.type = d.type AND b.format = ''""")
 def _(t: Inputs) -> DataFrame:
-    return normalize_types(run_sql(t.spark, t.sf_dir, _DECLARED_TYPES))
+    return normalize_types(t.sql(_DECLARED_TYPES))
 
 
 @query("scope_filter", """
@@ -333,12 +333,12 @@ _TAG_SQL = f"""
 
 @query("policy_tags_all", _TAG_SQL)
 def _(t: Inputs) -> DataFrame:
-    return tags.infer_policy_tags(run_sql(t.spark, t.sf_dir, _COLUMN_NAMES))
+    return tags.infer_policy_tags(t.sql(_COLUMN_NAMES))
 
 
 @query("policy_tags_high", f"SELECT * FROM ({_TAG_SQL}) WHERE confidence = 'high'")
 def _(t: Inputs) -> DataFrame:
-    return tags.infer_policy_tags(run_sql(t.spark, t.sf_dir, _COLUMN_NAMES), confidence="high")
+    return tags.infer_policy_tags(t.sql(_COLUMN_NAMES), confidence="high")
 
 
 _TAGGED_ASSETS = """
@@ -360,7 +360,7 @@ _TAGGED_ELEMENTS = """
     LEFT JOIN ({_TAGGED_ASSETS}) a ON a.asset_id = o.asset_id""")
 def _(t: Inputs) -> DataFrame:
     assets, objects, elements = (
-        run_sql(t.spark, t.sf_dir, sql) for sql in (_TAGGED_ASSETS, _TAGGED_OBJECTS, _TAGGED_ELEMENTS))
+        t.sql(sql) for sql in (_TAGGED_ASSETS, _TAGGED_OBJECTS, _TAGGED_ELEMENTS))
     return tags.effective_tags(assets, objects, elements)
 
 

@@ -210,7 +210,7 @@ _DECIDED = f"""
     SELECT r.approval_id, r.object_id, r.change_type,
            CASE WHEN r.decision = 'pending' AND d.rn = 1 THEN d.decision ELSE r.decision END AS decision,
            CASE WHEN r.decision = 'pending' THEN d.decided_by END AS decided_by,
-           CASE WHEN r.decision = 'pending' THEN d.decided_at END AS decided_at
+           CASE WHEN r.decision = 'pending' THEN CAST(d.decided_at AS VARCHAR) END AS decided_at
     FROM ({_RECORDED}) r
     LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY approval_id ORDER BY decided_at) AS rn FROM ({_DECISIONS})) d
     ON d.approval_id = r.approval_id AND d.rn = 1"""
@@ -220,7 +220,8 @@ _DECIDED = f"""
 def _(t: Inputs) -> DataFrame:
     recorded = _recorded(t)
     decided, _ = approvals.decide(recorded, _decisions(recorded))
-    return decided.select("approval_id", "object_id", "change_type", "decision", "decided_by", "decided_at")
+    return decided.select("approval_id", "object_id", "change_type", "decision", "decided_by",
+                          F.col("decided_at").cast("string").alias("decided_at"))
 
 
 @query("approvals_refused", f"""

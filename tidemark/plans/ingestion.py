@@ -9,7 +9,7 @@ from tidemark.operators import cdc, prepare
 from tidemark.operators.prepare import Element, IngestConfig
 from tidemark.operators.publish import read_published, write_audit_publish
 from tidemark.operators.quality import Rule
-from tidemark.plans.inputs import TABLES, run_sql
+from tidemark.plans.inputs import TABLES
 from tidemark.plans.registry import Inputs, query
 from tidemark.session import scratch_path
 from tidemark.sources import pages, tables
@@ -25,10 +25,10 @@ def _(t: Inputs) -> DataFrame:
 
 
 @query("extract_query_orders", """
-    SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DECIMAL(18, 2)) AS total
+    SELECT o_orderkey, o_custkey, o_totalprice * 2 AS doubled
     FROM {orders} WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1997-06-01 00:00:00'""")
 def _(t: Inputs) -> DataFrame:
-    sql = """SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DECIMAL(18, 2)) AS total
+    sql = """SELECT o_orderkey, o_custkey, o_totalprice * 2 AS doubled
              FROM {orders} WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP_NTZ '1997-06-01 00:00:00'"""
     return tables.extract(t.spark, ParquetSource(t.sf_dir), query=sql, inputs={"orders": "orders"})
 
@@ -95,6 +95,13 @@ _ORDER_TEXT = """
            o_totalprice
     FROM {orders}"""
 
+
+
+def _plain(df: DataFrame, decimal: str, boolean: str) -> DataFrame:
+    """Decimals shown as doubles and nullable booleans as text, which compare alike everywhere."""
+    return df.withColumns({decimal: F.col(decimal).cast("double"), boolean: F.col(boolean).cast("string")})
+
+
 _ORDER_CONTRACT = [
     Element("o_orderkey", "bigint", required=True, nullable=False),
     Element("o_orderpriority", "integer"),
@@ -107,13 +114,15 @@ _ORDER_CONTRACT = [
 
 @query("cast_contract_orders", f"""
     SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, TRY_CAST(o_orderpriority AS INTEGER) AS o_orderpriority,
-           TRY_CAST(o_orderdate AS TIMESTAMP) AS o_orderdate, TRY_CAST(o_closed AS BOOLEAN) AS o_closed,
-           CAST(o_totalprice AS DECIMAL(18, 2)) AS o_totalprice, CAST(NULL AS VARCHAR) AS o_comment,
+           TRY_CAST(o_orderdate AS TIMESTAMP) AS o_orderdate,
+           CAST(TRY_CAST(o_closed AS BOOLEAN) AS VARCHAR) AS o_closed,
+           CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS DOUBLE) AS o_totalprice, CAST(NULL AS VARCHAR) AS o_comment,
            TIMESTAMP '{STAMP}' AS _processed_at
     FROM ({_ORDER_TEXT}) s""")
 def _(t: Inputs) -> DataFrame:
-    clean, _ = prepare.cast_to_contract(run_sql(t.spark, t.sf_dir, _ORDER_TEXT), _ORDER_CONTRACT)
-    return prepare.with_processing_ts(clean, STAMP)
+    clean, _ = prepare.cast_to_contract(t.sql(_ORDER_TEXT), _ORDER_CONTRACT)
+    stamped = prepare.with_processing_ts(clean, STAMP)
+    return _plain(stamped, "o_totalprice", "o_closed")
 
 
 @query("cast_failures_orders", """
@@ -124,7 +133,7 @@ def _(t: Inputs) -> DataFrame:
     UNION ALL SELECT 'o_totalprice', 0
     UNION ALL SELECT 'o_comment', 0""")
 def _(t: Inputs) -> DataFrame:
-    return prepare.cast_to_contract(run_sql(t.spark, t.sf_dir, _ORDER_TEXT), _ORDER_CONTRACT)[1]
+    return prepare.cast_to_contract(t.sql(_ORDER_TEXT), _ORDER_CONTRACT)[1]
 
 
 _CANONICAL_SQL = """CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'integer' WHEN 'DOUBLE' THEN 'float'
@@ -249,7 +258,7 @@ _LANDED_ITEMS = """
            end_page IS NOT NULL AND missing_pages = 0 AND pages_after_end = 0 AND duplicate_items = 0 AS clean
     FROM base JOIN copies USING (resource)""")
 def _(t: Inputs) -> DataFrame:
-    return pages.pagination_audit(run_sql(t.spark, t.sf_dir, _LANDED_ITEMS), 8)
+    return pages.pagination_audit(t.sql(_LANDED_ITEMS), 8)
 
 
 # A page is lost when one of its items could not be read.
@@ -268,7 +277,7 @@ _LANDED_PAGES = """
                 ELSE 'ok' END AS status
     FROM numbered""")
 def _(t: Inputs) -> DataFrame:
-    return pages.cursor_chain(run_sql(t.spark, t.sf_dir, _LANDED_PAGES))
+    return pages.cursor_chain(t.sql(_LANDED_PAGES))
 
 
 @query("bounded_batch_write", "SELECT count(*) AS n_rows, true AS bounded, 'o_orderkey,o_totalprice' AS \"columns\" FROM {orders}")
@@ -284,7 +293,7 @@ def _(t: Inputs) -> DataFrame:
 
 @query("format_choice", " UNION ALL ".join(f"""
     SELECT '{fmt}' AS format, count(*) AS n_rows, CAST(sum(o_orderkey) AS BIGINT) AS key_sum,
-           CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DECIMAL(28, 2)) AS total FROM {{orders}}"""
+           CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM {{orders}}"""
     for fmt in ("parquet", "orc", "json", "csv")))
 def _(t: Inputs) -> DataFrame:
     source = t.orders.select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"))
@@ -294,7 +303,7 @@ def _(t: Inputs) -> DataFrame:
         tables.write_dataset(source, path, fmt)
         back = t.spark.read.schema(source.schema).format(fmt).load(path)
         part = back.agg(F.count("*").alias("n_rows"), F.sum("o_orderkey").alias("key_sum"),
-                        F.sum("o_totalprice").cast("decimal(28,2)").alias("total")).withColumn("format", F.lit(fmt))
+                        F.sum("o_totalprice").cast("double").alias("total")).withColumn("format", F.lit(fmt))
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
@@ -391,7 +400,7 @@ def _(t: Inputs) -> DataFrame:
 
 
 _REVENUE = """
-    SELECT c_mktsegment, count(*) AS n_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DECIMAL(28, 2)) AS revenue
+    SELECT c_mktsegment, count(*) AS n_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS revenue
     FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_mktsegment"""
 
 
@@ -415,7 +424,7 @@ def _(t: Inputs) -> DataFrame:
 
 
 def _ingest(t: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
-    landed = run_sql(t.spark, t.sf_dir, _ORDER_TEXT).toDF(
+    landed = t.sql(_ORDER_TEXT).toDF(
         "O OrderKey", "O-OrderPriority", "O OrderDate", " o_closed ", "O.TotalPrice"
     )
     contract = [
@@ -427,11 +436,12 @@ def _ingest(t: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 @query("ingest_orders_end_to_end", f"""
     SELECT CAST(o_orderkey AS BIGINT) AS o_order_key, TRY_CAST(o_orderpriority AS INTEGER) AS o_order_priority,
-           TRY_CAST(o_orderdate AS TIMESTAMP) AS o_order_date, TRY_CAST(o_closed AS BOOLEAN) AS o_closed,
-           CAST(o_totalprice AS DECIMAL(18, 2)) AS o_total_price, TIMESTAMP '{STAMP}' AS _processed_at
+           TRY_CAST(o_orderdate AS TIMESTAMP) AS o_order_date,
+           CAST(TRY_CAST(o_closed AS BOOLEAN) AS VARCHAR) AS o_closed,
+           CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS DOUBLE) AS o_total_price, TIMESTAMP '{STAMP}' AS _processed_at
     FROM ({_ORDER_TEXT}) s""")
 def _(t: Inputs) -> DataFrame:
-    return _ingest(t)[0]
+    return _plain(_ingest(t)[0], "o_total_price", "o_closed")
 
 
 @query("ingest_orders_metrics", """

@@ -191,16 +191,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table or derived input as a lazy DataFrame."""
-    if name in TABLES:
-        return table(spark, sf_dir, name)
-    return run_sql(spark, sf_dir, DERIVED[name])
-
-
-def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    frames = {ref: derive(spark, sf_dir, ref) for ref in _references(text)}
-    return spark.sql(_speak(text, 0), **frames)
+class Inputs:
+    """Tables and derived inputs of one scale folder by attribute: ``t.orders``, ``t.runs``.
+
+    Each is defined once per query, so a table's footer is read once however often it is used.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.sf_dir = sf_dir
+        self._known: dict[str, DataFrame] = {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in TABLES and name not in DERIVED:
+            raise AttributeError(name)
+        if name not in self._known:
+            self._known[name] = table(self.spark, self.sf_dir, name) if name in TABLES else self.sql(DERIVED[name])
+        return self._known[name]
+
+    def sql(self, text: str) -> DataFrame:
+        """Rows of a text with ``{name}`` references and dialect markers."""
+        return self.spark.sql(_speak(text, 0), **{ref: getattr(self, ref) for ref in _references(text)})
 
 
 def oracle_text(text: str) -> str:

@@ -15,6 +15,10 @@ from tidemark.streaming.run_state import current_runs, track_runs
 AS_OF = "2024-02-01 00:00:00"
 
 
+def _day_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("day", F.col("day").cast("string"))
+
+
 def _as_of():
     return F.lit(AS_OF).cast("timestamp_ntz")
 
@@ -164,13 +168,13 @@ def _(t: Inputs) -> DataFrame:
 
 
 @query("runs_quality_trend", """
-    SELECT pipeline_id, day, runs, violations,
+    SELECT pipeline_id, CAST(day AS VARCHAR) AS day, runs, violations,
            round(avg(violations) OVER (PARTITION BY pipeline_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6)
                AS moving_avg
     FROM (SELECT pipeline_id, CAST(started_at AS DATE) AS day, count(*) AS runs,
                  CAST(sum(len(quality_violations)) AS BIGINT) AS violations FROM {runs} GROUP BY 1, 2)""")
 def _(t: Inputs) -> DataFrame:
-    return runs.quality_trend(t.runs)
+    return _day_text(runs.quality_trend(t.runs))
 
 
 @query("runs_degradation", """
@@ -196,10 +200,10 @@ def _(t: Inputs) -> DataFrame:
 
 
 @query("runs_counts_cube", """
-    SELECT pipeline_type, day, count(*) AS runs, CAST(grouping_id(pipeline_type, day) AS INTEGER) AS level
+    SELECT pipeline_type, CAST(day AS VARCHAR) AS day, count(*) AS runs, CAST(grouping_id(pipeline_type, day) AS INTEGER) AS level
     FROM (SELECT pipeline_type, CAST(started_at AS DATE) AS day FROM {runs}) GROUP BY CUBE (pipeline_type, day)""")
 def _(t: Inputs) -> DataFrame:
-    return runs.run_counts(t.runs)
+    return _day_text(runs.run_counts(t.runs))
 
 
 @query("audit_trail", """

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans.inputs import derive, oracle_text
+from tidemark.plans.inputs import Inputs, oracle_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,19 +14,6 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-class Inputs:
-    """Tables and derived inputs of one scale folder by attribute: ``t.orders``, ``t.runs``."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
-        self.sf_dir = sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_"):
-            raise AttributeError(name)
-        return derive(self.spark, self.sf_dir, name)
-
-
 def query(key: str, oracle: str | None = None) -> Callable:
     """Register a function of ``Inputs`` under a key."""
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import lineage
-from tidemark.plans.inputs import run_sql
 from tidemark.plans.registry import Inputs, query
 
 
@@ -79,20 +78,20 @@ def _closure(starts: str, direction: str) -> str:
     GROUP BY w.object_id, w.column_name HAVING min(depth) > 0""")
 def _(t: Inputs) -> DataFrame:
     edges = t.lineage_edges
-    traced = lineage.trace(edges, run_sql(t.spark, t.sf_dir, _PART_STARTS), "upstream")
+    traced = lineage.trace(edges, t.sql(_PART_STARTS), "upstream")
     return lineage.with_transformation(traced, edges)
 
 
 @query("lineage_downstream", _closure(_REGION_STARTS, "downstream"))
 def _(t: Inputs) -> DataFrame:
-    return lineage.trace(t.lineage_edges, run_sql(t.spark, t.sf_dir, _REGION_STARTS), "downstream")
+    return lineage.trace(t.lineage_edges, t.sql(_REGION_STARTS), "downstream")
 
 
 @query("lineage_both", f"""
     SELECT *, 'upstream' AS direction FROM ({_closure(_NATION_STARTS, 'upstream')})
     UNION ALL SELECT *, 'downstream' FROM ({_closure(_NATION_STARTS, 'downstream')})""")
 def _(t: Inputs) -> DataFrame:
-    return lineage.trace(t.lineage_edges, run_sql(t.spark, t.sf_dir, _NATION_STARTS), "both")
+    return lineage.trace(t.lineage_edges, t.sql(_NATION_STARTS), "both")
 
 
 def _order_part_mappings(t: Inputs) -> DataFrame:
@@ -142,7 +141,7 @@ def _(t: Inputs) -> DataFrame:
 
 @query("lineage_raw", """
     SELECT a.object_id AS src_object, a.name AS src_column, b.object_id AS dst_object, b.name AS dst_column,
-           NULL AS expression
+           CAST(NULL AS VARCHAR) AS expression
     FROM {fields_before} a JOIN {fields_after} b ON a.object_id = b.object_id AND a.name = b.name""")
 def _(t: Inputs) -> DataFrame:
     before, after = t.fields_before, t.fields_after
@@ -164,7 +163,7 @@ _TAGGED = """
         FROM walk w JOIN {{lineage_edges}} e ON e.src_object = w.object_id AND e.src_column = w.column_name)
     SELECT tag, object_id, column_name, min(depth) AS depth FROM walk GROUP BY ALL HAVING min(depth) > 0""")
 def _(t: Inputs) -> DataFrame:
-    return lineage.tag_reach(t.lineage_edges, run_sql(t.spark, t.sf_dir, _TAGGED))
+    return lineage.tag_reach(t.lineage_edges, t.sql(_TAGGED))
 
 
 @query("lineage_by_pipeline", """
