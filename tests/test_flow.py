@@ -14,7 +14,7 @@ from tidemark.session import cut_counted, scratch_path
 from tidemark.sources import tables
 from tidemark.streaming.gate import gate_stream
 from tidemark.streaming.landing import load_new_files
-from tidemark.streaming.run_state import current_runs, track_runs
+from tidemark.streaming.run_state import compact_runs, current_runs, track_runs
 
 
 def test_jdbc_reads_are_split_and_qualified():
@@ -133,6 +133,25 @@ def test_replayed_batches_change_nothing(spark):
     assert seen[0] == seen[1] == [(1, "failed", 9, 5), (2, "failed", 1, None)]
 
 
+def test_compaction_keeps_the_state(spark):
+    source, state, offsets = (scratch_path(spark, x) for x in ("in", "state", "offsets"))
+    kind = "run_id int, reported_at timestamp_ntz, status string"
+    at = datetime.datetime(2024, 1, 1)
+    for i in range(3):
+        df = spark.createDataFrame([(r, at + datetime.timedelta(minutes=10 * i + r), "success" if i == 1 else "failed")
+                                    for r in range(i, 4)], kind)
+        df.write.mode("append").parquet(source)
+        track_runs(spark, source, df.schema, state, offsets)
+
+    def everything():
+        return sorted(tuple(r) for r in current_runs(spark, state).collect())
+
+    before = everything()
+    compact_runs(spark, state, 1)
+    assert everything() == before and len(before) == 4
+    assert spark.read.parquet(state).select("batch").distinct().count() == 2
+
+
 def test_bad_batches_are_set_aside_whole(spark):
     source, good, bad, offsets = (scratch_path(spark, x) for x in ("in", "good", "bad", "offsets"))
     for sql in (CLEAN, BROKEN):

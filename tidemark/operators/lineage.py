@@ -31,12 +31,17 @@ def split_direct(lineage: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lineage.where("expression IS NULL"), lineage.where("expression IS NOT NULL")
 
 
-def _steps(lineage: DataFrame, direction: str) -> DataFrame:
-    near, far = ("src", "dst") if direction == "downstream" else ("dst", "src")
-    return lineage.select(
-        F.col(f"{near}_object").alias("object_id"), F.col(f"{near}_column").alias("column_name"),
-        F.col(f"{far}_object").alias("next_object"), F.col(f"{far}_column").alias("next_column"),
-    ).dropna()
+def _steps(lineage: DataFrame, ways: tuple[str, ...]) -> DataFrame:
+    """One row per edge and way it may be walked."""
+    parts = []
+    for way in ways:
+        near, far = ("src", "dst") if way == "downstream" else ("dst", "src")
+        parts.append(lineage.select(
+            F.lit(way).alias("direction"),
+            F.col(f"{near}_object").alias("object_id"), F.col(f"{near}_column").alias("column_name"),
+            F.col(f"{far}_object").alias("next_object"), F.col(f"{far}_column").alias("next_column"),
+        ))
+    return reduce(lambda a, b: a.unionByName(b), parts).dropna()
 
 
 def trace(lineage: DataFrame, starts: DataFrame, direction: str, labels: list[str] | None = None) -> DataFrame:
@@ -45,24 +50,24 @@ def trace(lineage: DataFrame, starts: DataFrame, direction: str, labels: list[st
     ``starts`` has object_id, column_name. The result holds each reached column once for the whole start
     set, or once per value of the ``labels`` columns of ``starts`` (kept few, such as tags), so it grows
     with the graph and never with pairs of columns. A start is left out of its own result; unknown starts
-    and cycles are harmless. ``both`` adds the direction to each row.
+    and cycles are harmless. ``both`` walks both ways in the same rounds and tells them apart.
 
     Every round writes only the newly reached columns, into a folder for that depth; what was reached
-    before is the folders so far.
+    before is the folders so far. A small frontier is broadcast by its file size; a large one is joined
+    by shuffle, where adaptive execution splits the edges of a hub. (Edges are not bucketed by column,
+    since a bucket cannot be split.)
     """
-    labels = list(labels or [])
-    if direction == "both":
-        up = trace(lineage, starts, "upstream", labels).withColumn("direction", F.lit("upstream"))
-        down = trace(lineage, starts, "downstream", labels).withColumn("direction", F.lit("downstream"))
-        return up.unionByName(down)
-    if direction not in ("upstream", "downstream"):
+    if direction not in ("upstream", "downstream", "both"):
         raise ValueError(f"unknown direction {direction!r}")
+    ways = ("upstream", "downstream") if direction == "both" else (direction,)
+    labels = list(labels or [])
     spark = lineage.sparkSession
-    node = [*labels, "object_id", "column_name"]
-    # Not bucketed by node: a hub's edges would sit in one bucket, whereas a shuffled join splits them.
-    steps = cut(_steps(lineage, direction), "steps")
+    here = ["direction", "object_id", "column_name"] if direction == "both" else ["object_id", "column_name"]
+    node = [*labels, *here]
+    steps = cut(_steps(lineage, ways), "steps")
     base = scratch_path(spark, "trace")
-    fresh = starts.select(*node).dropna().distinct()
+    begin = starts.withColumn("direction", F.explode(F.array(*[F.lit(way) for way in ways])))
+    fresh = begin.select(*node).dropna().distinct()
     schema = fresh.schema
     depth = 0
     while True:
@@ -72,11 +77,12 @@ def trace(lineage: DataFrame, starts: DataFrame, direction: str, labels: list[st
             break
         newest = spark.read.schema(schema).parquet(f"{base}/depth={depth}")
         reached = spark.read.schema(schema).parquet(*[f"{base}/depth={d}" for d in range(depth + 1)])
-        onward = newest.join(steps, ["object_id", "column_name"]).select(
-            *labels, F.col("next_object").alias("object_id"), F.col("next_column").alias("column_name")
+        onward = newest.join(steps.select(*here, "next_object", "next_column"), here).select(
+            *[c for c in node if c not in ("object_id", "column_name")],
+            F.col("next_object").alias("object_id"), F.col("next_column").alias("column_name"),
         )
         # The distinct rows already lie where the anti join wants them.
-        fresh = onward.distinct().join(reached, node, "left_anti")
+        fresh = onward.select(*node).distinct().join(reached, node, "left_anti")
         depth += 1
     with_depth = T.StructType([*schema.fields, T.StructField("depth", T.LongType())])
     return spark.read.schema(with_depth).parquet(base).where("depth > 0")
@@ -97,14 +103,17 @@ def neighbourhood(mappings: DataFrame, objects: DataFrame, direction: str) -> Da
     links = mappings.select(
         F.col("source_object_id").alias("src_object"), F.lit("").alias("src_column"),
         F.col("destination_object_id").alias("dst_object"), F.lit("").alias("dst_column"),
-    ).distinct()
+    )
     starts = objects.select("object_id", F.lit("").alias("column_name"))
-    parts = []
-    for way in (("upstream", "downstream") if direction == "both" else (direction,)):
-        seen = trace(links, starts, way).select("object_id").unionByName(starts.select("object_id")).distinct()
+    seen = trace(links, starts, direction)
+    kept = []
+    for way in ("upstream", "downstream") if direction == "both" else (direction,):
+        ours = seen.where(F.col("direction") == way) if direction == "both" else seen
+        ours = ours.select("object_id").unionByName(starts.select("object_id"))
         near = "source_object_id" if way == "downstream" else "destination_object_id"
-        parts.append(mappings.join(seen.withColumnRenamed("object_id", near), near, "left_semi"))
-    return reduce(lambda a, b: a.unionByName(b), parts).dropDuplicates(MAPPING_KEY)
+        kept.append(mappings.join(ours.withColumnRenamed("object_id", near), near, "left_semi").select(*mappings.columns))
+    # Only a cycle puts a mapping on both sides.
+    return kept[0] if len(kept) == 1 else kept[0].unionByName(kept[1]).dropDuplicates(MAPPING_KEY)
 
 
 def upsert(mappings: DataFrame, new: DataFrame) -> DataFrame:

@@ -107,8 +107,11 @@ def extract_metrics(df: DataFrame, path: str | None = None, pages: Column | None
     if pages is not None:
         aggs.append(F.count_distinct(pages).alias("pages_fetched"))
     metrics = df.agg(*aggs)
-    # Both sides are single rows.
-    return metrics if path is None else metrics.join(bytes_written(df.sparkSession, path))
+    if path is None:
+        return metrics
+    # Two single rows become one without a join.
+    rows = metrics.unionByName(bytes_written(df.sparkSession, path), allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
 def transform(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.operators.runs import upsert_runs
+from tidemark.session import cut
 
 
 def track_runs(
@@ -47,9 +48,31 @@ def collapse(reports: DataFrame) -> DataFrame:
 
 def current_runs(spark: SparkSession, state_path: str) -> DataFrame:
     """State over all batches: deltas merge with the same rules as reports."""
-    deltas = spark.read.parquet(state_path).drop("batch")
+    return _merge(spark.read.parquet(state_path).drop("batch"))
+
+
+def _merge(deltas: DataFrame) -> DataFrame:
     fields = [c for c in deltas.columns if c not in ("run_id", "last_run_at", "last_success_at")]
     newest = F.max_by(F.struct(*fields), F.struct("last_run_at", *[c for c in ("seq",) if c in fields]))
     return deltas.groupBy("run_id").agg(
         newest.alias("r"), F.max("last_run_at").alias("last_run_at"), F.max("last_success_at").alias("last_success_at")
     ).select("run_id", "r.*", "last_run_at", "last_success_at")
+
+
+def compact_runs(spark: SparkSession, state_path: str, upto: int) -> None:
+    """Fold the deltas of the batches up to ``upto`` into that batch's folder, then drop the older ones.
+
+    Run it between queries. Merging is idempotent, so a crash between the two steps only leaves deltas
+    that are already folded in.
+    """
+    batches = [
+        row[0] for row in spark.read.parquet(state_path).select("batch").distinct().where(F.col("batch") <= upto).collect()
+    ]
+    old = [f"{state_path}/batch={b}" for b in sorted(batches)]
+    if len(old) < 2:
+        return
+    folded = cut(_merge(spark.read.parquet(*old)), "compacted")
+    folded.write.mode("overwrite").parquet(old[-1])
+    for path in old[:-1]:
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
