@@ -63,9 +63,16 @@ def test_inferred_fields(spark):
     assert got == {"a": "integer", "b": "string", "n": "string", "m": "string", "c": "json", "d": "json", "t": "boolean"}
 
 
-def test_sampling_looks_at_fewer_documents(spark):
-    df = spark.range(50).select(F.lit("logs").alias("object"), F.lit('{"a": 1}').alias("body"))
-    assert infer.infer_json_fields(df, "body", "object", sample=10).first().documents == 10
+def test_sampling_looks_at_fewer_documents_of_each_collection(spark):
+    df = spark.range(50).selectExpr("if(id < 45, 'a', 'b') AS object", "concat('{\"a\": ', id, '}') AS body")
+    got = {r.object_id: r.documents for r in infer.infer_json_fields(df, "body", "object", sample=10).collect()}
+    assert got == {"a": 10, "b": 5}
+
+
+def test_whole_numbers_of_any_size_are_integers(spark):
+    df = spark.createDataFrame([("o", '{"a": 12345678901234567890, "b": 2.0, "c": 1e3, "d": -7}')], "object string, body string")
+    got = {r.name: r.normalized_type for r in infer.infer_json_fields(df, "body", "object").collect()}
+    assert got == {"a": "integer", "b": "float", "c": "float", "d": "integer"}
 
 
 def test_first_item_of_the_first_page(spark):

@@ -50,12 +50,23 @@ class Ordered:
         """The segments of one key in order: never more rows than there are partitions."""
         return Window.partitionBy(*self.keys).orderBy(SEGMENT)
 
+    def _edges(self) -> DataFrame:
+        """Rows of the first and the last key of each segment."""
+        if not self.keys:
+            return self.rows
+        key = F.struct(*self.keys)
+        ends = self.rows.groupBy(SEGMENT).agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
+        # One row per segment.
+        marked = self.rows.join(F.broadcast(ends), SEGMENT)
+        return marked.where(key.eqNullSafe(F.col("_low")) | key.eqNullSafe(F.col("_high"))).drop("_low", "_high")
+
     def _with_carry(self, carry: DataFrame) -> DataFrame:
         """Rows with their segment's carry; null keys match each other."""
         on = [SEGMENT, *self.keys]
         renamed = carry.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in carry.columns])
         same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
-        return self.rows.join(renamed, same, "left").drop(*[f"_on_{c}" for c in on])
+        # At most two rows per segment.
+        return self.rows.join(F.broadcast(renamed), same, "left").drop(*[f"_on_{c}" for c in on])
 
     def previous(self, columns: dict[str, str]) -> Ordered:
         """Add, for each ``{new_name: column}``, that column's value on the row before."""
@@ -63,7 +74,9 @@ class Ordered:
         kept = self.rows.columns
         before = F.lag(payload).over(self._local())
         if self.segmented:
-            tails = self.rows.groupBy(SEGMENT, *self.keys).agg(F.max_by(payload, F.struct(*self.order)).alias("_tail"))
+            tails = self._edges().groupBy(SEGMENT, *self.keys).agg(
+                F.max_by(payload, F.struct(*self.order)).alias("_tail")
+            )
             carry = tails.select(SEGMENT, *self.keys, F.lag("_tail").over(self._across()).alias("_carry"))
             found = self._with_carry(carry).withColumn("_prev", F.coalesce(before, F.col("_carry")))
         else:
@@ -79,16 +92,16 @@ class Ordered:
         if not self.segmented:
             self.rows = self.rows.select(*kept, *[total.alias(name) for name, total in local.items()])
             return self
-        totals = self.rows.groupBy(SEGMENT, *self.keys).agg(
+        totals = self._edges().groupBy(SEGMENT, *self.keys).agg(
             *[F.sum(value.cast("bigint")).alias(f"_total_{name}") for name, value in sums.items()]
         )
         earlier = self._across().rowsBetween(Window.unboundedPreceding, -1)
         carry = totals.select(
-            SEGMENT, *self.keys,
-            *[F.coalesce(F.sum(f"_total_{name}").over(earlier), F.lit(0)).alias(f"_carry_{name}") for name in sums],
+            SEGMENT, *self.keys, *[F.sum(f"_total_{name}").over(earlier).alias(f"_carry_{name}") for name in sums]
         )
         self.rows = self._with_carry(carry).select(
-            *kept, *[(total + F.col(f"_carry_{name}")).alias(name) for name, total in local.items()]
+            *kept,
+            *[(total + F.coalesce(F.col(f"_carry_{name}"), F.lit(0))).alias(name) for name, total in local.items()],
         )
         return self
 

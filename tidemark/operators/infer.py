@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.globs import matches_any
@@ -20,7 +20,8 @@ def _value_type(value: Column) -> Column:
         .when(kind.startswith("OBJECT"), "dict")
         .when(kind == "STRING", "str")
         .when(kind == "BINARY", "bytes")
-        .when(kind == "BIGINT", "int")
+        # Whole numbers past BIGINT arrive as decimals of 19 digits and more.
+        .when((kind == "BIGINT") | kind.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), "int")
         .otherwise("float")
     )
 
@@ -40,10 +41,14 @@ def infer_json_fields(
     """Fields of document collections: one observed type is the type, several make it a string.
 
     A null counts as a type of its own and alone becomes a string; ``_id`` is skipped; all fields are
-    nullable. The default reads every document; ``sample`` looks at that many.
+    nullable. The default reads every document; ``sample`` looks at that many per collection, picked by a
+    hash of their text so that a retry sees the same ones.
     """
-    source = docs if sample is None else docs.limit(sample)
-    parsed = source.select(F.col(object_col).alias("object_id"), F.try_parse_json(F.col(body_col)).alias("_body"))
+    if sample is not None:
+        # Each task keeps its own first rows per collection before the shuffle.
+        picked = Window.partitionBy(object_col).orderBy(F.xxhash64(body_col), body_col)
+        docs = docs.withColumn("_pick", F.row_number().over(picked)).where(F.col("_pick") <= sample).drop("_pick")
+    parsed = docs.select(F.col(object_col).alias("object_id"), F.try_parse_json(F.col(body_col)).alias("_body"))
     observed = _entries(parsed, ["object_id"], "_body").where("name IS NOT NULL AND name <> '_id'")
     typed = observed.select("object_id", "name", _value_type(F.col("_value")).alias("_type"))
     # min and max merge map-side: equal means one type, so no set of types is ever collected.

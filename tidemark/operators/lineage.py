@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import cut, scratch_path
+from tidemark.session import cut, remove_path, scratch_path
 
 EDGE_COLUMNS = ["src_object", "src_column", "dst_object", "dst_column", "expression"]
 MAPPING_KEY = ["pipeline_id", "source_object_id", "destination_object_id"]
@@ -64,7 +64,8 @@ def trace(lineage: DataFrame, starts: DataFrame, direction: str, labels: list[st
     spark = lineage.sparkSession
     here = ["direction", "object_id", "column_name"] if direction == "both" else ["object_id", "column_name"]
     node = [*labels, *here]
-    steps = cut(_steps(lineage, ways), "steps")
+    steps_path = scratch_path(spark, "steps")
+    steps = cut(_steps(lineage, ways), at=steps_path)
     base = scratch_path(spark, "trace")
     begin = starts.withColumn("direction", F.explode(F.array(*[F.lit(way) for way in ways])))
     fresh = begin.select(*node).dropna().distinct()
@@ -84,6 +85,8 @@ def trace(lineage: DataFrame, starts: DataFrame, direction: str, labels: list[st
         # The distinct rows already lie where the anti join wants them.
         fresh = onward.select(*node).distinct().join(reached, node, "left_anti")
         depth += 1
+    # The rounds are written; only they are read from here on.
+    remove_path(spark, steps_path)
     with_depth = T.StructType([*schema.fields, T.StructField("depth", T.LongType())])
     return spark.read.schema(with_depth).parquet(base).where("depth > 0")
 

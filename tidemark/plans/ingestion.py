@@ -88,7 +88,7 @@ def _(t: Inputs) -> DataFrame:
 
 _ORDER_TEXT = """
     SELECT CAST(o_orderkey AS STRING) AS o_orderkey,
-           CASE WHEN o_orderstatus = 'P' THEN substr(o_orderpriority, 1, 2) ELSE substr(o_orderpriority, 1, 1)
+           CASE WHEN o_orderstatus = 'P' THEN o_orderpriority ELSE CAST(length(o_orderpriority) AS STRING)
            END AS o_orderpriority,
            CAST(o_orderdate AS STRING) AS o_orderdate,
            CASE WHEN o_orderstatus = 'O' THEN NULL WHEN o_orderstatus = 'F' THEN 'true' ELSE 'maybe' END AS o_closed,

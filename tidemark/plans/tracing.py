@@ -166,7 +166,7 @@ def _(t: Inputs) -> DataFrame:
     return lineage.tag_reach(t.lineage_edges, t.sql(_TAGGED))
 
 
-@query("lineage_by_pipeline", """
+@query("lineage_lookup", """
     SELECT 'orders' AS pipeline_id, concat('c', o_custkey) AS source_object_id,
            concat('o', o_orderkey) AS destination_object_id FROM {orders}""")
 def _(t: Inputs) -> DataFrame:

@@ -33,15 +33,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder no later plan reads."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def cut(df: DataFrame, label: str = "cut", at: str | None = None) -> DataFrame:
     """Materialise ``df`` as a table in the shared folder and return a scan of it.
 
     Rows are computed once, survive the loss of executors, and the new scan carries true sizes for the
     optimizer. Used where a plan would otherwise grow with every round of an iteration, or where a
-    value such as a partition number has to stay fixed.
+    value such as a partition number has to stay fixed. ``at`` names the folder for a caller that removes
+    it again.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, label)
+    path = at or scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,6 +65,4 @@ def cut_counted(df: DataFrame, label: str = "cut") -> tuple[DataFrame, int]:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete everything this application staged below the shared folder."""
-    root = f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove_path(spark, f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}")

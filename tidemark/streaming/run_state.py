@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemark.operators.runs import upsert_runs
-from tidemark.session import cut
+from tidemark.session import cut, remove_path
 
 
 def track_runs(
@@ -74,5 +74,4 @@ def compact_runs(spark: SparkSession, state_path: str, upto: int) -> None:
     folded = cut(_merge(spark.read.parquet(*old)), "compacted")
     folded.write.mode("overwrite").parquet(old[-1])
     for path in old[:-1]:
-        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+        remove_path(spark, path)
