@@ -51,6 +51,48 @@ def test_descriptions_and_order_are_no_drift(spark):
     assert drift.diff(_fields(spark, "o", *fields), _fields(spark, "o", *shuffled)).isEmpty()
 
 
+def test_random_schemas_against_a_plain_diff(spark):
+    rng = random.Random(3)
+    kinds = ["integer", "bigint", "float", "decimal", "string", "Integer", "json", "boolean"]
+    wider = {"integer": {"bigint", "float", "decimal"}, "bigint": {"float", "decimal"}, "float": {"decimal"}}
+
+    def side():
+        names = rng.sample("abcdefgh", rng.randint(1, 7))
+        return {n: (rng.choice(kinds), rng.random() < 0.5) for n in names}
+
+    pairs = {f"o{i}": (side() if rng.random() < 0.9 else {}, side() if rng.random() < 0.9 else {}) for i in range(80)}
+
+    def frame(which):
+        rows = [(o, i, n, t, nullable, "") for o, p in pairs.items() for i, (n, (t, nullable)) in enumerate(p[which].items())]
+        rng.shuffle(rows)
+        return spark.createDataFrame(rows, FIELDS)
+
+    want = []
+    for o, (before, after) in pairs.items():
+        if not before or not after:
+            if before or after:
+                want.append((o, None, "object_removed" if before else "object_added"))
+            continue
+        for n, (t, nullable) in after.items():
+            if n not in before:
+                want.append((o, n, "field_added"))
+                continue
+            old, was = before[n]
+            if t != old:
+                fits = t.lower() == old.lower() or t.lower() in wider.get(old.lower(), set())
+                want.append((o, n, "type_widened" if fits else "type_incompatible"))
+            if was != nullable:
+                want.append((o, n, "nullable_to_required" if was else "required_to_nullable"))
+        want += [(o, n, "field_removed") for n in before if n not in after]
+    events = drift.diff(frame(0), frame(1), removed=True)
+    got = [(r.object_id, r.field_name, r.change_type) for r in events.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    ordered = {}
+    for r in events.where("field_name IS NOT NULL").orderBy("object_id", "event_order").collect():
+        ordered.setdefault(r.object_id, []).append((r.object_id, r.field_name, r.change_type))
+    assert ordered == {o: [e for e in want if e[0] == o] for o in ordered}
+
+
 def test_gate_reason_lists_blocking_events_in_order(spark):
     before = _fields(spark, "o", ("x", "string", True), ("id", "integer", True), ("n", "string", True))
     after = _fields(spark, "o", ("id", "string", True), ("n", "string", False))

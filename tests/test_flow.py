@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.types import canonical_of
 from tidemark.operators import audit, cdc, health, prepare, publish, runs, schema, tags
+from tidemark.operators.governed import LoadPlan, governed_load
+from tidemark.operators.prepare import Element
 from tidemark.operators.quality import Rule
 from tidemark.session import cut_counted, scratch_path
 from tidemark.sources import tables
@@ -103,6 +105,22 @@ def test_publish_audits_first(spark):
     assert publish.read_published(spark, target).count() == 6
 
 
+def test_governed_load_blocks_retries_and_records(spark):
+    plan = LoadPlan("src", "dst", [Element("the_key", "bigint", True, False), Element("s", "string"), Element("extra", "date")],
+                    [Rule("row_count_min", value=5), Rule("not_null", "the_key"), Rule("unique", "the_key")],
+                    scratch_path(spark, "governed"), "2024-01-01 00:00:00")
+    good, bad = (spark.sql(q).toDF("The Key", "s") for q in (CLEAN, BROKEN))
+    first = governed_load(bad, plan, "r1")
+    assert tuple(first.run.first()) == ("r1", "quality_failed", "validation_and_metrics.quality_gate", 20, 0, 1,
+                                        "VIOLATION not_null: column 'the_key' has 1 null(s)")
+    assert governed_load(good, plan, "r2").run.first().status == "success"
+    again = governed_load(good, plan, "r2")
+    assert (again.run.first().status, again.run.first().rows_published) == ("success", 10)
+    assert governed_load(bad, plan, "r3").run.first().rows_published == 10
+    assert {(r.src_column, r.dst_column) for r in again.lineage.collect()} == {("the_key", "the_key"), ("s", "s")}
+    assert {r.metric: r.value for r in again.metrics.collect()}["null_count_extra"] == 10
+
+
 def test_files_land_once(spark):
     source, landed, offsets = (scratch_path(spark, x) for x in ("in", "out", "offsets"))
     schema_of = spark.range(1).schema

@@ -114,6 +114,19 @@ def extract_metrics(df: DataFrame, path: str | None = None, pages: Column | None
     return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
+METRICS_SCHEMA = "metric string, value bigint"
+
+
+def write_manifests(metrics: DataFrame, manifest: DataFrame, path: str) -> None:
+    """Keep a dataset's metrics and schema manifests next to it, a few rows of JSON each."""
+    metrics.coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/schema")
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(METRICS_SCHEMA).json(f"{path}/metrics")
+
+
 def transform(
     spark: SparkSession, step: str | Callable[..., DataFrame] | None, inputs: dict[str, DataFrame],
     engine: str = "dbt",
@@ -159,6 +172,6 @@ def run_ingestion(source: DataFrame, config: IngestConfig) -> tuple[DataFrame, D
     clean = values.observe(watch, *observed).select(*casts)
     stamped = with_processing_ts(clean, config.processed_at)
     write_dataset(stamped, config.path, mode="overwrite", partition_by=config.partition_by or None)
-    metrics = spark.createDataFrame(sorted(watch.get.items()), "metric string, value bigint")
+    metrics = spark.createDataFrame(sorted(watch.get.items()), METRICS_SCHEMA)
     dataset = spark.read.schema(stamped.schema).parquet(config.path)
     return dataset, metrics, schema_manifest({"dataset": dataset})

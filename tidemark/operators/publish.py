@@ -26,11 +26,15 @@ def current_version(spark: SparkSession, target: str) -> str | None:
     return spark.read.text(f"{target}/{POINTER}").first()[0]
 
 
+def version_path(target: str, version: str) -> str:
+    return f"{target}/versions/{version}"
+
+
 def read_published(spark: SparkSession, target: str) -> DataFrame:
     version = current_version(spark, target)
     if version is None:
         raise FileNotFoundError(f"nothing published at {target}")
-    return spark.read.parquet(f"{target}/versions/{version}")
+    return spark.read.parquet(version_path(target, version))
 
 
 def _point_to(spark: SparkSession, target: str, version: str) -> None:
@@ -57,12 +61,17 @@ def write_audit_publish(
     audit leaves the published data as it was. Only the violated rules' messages reach the driver.
     """
     spark = df.sparkSession
-    path = f"{target}/versions/{version}"
     if current_version(spark, target) == version:
         return PublishResult(True, [])
-    write_dataset(df, path, mode="overwrite", partition_by=partition_by)
-    staged = spark.read.schema(df.schema).parquet(path)
-    metrics = profile(staged, rules)
+    write_dataset(df, version_path(target, version), mode="overwrite", partition_by=partition_by)
+    return audit_and_publish(spark, rules, target, version, extra_metrics)
+
+
+def audit_and_publish(
+    spark: SparkSession, rules: list[Rule], target: str, version: str, extra_metrics: DataFrame | None = None
+) -> PublishResult:
+    """Audit a staged version as it was written and make it current if no rule is violated."""
+    metrics = profile(spark.read.parquet(version_path(target, version)), rules)
     if extra_metrics is not None:
         metrics = metrics.unionByName(extra_metrics)
     failed = evaluate_gate(metrics, rules_frame(spark, rules)).orderBy("rule_id").collect()

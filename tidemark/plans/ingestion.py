@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import cdc, prepare
+from tidemark.operators.governed import LoadPlan, governed_load
 from tidemark.operators.prepare import Element, IngestConfig
 from tidemark.operators.publish import read_published, write_audit_publish
 from tidemark.operators.quality import Rule
@@ -457,3 +458,26 @@ def _(t: Inputs) -> DataFrame:
     UNION ALL SELECT 'null_count_o_total_price', 0 UNION ALL SELECT 'failed_casts_o_total_price', 0""")
 def _(t: Inputs) -> DataFrame:
     return _ingest(t)[1]
+
+
+@query("governed_load_orders", """
+    SELECT 'v1' AS run_id, 'success' AS status, CAST(NULL AS VARCHAR) AS failed_task, count(*) AS rows_extracted,
+           count(*) AS rows_published, CAST(0 AS INTEGER) AS n_violations, '' AS violations, CAST(6 AS BIGINT) AS lineage_edges
+    FROM {orders}
+    UNION ALL
+    SELECT 'v2', 'quality_failed', 'validation_and_metrics.quality_gate', count(*), (SELECT count(*) FROM {orders}),
+           CAST(2 AS INTEGER), concat('VIOLATION not_null: column ''o_custkey'' has ', count(*) FILTER (WHERE o_custkey IS NULL),
+               ' null(s); VIOLATION accepted_values: column ''o_orderstatus'' has ',
+               count(*) FILTER (WHERE o_orderstatus = 'X'), ' invalid value(s)'), 6
+    FROM {orders_broken}""")
+def _(t: Inputs) -> DataFrame:
+    elements = [
+        Element("o_orderkey", "bigint", True, False), Element("o_custkey", "bigint"), Element("o_orderstatus", "string"),
+        Element("o_totalprice", "decimal"), Element("o_orderdate", "date"), Element("o_orderpriority", "string"),
+    ]
+    plan = LoadPlan("source.orders", "lake.orders", elements, _ORDER_RULES, scratch_path(t.spark, "governed"), STAMP)
+    records = []
+    for version, source in (("v1", t.orders), ("v2", t.orders_broken)):
+        outcome = governed_load(source, plan, version)
+        records.append(outcome.run.withColumn("lineage_edges", F.lit(outcome.lineage.count())))
+    return records[0].unionByName(records[1])
