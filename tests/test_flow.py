@@ -27,6 +27,32 @@ def test_jdbc_reads_are_split_and_qualified():
     assert source.read_options(query="SELECT 1") == {"url": "jdbc:x", "fetchsize": "1000", "query": "SELECT 1"}
 
 
+def test_bucket_roots():
+    assert tables.BucketSource("s3", "lake", "/raw/x/").root == "s3a://lake/raw/x"
+    assert tables.BucketSource("azure", "c@a.dfs.core.windows.net").root == "abfss://c@a.dfs.core.windows.net"
+    with pytest.raises(ValueError):
+        _ = tables.BucketSource("ftp", "x").root
+
+
+def test_extract_by_strategy_and_land(spark, sf_dir):
+    source = tables.ParquetSource(sf_dir)
+    mark = F.lit("1998-01-01").cast("timestamp_ntz")
+    total = tables.extract_configured(spark, source, tables.ExtractOptions("public.orders"))[0].count()
+    options = tables.ExtractOptions("orders", "incremental", "o_orderdate", "o_orderstatus", "gzip")
+    rows, new_mark = tables.extract_configured(spark, source, options, mark)
+    assert 0 < rows.count() == new_mark.first().new_rows < total
+    assert tables.extract_configured(spark, source, options)[0].count() == total
+    own = tables.ExtractOptions("orders", "incremental", "o_orderdate", query="SELECT o_orderkey FROM {orders} LIMIT 3")
+    assert tables.extract_configured(spark, source, own, mark)[0].count() == 3
+    with pytest.raises(ValueError):
+        tables.extract_configured(spark, source, tables.ExtractOptions("orders", "incremental"), mark)
+    with pytest.raises(ValueError):
+        tables.extract_configured(spark, source, tables.ExtractOptions("orders", "streaming"))
+    path = scratch_path(spark, "landed")
+    tables.land(rows, path, options)
+    assert spark.read.parquet(path).groupBy("o_orderstatus").count().count() == 3
+
+
 def test_incremental_keeps_the_old_mark_without_news(spark):
     df = spark.createDataFrame([(1, 10), (2, 20)], "k int, w int")
     fresh, mark = tables.extract_incremental(df, "w", F.lit(20))
@@ -184,6 +210,8 @@ def test_export_picks_new_and_changed(spark):
     dst = spark.createDataFrame([(1, "a"), (2, "old"), (3, "")], "k int, v string")
     assert {r.k for r in cdc.export_select(src, dst, ["k"]).collect()} == {2, 3}
     assert cdc.export_select(src, None, ["k"]).count() == 3
+    unkeyed = src.unionByName(spark.sql("SELECT CAST(NULL AS INT) AS k, 'n' AS v"))
+    assert {r.k for r in cdc.export_select(unkeyed, dst, ["k"]).collect()} == {2, 3, None}
 
 
 def test_final_status(spark):

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import quality, reconcile
 from tidemark.operators.quality import Rule
@@ -112,3 +113,11 @@ def test_undelivered_and_unexpected_units_fail(spark):
     delivered = spark.createDataFrame([(1, "a"), (3, "c")], "v int, g string")
     result = reconcile.validate_delivery(source, delivered, ["v"], ["g"])
     assert {r.g: r.delivered_ok for r in result.collect()} == {"a": True, "b": False, "c": False}
+
+
+def test_many_unique_rules_split_into_passes(spark):
+    names = [f"c{i}" for i in range(6)]
+    df = spark.range(60).select(*[(F.col("id") % (i + 2)).alias(c) for i, c in enumerate(names)])
+    got = {r.column: r.value for r in quality.profile(df, [Rule("unique", c) for c in names]).collect() if r.column}
+    assert got == {c: 60.0 - (i + 2) for i, c in enumerate(names)}
+    assert quality.profile(df, [Rule("unique", c) for c in names]).where("metric = 'row_count'").count() == 1

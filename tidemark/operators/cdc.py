@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.checksum import row_hash
+from tidemark.session import cut
 
 
 def apply_cdc(base: DataFrame, changes: DataFrame, keys: list[str], seq: str, op: str) -> DataFrame:
-    """Base after the changes: the last change per key wins and ``delete`` removes the row.
+    """Base after the changes: the last change per key wins and ``delete`` removes the row. Keys are never null.
 
     The last change is an aggregate that merges map-side, so a key changed very often stays cheap.
     """
     values = [c for c in base.columns if c not in keys]
-    last = changes.groupBy(*keys).agg(F.max_by(F.struct(op, *values), seq).alias("c"))
+    # Aggregated once and written, so that its true size decides how the base is joined.
+    last = cut(changes.groupBy(*keys).agg(F.max_by(F.struct(op, *values), seq).alias("c")), "changes")
     kept = base.join(last.select(*keys), keys, "left_anti")
     written = last.where(F.col(f"c.{op}") != "delete").select(*keys, *[F.col(f"c.{v}").alias(v) for v in values])
     return kept.select(*base.columns).unionByName(written.select(*base.columns))
 
 
+def _match(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Semi or anti join where nulls equal each other."""
+    renamed = right.select(*[F.col(c).alias(f"_r_{c}") for c in on])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
+    return left.join(renamed, same, how)
+
+
 def export_select(
     source: DataFrame, destination: DataFrame | None, keys: list[str], mode: str = "incremental"
 ) -> DataFrame:
@@ -28,4 +39,8 @@ def export_select(
         return source
     hashed = source.withColumn("_hash", row_hash(source, source.columns))
     seen = destination.select(*keys, row_hash(destination, source.columns).alias("_hash"))
-    return hashed.join(seen, [*keys, "_hash"], "left_anti").drop("_hash")
+    on = [*keys, "_hash"]
+    # Only keys and hashes are shuffled to find what changed; whole rows are then picked by that list,
+    # which is broadcast when the written list turns out small.
+    changed = cut(_match(hashed.select(*on), seen, on, "left_anti"), "export")
+    return _match(hashed, changed, on, "left_semi").drop("_hash")

@@ -139,6 +139,8 @@ def transform(
         if len(inputs) != 1:
             raise ValueError("a pass-through step takes exactly one input")
         return next(iter(inputs.values()))
+    if step is None:
+        raise ValueError(f"engine {engine!r} needs a step")
     return spark.sql(step, **inputs) if isinstance(step, str) else step(**inputs)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,9 @@ RULE_METRICS = {
     "null_pct_max": "null_pct",
 }
 
+# Exact distinct counts computed together; each multiplies the rows before their partial aggregation.
+DISTINCTS_PER_PASS = 4
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -112,12 +116,14 @@ def profile(
 ) -> DataFrame:
     """All metrics the rules need as (metric, column, value, text), in one aggregate over one scan.
 
-    ``by`` profiles each batch or partition value apart. Exact distinct counts of several rules share one
-    Expand whose partial aggregation removes repeats before the shuffle; past about four unique rules
-    ``approx`` keeps the pass narrow. Orphan counts need a second table and come from ``orphan_metric``.
+    ``by`` profiles each batch or partition value apart. Exact distinct counts share one Expand whose
+    partial aggregation removes repeats before the shuffle; since it multiplies rows, every further
+    ``DISTINCTS_PER_PASS`` of them take a pass of their own over just their columns, unless ``approx``
+    allows a sketch. Orphan counts need a second table and come from ``orphan_metric``.
     """
     by = list(by or [])
     wanted: dict[tuple[str, str | None], Column] = {("row_count", None): F.count("*")}
+    distincts: dict[tuple[str, str | None], Column] = {}
     for rule in rules:
         metric = RULE_METRICS.get(rule.type)
         if metric == "null_count":
@@ -126,11 +132,21 @@ def profile(
             share = null_count(rule.column) * 100.0 / F.count("*")
             wanted[metric, rule.column] = F.when(F.count("*") > 0, share)
         elif metric == "duplicate_count":
-            wanted[metric, rule.column] = duplicate_count(rule.columns, approx)
+            target = wanted if approx is not None else distincts
+            target[metric, rule.column] = duplicate_count(rule.columns, approx)
         elif metric == "invalid_value_count":
             wanted[metric, rule.column] = invalid_value_count(rule.column, rule.accepted)
         elif metric == "checksum":
             wanted[metric, None] = checksum(df, [c for c in df.columns if c not in by])
+    keyed = list(distincts)
+    passes = [keyed[i : i + DISTINCTS_PER_PASS] for i in range(0, len(keyed), DISTINCTS_PER_PASS)] or [[]]
+    groups = [{key: distincts[key] for key in one} for one in passes]
+    groups[0] = {**wanted, **groups[0]}
+    return reduce(lambda a, b: a.unionByName(b), [_long_metrics(df, group, by) for group in groups])
+
+
+def _long_metrics(df: DataFrame, wanted: dict[tuple[str, str | None], Column], by: list[str]) -> DataFrame:
+    """One aggregate, one row per metric."""
     named = {f"m{i}": key for i, key in enumerate(wanted)}
     wide = df.groupBy(*by).agg(*[wanted[key].alias(alias) for alias, key in named.items()])
     entries = [
@@ -145,14 +161,6 @@ def profile(
     return wide.select(*by, F.inline(F.array(*entries)))
 
 
-def _number(value: Column) -> Column:
-    """Counts print as whole numbers, anything else as it is."""
-    whole = ~F.isnan(value) & (value == F.floor(value))
-    return F.when(F.isnan(value), "NaN").when(whole, value.cast("decimal(38,0)").cast("string")).otherwise(
-        value.cast("string")
-    )
-
-
 def evaluate_gate(metrics: DataFrame, rules: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Violations of ``rules`` by ``metrics``: one row per failed rule with its message.
 

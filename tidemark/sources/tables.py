@@ -40,6 +40,32 @@ class JdbcSource:
         return spark.read.format("jdbc").options(**self.read_options(query=sql)).load()
 
 
+# URI scheme of each object store.
+SCHEMES = {"s3": "s3a", "gcs": "gs", "azure": "abfss", "file": "file"}
+
+
+@dataclass(frozen=True)
+class BucketSource:
+    """Files of an object store: each table is a folder or file below the prefix."""
+
+    provider: str
+    bucket: str
+    prefix: str = ""
+    fmt: str = "parquet"
+
+    @property
+    def root(self) -> str:
+        if self.provider not in SCHEMES:
+            raise ValueError(f"unknown provider {self.provider!r}")
+        return "/".join([f"{SCHEMES[self.provider]}://{self.bucket}", *[p for p in self.prefix.split("/") if p]])
+
+    def read(self, spark: SparkSession, table: str) -> DataFrame:
+        return spark.read.format(self.fmt).load(f"{self.root}/{table}")
+
+
+Source = ParquetSource | JdbcSource | BucketSource
+
+
 def qualified(table: str) -> str:
     """An unqualified table name belongs to the default schema."""
     return table if "." in table else f"{DEFAULT_SCHEMA}.{table}"
@@ -47,7 +73,7 @@ def qualified(table: str) -> str:
 
 def extract(
     spark: SparkSession,
-    source: ParquetSource | JdbcSource,
+    source: Source,
     table: str | None = None,
     query: str | None = None,
     inputs: dict[str, str] | None = None,
@@ -85,6 +111,44 @@ def extract_incremental(
     return fresh, mark
 
 
+@dataclass(frozen=True)
+class ExtractOptions:
+    """How one source object is extracted and landed."""
+
+    table: str
+    load_strategy: str = "full_load"
+    watermark_column: str | None = None
+    partition_column: str | None = None
+    compression: str = "snappy"
+    encoding: str = "utf-8"
+    query: str | None = None
+
+
+def extract_configured(
+    spark: SparkSession, source: Source, options: ExtractOptions, last_mark: Column | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rows to land, and the new high-water mark of an incremental extract.
+
+    With a query of their own users filter by watermark themselves. Change feeds (``cdc``) are extracted
+    whole and applied downstream.
+    """
+    if options.load_strategy not in ("full_load", "incremental", "cdc"):
+        raise ValueError(f"unknown load strategy {options.load_strategy!r}")
+    name = options.table.split(".")[-1]
+    rows = extract(spark, source, options.table, options.query, {name: options.table})
+    if options.load_strategy != "incremental" or options.query is not None or last_mark is None:
+        return rows, None
+    if options.watermark_column is None:
+        raise ValueError("an incremental extract needs a watermark column")
+    return extract_incremental(rows, options.watermark_column, last_mark)
+
+
+def land(df: DataFrame, path: str, options: ExtractOptions, fmt: str = "parquet", mode: str = "overwrite") -> None:
+    """Write extracted rows in the layout, compression and encoding the options ask for."""
+    partitions = [options.partition_column] if options.partition_column else None
+    write_dataset(df, path, fmt, mode, partitions, options.compression, options.encoding)
+
+
 def extract_files(
     spark: SparkSession, root: str, fmt: str = "parquet", glob: str | None = None, recursive: bool = True,
     schema: str | None = None, options: dict[str, str] | None = None,
