@@ -86,6 +86,15 @@ def test_append_refuses_unknown_columns_unless_merging(spark):
         tables.load(wider, path, mode="upsert")
 
 
+def test_batches_are_bounded_and_typed(spark):
+    path = scratch_path(spark, "bounded")
+    tables.write_dataset(spark.range(10_000), path, max_records=1000, schema="id int")
+    back = spark.read.parquet(path)
+    sizes = back.groupBy(F.col("_metadata.file_path").alias("f")).count().collect()
+    assert back.dtypes == [("id", "int")] and sum(r["count"] for r in sizes) == 10_000
+    assert len(sizes) >= 10 and max(r["count"] for r in sizes) <= 1000
+
+
 def test_files_by_glob(spark):
     root = scratch_path(spark, "files")
     tables.write_dataset(spark.range(10).selectExpr("id", "id % 2 AS g"), f"{root}/sub", "json", partition_by=["g"])

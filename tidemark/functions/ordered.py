@@ -31,9 +31,9 @@ def largest_key(df: DataFrame, keys: list[str]) -> int:
 class Ordered:
     """Rows of a table in order within keys, to which order-dependent columns are added."""
 
-    def __init__(self, df: DataFrame, order: list[str], keys: list[str] | None = None, hot_rows: int = HOT_ROWS):
+    def __init__(self, df: DataFrame, order: list[str], keys: list[str] | None = None, hot_rows: int | None = None):
         self.order, self.keys = order, list(keys or [])
-        self.segmented = largest_key(df, self.keys) > hot_rows
+        self.segmented = largest_key(df, self.keys) > (HOT_ROWS if hot_rows is None else hot_rows)
         self.rows = self._segments(df) if self.segmented else df
 
     def _segments(self, df: DataFrame) -> DataFrame:

@@ -53,7 +53,8 @@ def trace(lineage: DataFrame, starts: DataFrame, direction: str, labels: list[st
     and cycles are harmless. ``both`` walks both ways in the same rounds and tells them apart.
 
     Every round writes only the newly reached columns, into a folder for that depth; what was reached
-    before is the folders so far. A small frontier is broadcast by its file size; a large one is joined
+    before is the folders so far. Edges lie sorted by object, and a round reads only those between the
+    first and the last object of its frontier. A small frontier is broadcast by its file size; a large one is joined
     by shuffle, where adaptive execution splits the edges of a hub. (Edges are not bucketed by column,
     since a bucket cannot be split.)
     """
@@ -65,7 +66,7 @@ def trace(lineage: DataFrame, starts: DataFrame, direction: str, labels: list[st
     here = ["direction", "object_id", "column_name"] if direction == "both" else ["object_id", "column_name"]
     node = [*labels, *here]
     steps_path = scratch_path(spark, "steps")
-    steps = cut(_steps(lineage, ways), at=steps_path)
+    steps = cut(_steps(lineage, ways).sortWithinPartitions("object_id", "column_name"), at=steps_path)
     base = scratch_path(spark, "trace")
     begin = starts.withColumn("direction", F.explode(F.array(*[F.lit(way) for way in ways])))
     fresh = begin.select(*node).dropna().distinct()
@@ -73,12 +74,14 @@ def trace(lineage: DataFrame, starts: DataFrame, direction: str, labels: list[st
     depth = 0
     while True:
         watch = Observation()
-        fresh.observe(watch, F.count(F.lit(1)).alias("n")).write.parquet(f"{base}/depth={depth}")
+        seen = [F.count(F.lit(1)).alias("n"), F.min("object_id").alias("low"), F.max("object_id").alias("high")]
+        fresh.observe(watch, *seen).write.parquet(f"{base}/depth={depth}")
         if watch.get["n"] == 0:
             break
+        near = steps.where(F.col("object_id").between(watch.get["low"], watch.get["high"]))
         newest = spark.read.schema(schema).parquet(f"{base}/depth={depth}")
         reached = spark.read.schema(schema).parquet(*[f"{base}/depth={d}" for d in range(depth + 1)])
-        onward = newest.join(steps.select(*here, "next_object", "next_column"), here).select(
+        onward = newest.join(near.select(*here, "next_object", "next_column"), here).select(
             *[c for c in node if c not in ("object_id", "column_name")],
             F.col("next_object").alias("object_id"), F.col("next_column").alias("column_name"),
         )

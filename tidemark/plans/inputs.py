@@ -163,7 +163,7 @@ DERIVED = {
                concat('o', CAST(o_orderkey AS STRING)), CASE WHEN o_orderstatus = 'F' THEN 'SHA256(key)' END
         FROM {orders}
         UNION ALL
-        SELECT DISTINCT 'orders', concat('o', CAST(l_orderkey AS STRING)), 'part',
+        SELECT 'orders', concat('o', CAST(l_orderkey AS STRING)), 'part',
                concat('p', CAST(l_partkey AS STRING)), CASE WHEN l_returnflag = 'R' THEN 'SUM(quantity)' END
         FROM {lineitem}""",
     # API pages of customers: eight items a page, 25 pages a resource, wrapped in turn six ways.

@@ -270,7 +270,7 @@ def _(t: Inputs) -> DataFrame:
     FROM {orders} GROUP BY o_orderstatus""")
 def _(t: Inputs) -> DataFrame:
     path = scratch_path(t.spark, "delivery")
-    export_publish(t.orders, path, ["o_orderstatus"], max_records=2000)
+    export_publish(t.orders, path, ["o_orderstatus"])
     return reconcile.validate_delivery(t.orders, t.spark.read.parquet(path), list(_ORDER_TEXTS), ["o_orderstatus"])
 
 
