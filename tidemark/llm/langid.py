@@ -23,6 +23,8 @@ SAMPLE_PER_LABEL, MOST_LABELS = 400, 200
 #: Share of the sample that calibrates.
 CALIBRATE_EVERY = 4
 EPOCHS, BATCH, RATE = 6, 32, 0.5
+#: A mean of embeddings is short and a subword's share of a text small, so their steps are scaled up.
+LAYER_STEP, EMBED_STEP = 8, 4
 CHUNK = 1 << 18
 
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -142,11 +144,10 @@ def train(texts: list[bytes], labels: list[str], false_rejects: float = 0.0, see
             error = _softmax(mean @ layer + bias)
             error[np.arange(len(batch)), y[batch]] -= 1
             back = error @ layer.T
-            layer -= rate * (mean.T @ error)
+            layer -= rate * LAYER_STEP * (mean.T @ error) / len(batch)
             bias -= rate * error.mean(axis=0)
             owner = np.repeat(np.arange(len(batch)), [len(rows[i][0]) for i in batch])
-            # A subword's share of a text is small, so its step is scaled up to the size of the text's step.
-            np.subtract.at(embed, bucket, rate * 20 * share[:, None] * back[owner])
+            np.subtract.at(embed, bucket, rate * EMBED_STEP * share[:, None] * back[owner])
     model = Model(names, embed @ layer, bias)
     check = np.flatnonzero(held) if held.any() else fit
     if len(check):
@@ -157,9 +158,9 @@ def train(texts: list[bytes], labels: list[str], false_rejects: float = 0.0, see
         p = _softmax(logits / model.temperature)
         right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y[check]])
         if len(right):
-            # Half way from chance to the lowest score that may not be lost.
+            # A quarter of the way from chance to the lowest score that may not be lost.
             chance = 1 / len(names)
-            model.reject_below = float(chance + max(0.0, right[int(false_rejects * len(right))] - chance) / 2)
+            model.reject_below = float(chance + max(0.0, right[int(false_rejects * len(right))] - chance) / 4)
     return model
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, jaccard, langid, secrets
+from tidemark.llm import bpe, jaccard, langid, pathratio, secrets, warc
 
 #: Vocabulary file of op9; every executor has the package it lies in.
 VOCABULARY = "word_bpe_49k.json"
@@ -22,10 +22,18 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(_table(spark, sf_dir, "documents"), n=3, percent=90).drop("row_key")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(_table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pathratio.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -42,7 +50,9 @@ def vocabulary() -> str:
 
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op4_warc": op4_warc,
     "op5_language_id": op5_language_id,
+    "op7_html_extraction": op7_html_extraction,
     "op9_bpe": op9_bpe,
     "op10_secret_scan": op10_secret_scan,
 }
