@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, jaccard, langid, pathratio, secrets, warc
+from tidemark.llm import bpe, hnsw, jaccard, langid, pathratio, secrets, warc
 
 #: Vocabulary file of op9; every executor has the package it lies in.
 VOCABULARY = "word_bpe_49k.json"
@@ -34,6 +35,10 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pathratio.extract(_table(spark, sf_dir, "pages"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(_table(spark, sf_dir, "embeddings"), F.expr("vec_id % 20 = 0"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op4_warc": op4_warc,
     "op5_language_id": op5_language_id,
     "op7_html_extraction": op7_html_extraction,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_bpe": op9_bpe,
     "op10_secret_scan": op10_secret_scan,
 }
