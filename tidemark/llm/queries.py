@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, hnsw, jaccard, langid, pathratio, secrets, warc
+from tidemark.llm import bpe, hnsw, jaccard, langid, mixing, multiindex, pathratio, secrets, warc
 
 #: Vocabulary file of op9; every executor has the package it lies in.
 VOCABULARY = "word_bpe_49k.json"
@@ -23,6 +23,17 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(_table(spark, sf_dir, "documents"), n=3, percent=90).drop("row_key")
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return placed.drop("text")
+
+
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL AND size(embedding) > 0")
+    codes = rows.select("vec_id", multiindex.sign_code(F.col("embedding")).alias("code"))
+    return multiindex.top_k(codes, F.expr("vec_id % 100 = 0"), k=10)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -55,6 +66,8 @@ def vocabulary() -> str:
 
 QUERIES: dict[str, Query] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_source_mix": op2_source_mix,
+    "op3_top_k": op3_top_k,
     "op4_warc": op4_warc,
     "op5_language_id": op5_language_id,
     "op7_html_extraction": op7_html_extraction,
@@ -86,4 +99,15 @@ least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
 degree AS (SELECT a, count(*) AS n_links FROM both_ways GROUP BY a)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, coalesce(g.n_links, 0) AS n_links
 FROM documents d LEFT JOIN sized s USING (doc_id) JOIN least l ON l.a = d.doc_id LEFT JOIN degree g ON g.a = d.doc_id""",
+    "op3_top_k": r"""
+WITH bits AS (
+    SELECT vec_id, [CASE WHEN list_sum([embedding[j]::DOUBLE FOR j IN range(i + 1, len(embedding) + 1, 64)]) > 0 THEN 1 ELSE 0 END
+                    FOR i IN range(0, 64)] AS b
+    FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0),
+codes AS (SELECT vec_id, list_aggregate(b, 'string_agg', '')::BIT AS code FROM bits),
+pairs AS (
+    SELECT q.vec_id AS query_id, c.vec_id, bit_count(xor(q.code, c.code))::INTEGER AS distance
+    FROM codes q JOIN codes c ON q.vec_id % 100 = 0 AND c.vec_id != q.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs) WHERE rank <= 10""",
 }
