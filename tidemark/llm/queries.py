@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, hnsw, jaccard, langid, mixing, multiindex, pathratio, secrets, warc
+from tidemark.llm import bpe, gru, hnsw, jaccard, langid, mixing, multiindex, pathratio, secrets, warc
 
 #: Vocabulary file of op9; every executor has the package it lies in.
 VOCABULARY = "word_bpe_49k.json"
@@ -42,6 +42,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(_table(spark, sf_dir, "documents"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rows = gru.score(docs, langid.fold(docs, 7) != 2)
+    return rows.select("doc_id", (~F.col("trained")).alias("held_out"), *rows.columns[2:])
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pathratio.extract(_table(spark, sf_dir, "pages"))
 
@@ -70,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op3_top_k": op3_top_k,
     "op4_warc": op4_warc,
     "op5_language_id": op5_language_id,
+    "op6_lm_score": op6_lm_score,
     "op7_html_extraction": op7_html_extraction,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_bpe": op9_bpe,
