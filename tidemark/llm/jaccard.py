@@ -5,7 +5,7 @@ ones first, taken from counts in a fixed number of buckets over all documents; a
 one makes the product sparse. A linked pair must share a column among each row's first ``size - least overlap + 1``, so
 the product needs these columns only. It is computed in blocks of neighbouring size bands; a pair is discarded as soon
 as its sizes, its positions or the parity bits of its rows show that the overlap stays below the bound. The overlap of
-the pairs left is then counted over all columns.
+the pairs left is then accumulated over all columns and held against the bound that their sizes give.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -116,24 +116,42 @@ def _prefixes(n: int, percent: int, counts):
     return run
 
 
+def _packed(cells: np.ndarray) -> bytes:
+    """Five bytes of each hash: two different shingles of a pair of long texts meet in them once in millions of pairs."""
+    low = np.sort(cells & np.uint64((1 << 40) - 1))
+    return np.ascontiguousarray(low.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).reshape(-1)
+
+
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, cells = [], []
             for row in shingle_sets(_texts(batch), n):
                 keys.append(set_hash(row))
-                cells.append(row.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(cells, pa.binary())], names=["key", "cells"])
+                cells.append(_packed(row))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), pa.array(cells, pa.binary()), batch.column(1)], names=["key", "cells", "members"])
 
     return run
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        shared = [
-            len(np.intersect1d(np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64), assume_unique=True))
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64())], names=["a", "b", "overlap"])
+def _linked(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                a, b = _unpacked(a), _unpacked(b)
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append((100 + percent) * shared >= percent * (len(a) + len(b)))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -150,20 +168,25 @@ def profile(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def candidates(docs: DataFrame, profiles: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) of set keys that the size-derived bounds do not rule out; a has the smaller set."""
+    """Pairs (a, b) of set keys that the size-derived bounds do not rule out; a has the smaller set."""
     held = docs.sparkSession.sparkContext.broadcast(counts)
+    # Dealt by column once: the columns that several sets hold and their entries come from one exchange, as long as both
+    # sides of the join ask for the same fields of it.
     entries = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(
-        _prefixes(n, percent, held), "col long, key long, n int, pos int")
-    shared = entries.groupBy("col").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo != hi").select("col")
+        _prefixes(n, percent, held), "col long, key long, n int, pos int").repartition("col")
+    shared = entries.groupBy("col").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.max("n").alias("n"), F.max("pos").alias("pos"))
+    shared = shared.filter("lo != hi AND n > pos").select("col")
     # Copies of a text give equal entries; one of each is left.
     entries = cut(entries.join(shared, "col").groupBy("col", "key").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "entries")
     bits = profiles.groupBy("key").agg(*(F.min(w).alias(w) for w in _WORDS))
     width = math.log(100 / percent) * 1.000001 if percent < 100 else 1.0
     entries = entries.join(bits, "key").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int"))
+    before = Window.partitionBy("key").orderBy("pos")
+    entries = entries.withColumn("prev", F.lag("col").over(before))
     smaller = F.col("pos") < F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent)) + 1
     left = entries.filter(smaller).withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
-    left = left.select("col", "band", *(F.col(c).alias(f"{c}_a") for c in ("key", "n", "pos", *_WORDS)))
-    right = entries.select("col", "band", *(F.col(c).alias(f"{c}_b") for c in ("key", "n", "pos", *_WORDS)))
+    left = left.select("col", "band", *(F.col(c).alias(f"{c}_a") for c in ("key", "n", "pos", "prev", *_WORDS)))
+    right = entries.select("col", "band", *(F.col(c).alias(f"{c}_b") for c in ("key", "n", "pos", "prev", *_WORDS)))
 
     def reaches(overlap) -> F.Column:
         return F.lit(100 + percent) * overlap >= F.lit(percent) * (F.col("n_a") + F.col("n_b"))
@@ -175,31 +198,25 @@ def candidates(docs: DataFrame, profiles: DataFrame, counts: np.ndarray, n: int,
         & (F.lit(100) * F.col("n_a") >= F.lit(percent) * F.col("n_b"))
         & reaches(F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")))
         & (F.lit(100 + percent) * (F.col("n_a") + F.col("n_b") - apart) >= F.lit(2 * percent) * (F.col("n_a") + F.col("n_b"))))
-    product = left.join(right, ["col", "band"]).filter(keep)
-    overlap = product.groupBy("key_a", "key_b", "n_a", "n_b").agg(
-        F.count(F.lit(1)).alias("seen"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
-    possible = F.col("seen") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
-    return overlap.filter(reaches(possible)).select(
-        F.col("key_a").alias("a"), F.col("key_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb"))
+    # Where both have the same column just before, the pair is found there already.
+    found_before = F.coalesce(F.col("prev_a") == F.col("prev_b"), F.lit(False))
+    product = left.join(right, ["col", "band"]).filter(keep & ~found_before)
+    return product.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
 
 
 def links(docs: DataFrame, profiles: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(a, b): set keys of different sets whose Jaccard similarity is ``percent`` or more, each pair once."""
+    """(a, b, in_a, in_b): set keys of different sets whose Jaccard similarity is ``percent`` or more, each pair once, and
+    the rows that have each set."""
     pairs = cut(candidates(docs, profiles, counts, n, percent), "pairs")
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     # One document of each wanted set; the key is computed again from its text, so a doc_id may be shared or null.
-    holders = profiles.join(wanted, "key").groupBy("key").agg(F.min("row_key").alias("row_key")).select("row_key")
-    texts = _keyed(docs).select("row_key", "text").join(holders.distinct(), "row_key")
-    cells = texts.mapInArrow(_only_text(_sets(n)), "key long, cells binary").groupBy("key").agg(F.first("cells").alias("cells"))
-    both = pairs.join(cells.select(F.col("key").alias("a"), F.col("cells").alias("ca")), "a").join(
-        cells.select(F.col("key").alias("b"), F.col("cells").alias("cb")), "b")
-    counted = both.select("a", "b", "ca", "cb").mapInArrow(_overlaps, "a long, b long, overlap long")
-    enough = F.lit(100 + percent) * F.col("overlap") >= F.lit(percent) * (F.col("na") + F.col("nb"))
-    return cut(counted.join(pairs, ["a", "b"]).filter(enough).select("a", "b"), "jaccard-links")
-
-
-def _only_text(inner):
-    return lambda batches: inner(batch.select(["text"]) for batch in batches)
+    holders = profiles.join(wanted, "key").groupBy("key").agg(F.min("row_key").alias("row_key"), F.count(F.lit(1)).alias("members"))
+    texts = _keyed(docs).select("row_key", "text").join(holders.drop("key").dropDuplicates(["row_key"]), "row_key").select("text", "members")
+    cells = texts.mapInArrow(_sets(n), "key long, cells binary, members long").groupBy("key").agg(
+        F.first("cells").alias("cells"), F.first("members").alias("members"))
+    both = pairs.join(cells.toDF("a", "ca", "in_a"), "a").join(cells.toDF("b", "cb", "in_b"), "b")
+    return cut(both.select("a", "b", "in_a", "in_b", "ca", "cb").mapInArrow(
+        _linked(percent), "a long, b long, in_a long, in_b long"), "jaccard-links")
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -216,9 +233,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rows, counts = profile(docs, n)
     found = links(docs, rows, counts, n, percent)
     classes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members"))
-    both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    beside = both.join(classes.select(F.col("key").alias("b"), "members"), "b").groupBy(F.col("a").alias("key")).agg(
-        F.sum("members").alias("others"))
+    beside = found.select(F.col("a").alias("key"), F.col("in_b").alias("n")).union(found.select("b", "in_a")).groupBy("key").agg(
+        F.sum("n").alias("others"))
     member = components(found)
     whole = member.join(classes.select(F.col("key").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("whole"))
     member = member.join(whole, "component").select(F.col("node").alias("key"), "whole")
