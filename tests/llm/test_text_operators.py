@@ -288,6 +288,8 @@ def test_secret_spans(spark):
     got = secrets.scan(_docs(spark, rows)).collect()
     want = [(r[0], hashlib.sha256(_spans(r[1]).encode()).hexdigest()) for r in rows]
     assert _bare([(r["doc_id"], r["base_sha256"]) for r in got]) == _bare(want)
+    counts = [(r[0], *(_spans(r[1]).count(f"{k}:") for k in secrets.KINDS[:3])) for r in rows]
+    assert _bare([(r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"]) for r in got]) == _bare(counts)
     by_id = {r["doc_id"]: r for r in got}
     start = TEXTS[3][1].index(OWN)
     assert by_id[3]["spans"].split(",")[0] == f"owned:{start}:{start + len(OWN)}" and by_id[3]["n_owned"] == 2

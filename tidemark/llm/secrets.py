@@ -120,8 +120,11 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
     def count(items: str, test) -> Column:
         return F.size(F.filter(items, test)).cast("long")
 
+    def of_kind(k: int):
+        return lambda s: s["kind"] == k
+
     return grouped.select(
-        "doc_id", *(count("base", lambda s, k=k: s["kind"] == k).alias(f"n_{KINDS[k]}") for k in range(3)),
+        "doc_id", *(count("base", of_kind(k)).alias(f"n_{KINDS[k]}") for k in range(3)),
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.array_sort(F.concat("base", "owned"))).alias("spans"),
         F.size("owned").cast("long").alias("n_owned"), count("base", lambda s: s["live"]).alias("n_live"),
