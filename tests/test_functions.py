@@ -79,3 +79,62 @@ def test_type_map_falls_back_to_the_bare_type(spark, rows):
     assert rows(normalize_types(df), "type", "normalized_type") == [
         ("Inet", "unknown"), ("NoneType", "string"), ("Numeric", "float"), ("date", "timestamp"), ("file", "string"),
         ("integer", "bigint"), ("string", "string")]
+
+
+def test_names_keep_letters_and_fold_accents():
+    from tidemark.functions.names import canonical_names
+
+    assert canonical_names(["endereço", "価格", "Ünit Price", "a-b", "__", "orderID"]) == ["endereco", "価格", "unit_price", "a_b", "col", "order_id"]
+
+
+def test_exact_hash_tells_rows_apart(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions.checksum import checksum, exact_hash
+
+    rows = [("a|b", "c", 1e17), ("a", "b|c", 1e17), ("\\N", "c", 0.001), (None, "c", 0.001), ("a", "c", 0.0010000000000000002),
+            ("a", "c", float("nan")), ("a", "c", None), ("a", "c", float("inf"))]
+    df = spark.createDataFrame(rows, "x string, y string, z double")
+    assert df.select(F.count_distinct(exact_hash(df, df.columns))).first()[0] == len(rows)
+    assert df.agg(checksum(df)).first()[0]
+
+
+def test_any_first_value_can_be_ready(spark):
+    from tidemark.operators.health import is_ready
+
+    for sql, want in (("SELECT current_date()", True), ("SELECT array()", True), ("SELECT X'00'", True), ("SELECT timestamp '2024-01-01'", True),
+                      ("SELECT 0.0", False), ("SELECT CAST(NULL AS DATE)", False), ("SELECT ''", False), ("SELECT 2", True)):
+        assert is_ready(spark.sql(sql)).first()["ready"] is want
+
+
+def test_an_updated_tie_is_fetched_again(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.sources.tables import extract_incremental, extract_unmarked
+
+    now = spark.createDataFrame([(1, 31), (2, 30), (3, 30), (4, 40), (5, None)], "k int, w int")
+    loaded = spark.createDataFrame([(1, 30), (2, 30)], "k int, w int")
+    fresh, mark = extract_incremental(now, "w", F.lit(30), True, loaded, ["k"], upto=F.lit(35))
+    assert sorted(r["k"] for r in fresh.collect()) == [1, 3] and mark.first()["high_watermark"] == 31
+    assert [r["k"] for r in extract_unmarked(now, "w").collect()] == [5]
+
+
+def test_unfit_changes_and_unreadable_documents_are_reported(spark):
+    from tidemark.operators.cdc import rejected_changes
+    from tidemark.operators.infer import unreadable_documents
+
+    changes = spark.createDataFrame([(1, None, 1), (2, "delete", None), (3, "update", 2)], "k int, op string, seq int")
+    assert sorted((r["k"], r["reason"]) for r in rejected_changes(changes, "seq", "op").collect()) == [
+        (1, "no operation"), (2, "no sequence number")]
+    docs = spark.createDataFrame([("a", "{}"), ("a", "{oops"), ("b", None)], "o string, body string")
+    assert sorted(tuple(r) for r in unreadable_documents(docs, "body", "o").collect()) == [("a", 2, 1), ("b", 1, 0)]
+
+
+def test_mappings_repeated_in_a_batch_are_stored_once(spark):
+    from tidemark.operators.lineage import upsert
+
+    kind = "pipeline_id string, source_object_id string, destination_object_id string, mapping string"
+    old = spark.createDataFrame([("p", "a", "b", "1"), ("p", None, "c", "2")], kind)
+    new = spark.createDataFrame([("p", "a", "b", "3"), ("p", "a", "b", "4"), ("p", None, "c", "5")], kind)
+    assert {tuple(r) for r in upsert(old, new).collect()} == {("p", "a", "b", "4"), ("p", None, "c", "5")}
+    assert upsert(old, new).count() == 2

@@ -14,7 +14,9 @@ def canonical_text(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
     value = F.col(name)
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        value = value.cast("decimal(18,2)")
+        # 38 digits hold any amount; what is no number at all keeps its name.
+        fits = F.abs(value) < F.lit(1e35)
+        value = F.when(fits, F.when(fits, value).cast("decimal(38,2)").cast("string")).otherwise(value.cast("string"))
     return F.coalesce(value.cast("string"), F.lit(NULL_MARK))
 
 
@@ -22,6 +24,25 @@ def row_hash(df: DataFrame, columns: list[str]) -> Column:
     return F.md5(F.concat_ws("|", *[canonical_text(df, c) for c in columns]))
 
 
+def exact_hash(df: DataFrame, columns: list[str]) -> Column:
+    """128 bits that tell any two different rows of these columns apart.
+
+    Every value is written in full (a double by its shortest exact text, so NaN and the smallest change count) and
+    preceded by its length; null is a mark of its own, never a text.
+    """
+    parts = []
+    for name in columns:
+        kind, value = df.schema[name].dataType, F.col(name)
+        if isinstance(kind, T.BinaryType):
+            text = F.hex(value)
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            text = F.to_json(F.struct(value))
+        else:
+            text = value.cast("string")
+        parts.append(F.when(value.isNull(), F.lit("n")).otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text)))
+    return F.md5(F.concat(*parts))
+
+
 def checksum(df: DataFrame, columns: list[str] | None = None) -> Column:
     """Aggregate column: sum of the first 32 bits of each row's md5.
 

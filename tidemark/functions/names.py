@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 
 def canonical_name(name: str) -> str:
-    """Trimmed, lower snake case, every run of other characters one underscore."""
-    words = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name.strip())
-    return re.sub(r"[^a-z0-9]+", "_", words.lower()).strip("_") or "col"
+    """Trimmed, lower snake case, every run of other characters one underscore; accents fold, other letters stay."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", name.strip()) if not unicodedata.combining(c))
+    words = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", unicodedata.normalize("NFC", plain))
+    return re.sub(r"[\W_]+", "_", words.lower()).strip("_") or "col"
 
 
 def canonical_names(names: list[str]) -> list[str]:

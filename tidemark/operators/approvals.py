@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.drift import CRITICAL
@@ -22,10 +22,15 @@ def recent_runs(runs: DataFrame, n: int = 20) -> DataFrame:
     return runs.withColumn("recency", F.row_number().over(newest)).where(F.col("recency") <= n)
 
 
+def _part(name: str) -> Column:
+    """A part of an id, with the separator escaped so that two ids never meet."""
+    return F.replace(F.replace(F.col(name), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+
+
 def open_approvals(events: DataFrame) -> DataFrame:
     """One pending approval per critical event."""
     return events.where(F.col("change_type").isin(*CRITICAL)).select(
-        F.concat_ws("/", "object_id", F.coalesce("field_name", F.lit("")), "change_type").alias("approval_id"),
+        F.concat_ws("/", _part("object_id"), F.coalesce(_part("field_name"), F.lit("")), "change_type").alias("approval_id"),
         "object_id", "field_name", "change_type", F.col("description").alias("severity_description"),
         F.lit("pending").alias("decision"),
     )

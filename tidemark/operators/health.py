@@ -60,7 +60,9 @@ def truthy(value: Column, kind: str) -> Column:
         return F.coalesce(value, F.lit(False))
     if kind == "string":
         return F.coalesce(value != "", F.lit(False))
-    return F.coalesce(value != 0, F.lit(False))
+    if kind.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")) and not kind.startswith("interval"):
+        return F.coalesce(value != 0, F.lit(False))
+    return value.isNotNull()  # dates, arrays, binaries and the like have no zero
 
 
 def is_ready(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.globs import matches_any
@@ -35,19 +35,21 @@ def _entries(docs: DataFrame, keep: list[str], body: str) -> DataFrame:
                            F.col("value").alias("_value"))
 
 
+def unreadable_documents(docs: DataFrame, body_col: str, object_col: str) -> DataFrame:
+    """Documents per collection, and how many of them cannot be parsed."""
+    broken = F.col(body_col).isNotNull() & F.try_parse_json(F.col(body_col)).isNull()
+    return docs.groupBy(F.col(object_col).alias("object_id")).agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(broken).alias("unreadable"))
+
+
 def infer_json_fields(
-    docs: DataFrame, body_col: str, object_col: str, sample: int | None = None
+    docs: DataFrame, body_col: str, object_col: str
 ) -> DataFrame:
     """Fields of document collections: one observed type is the type, several make it a string.
 
     A null counts as a type of its own and alone becomes a string; ``_id`` is skipped; all fields are
-    nullable. The default reads every document; ``sample`` looks at that many per collection, picked by a
-    hash of their text so that a retry sees the same ones.
+    nullable. Every document is read; ``unreadable_documents`` counts those that are no JSON.
     """
-    if sample is not None:
-        # Each task keeps its own first rows per collection before the shuffle.
-        picked = Window.partitionBy(object_col).orderBy(F.xxhash64(body_col), body_col)
-        docs = docs.withColumn("_pick", F.row_number().over(picked)).where(F.col("_pick") <= sample).drop("_pick")
     parsed = docs.select(F.col(object_col).alias("object_id"), F.try_parse_json(F.col(body_col)).alias("_body"))
     observed = _entries(parsed, ["object_id"], "_body").where("name IS NOT NULL AND name <> '_id'")
     typed = observed.select("object_id", "name", _value_type(F.col("_value")).alias("_type"))

@@ -123,8 +123,15 @@ def neighbourhood(mappings: DataFrame, objects: DataFrame, direction: str) -> Da
 
 
 def upsert(mappings: DataFrame, new: DataFrame) -> DataFrame:
-    """Replace mappings with the same (pipeline, source, destination), add the others."""
-    return mappings.join(new.select(*MAPPING_KEY), MAPPING_KEY, "left_anti").unionByName(new)
+    """Replace mappings with the same (pipeline, source, destination), add the others.
+
+    A key repeated in ``new`` is stored once, with the greatest of its other values; null key parts equal each other.
+    """
+    rest = [c for c in mappings.columns if c not in MAPPING_KEY]
+    once = new.groupBy(*MAPPING_KEY).agg(F.max(F.struct(*rest)).alias("_v")).select(*MAPPING_KEY, *[F.col(f"_v.{c}").alias(c) for c in rest])
+    taken = once.select(*[F.col(c).alias(f"_n_{c}") for c in MAPPING_KEY])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in MAPPING_KEY])
+    return mappings.join(taken, same, "left_anti").unionByName(once)
 
 
 def raw_lineage(source_fields: DataFrame, destination_fields: DataFrame, links: DataFrame) -> DataFrame:

@@ -164,7 +164,7 @@ def _long_metrics(df: DataFrame, wanted: dict[tuple[str, str | None], Column], b
 def evaluate_gate(metrics: DataFrame, rules: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Violations of ``rules`` by ``metrics``: one row per failed rule with its message.
 
-    A metric that was not computed is a violation; an unknown rule type passes. ``by`` evaluates every
+    A metric that was not computed, or computed to null, is a violation; an unknown rule type passes. ``by`` evaluates every
     rule for each distinct batch found in the metrics.
     """
     by = list(by or [])
@@ -179,7 +179,7 @@ def evaluate_gate(metrics: DataFrame, rules: DataFrame, by: list[str] | None = N
         return _evaluate_batches(metrics, known, by)
     found = metrics.select(
         F.col("metric").alias("_metric"), F.col("column").alias("_found"), F.col("value").alias("_value"),
-        F.col("text").alias("_text"), F.lit(True).alias("_present"),
+        F.col("text").alias("_text"), (F.col("value").isNotNull() | F.col("text").isNotNull()).alias("_present"),
     )
     joined = known.join(found.withColumnRenamed("_metric", "_m"),
                         (F.col("_metric") == F.col("_m")) & F.col("_column").eqNullSafe(F.col("_found")), "left")
@@ -196,7 +196,7 @@ def _evaluate_batches(metrics: DataFrame, known: DataFrame, by: list[str]) -> Da
     hit = "get(filter(_metrics, m -> m.metric = _metric AND m.column <=> _column), 0)"
     found = rows.withColumn("_hit", F.expr(hit)).selectExpr(
         *by, "rule_id", "type", "column", "value", "text",
-        "_hit IS NOT NULL AS _present", "_hit.value AS _value", "_hit.text AS _text",
+        "(_hit.value IS NOT NULL OR _hit.text IS NOT NULL) AS _present", "_hit.value AS _value", "_hit.text AS _text",
     )
     return found.select(*by, "rule_id", "type", "column", _message().alias("message")).where("message IS NOT NULL")
 

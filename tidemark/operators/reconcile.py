@@ -48,11 +48,11 @@ def validate_delivery(source: DataFrame, delivered: DataFrame, columns: list[str
     """Rows and checksum per delivered unit (``by``) against the source, both sides aggregated first."""
     left = side_totals(source, columns, by, "expected")
     right = side_totals(delivered, columns, by, "actual")
-    joined = left.join(right, by, "full_outer").select(
-        *by,
-        F.coalesce("expected_rows", F.lit(0)).alias("expected_rows"),
-        F.coalesce("actual_rows", F.lit(0)).alias("actual_rows"),
-        "expected_checksum", "actual_checksum",
+    # Grouped rather than joined, so that a null unit meets its like.
+    joined = left.unionByName(right, allowMissingColumns=True).groupBy(*by).agg(
+        F.coalesce(F.max("expected_rows"), F.lit(0)).alias("expected_rows"),
+        F.coalesce(F.max("actual_rows"), F.lit(0)).alias("actual_rows"),
+        F.max("expected_checksum").alias("expected_checksum"), F.max("actual_checksum").alias("actual_checksum"),
     )
     checked = reconcile(joined, source_checksum="expected_checksum", destination_checksum="actual_checksum")
     # A delivery has to be complete and unexpected units fail it, so no tolerance applies.

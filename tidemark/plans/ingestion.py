@@ -69,6 +69,22 @@ def _(t: Inputs) -> DataFrame:
     return cdc.apply_cdc(t.orders, t.order_changes, ["o_orderkey"], "seq", "op")
 
 
+@query("cdc_apply_unfit_changes", """
+    SELECT o_orderkey, o_custkey, o_totalprice + CASE WHEN o_orderkey % 3 = 1 THEN 2 ELSE 0 END AS o_totalprice
+    FROM {orders} WHERE o_orderkey % 3 <> 2""")
+def _(t: Inputs) -> DataFrame:
+    # One change in three has no operation or no number and changes nothing; the others come twice with one number.
+    key = F.col("o_orderkey") % 3
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
+    unfit = orders.where(key == 0).withColumns({
+        "op": F.when(F.col("o_orderkey") % 2 == 0, F.lit("delete")), "seq": F.when(F.col("o_orderkey") % 2 == 1, F.lit(1))})
+    low = orders.where(key == 1).withColumns({"o_totalprice": F.col("o_totalprice") + 1, "op": F.lit("update"), "seq": F.lit(1)})
+    high = low.withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    gone = orders.where(key == 2).withColumns({"op": F.lit("delete"), "seq": F.lit(1)})
+    changes = unfit.unionByName(low).unionByName(high).unionByName(gone)
+    return cdc.apply_cdc(orders, changes, ["o_orderkey"], "seq", "op")
+
+
 @query("partitioned_orders_by_status", """
     SELECT o_orderstatus, count(*) AS n_rows, CAST(sum(o_orderkey) AS BIGINT) AS key_sum
     FROM {orders} GROUP BY o_orderstatus""")
@@ -395,6 +411,34 @@ def _(t: Inputs) -> DataFrame:
     return cdc.export_select(t.orders, t.orders_exported, ["o_orderkey"])
 
 
+# Every line keeps its key; some discounts move by a thousandth, some flags turn null or into the text of a null mark, and
+# some prices become as large as doubles get or no number at all.
+_SMALL_CHANGES = """
+    SELECT l_orderkey, l_linenumber,
+           CASE WHEN l_orderkey % 5 = 0 THEN l_discount + 0.001 ELSE l_discount END AS l_discount,
+           CASE WHEN l_orderkey % 7 = 0 THEN 1e17 WHEN l_orderkey % 11 = 0 THEN CAST('NaN' AS DOUBLE) ELSE l_extendedprice END AS l_extendedprice,
+           CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE concat(l_returnflag, '|') END AS left_part,
+           CASE WHEN l_orderkey % 13 = 1 THEN '|x' ELSE 'x' END AS right_part
+    FROM lineitem"""
+_SMALL_BASE = """
+    SELECT l_orderkey, l_linenumber, l_discount,
+           CASE WHEN l_orderkey % 11 = 0 THEN CAST(NULL AS DOUBLE) ELSE l_extendedprice END AS l_extendedprice,
+           CASE WHEN l_orderkey % 13 = 0 THEN '\\N' WHEN l_orderkey % 13 = 1 THEN l_returnflag ELSE concat(l_returnflag, '|') END AS left_part,
+           CASE WHEN l_orderkey % 13 = 1 THEN '||x' ELSE 'x' END AS right_part
+    FROM lineitem"""
+
+
+@query("export_incremental_small_changes", f"""
+    SELECT l_orderkey, l_linenumber, isnan(l_extendedprice) AS no_number, left_part, right_part
+    FROM ({_SMALL_CHANGES.replace(chr(92) * 2, chr(92))})
+    WHERE l_orderkey % 5 = 0 OR l_orderkey % 7 = 0 OR l_orderkey % 11 = 0 OR l_orderkey % 13 IN (0, 1)""")
+def _(t: Inputs) -> DataFrame:
+    t.lineitem.createOrReplaceTempView("lineitem")
+    source, there = t.spark.sql(_SMALL_CHANGES), t.spark.sql(_SMALL_BASE)
+    changed = cdc.export_select(source, there, ["l_orderkey", "l_linenumber"])
+    return changed.select("l_orderkey", "l_linenumber", F.isnan("l_extendedprice").alias("no_number"), "left_part", "right_part")
+
+
 @query("export_full_orders", "SELECT * FROM {orders}")
 def _(t: Inputs) -> DataFrame:
     return cdc.export_select(t.orders, t.orders_exported, ["o_orderkey"], "full")

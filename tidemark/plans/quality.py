@@ -274,6 +274,35 @@ def _(t: Inputs) -> DataFrame:
     return reconcile.validate_delivery(t.orders, t.spark.read.parquet(path), list(_ORDER_TEXTS), ["o_orderstatus"])
 
 
+@query("validate_delivery_faults", """
+    SELECT CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_orderpriority END AS unit, count(*) AS expected_rows,
+           count(*) FILTER (WHERE NOT (o_orderpriority = '1-URGENT' AND o_orderkey = least)) AS actual_rows,
+           o_orderpriority NOT IN ('1-URGENT', '2-HIGH') AS checksum_ok,
+           o_orderpriority NOT IN ('1-URGENT', '2-HIGH') AS delivered_ok
+    FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY o_orderpriority) AS least FROM {orders}) o GROUP BY o_orderpriority""")
+def _(t: Inputs) -> DataFrame:
+    # Urgent orders lose a row, high ones have one changed, low ones belong to no named unit.
+    least = t.orders.groupBy("o_orderpriority").agg(F.min("o_orderkey").alias("least"))
+    named = t.orders.withColumn("unit", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")))
+    marked = named.join(least, "o_orderpriority")
+    first = F.col("o_orderkey") == F.col("least")
+    delivered = marked.where(~(first & (F.col("o_orderpriority") == "1-URGENT"))).withColumn(
+        "o_totalprice", F.when(first & (F.col("o_orderpriority") == "2-HIGH"), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return reconcile.validate_delivery(named, delivered, list(_ORDER_TEXTS), ["unit"])
+
+
+@query("gate_null_metrics", """
+    SELECT 0 AS rule_id, 'row_count_min' AS type, CAST(NULL AS VARCHAR) AS "column", 'VIOLATION row_count_min: metric not computed/missing' AS message
+    WHERE (SELECT count(*) FROM {orders}) >= 0
+    UNION ALL SELECT 1, 'null_pct_max', 'o_custkey', 'VIOLATION null_pct_max: metric not computed/missing'""")
+def _(t: Inputs) -> DataFrame:
+    rules = [Rule("row_count_min", None, 1.0), Rule("null_pct_max", "o_custkey", 5.0)]
+    # A table without rows has no share of nulls; a count that came out null is no count.
+    nothing = quality.profile(t.orders.where("o_orderkey IS NULL"), rules)
+    nulled = nothing.withColumn("value", F.when(F.col("metric") != "row_count", F.col("value")))
+    return quality.evaluate_gate(nulled, quality.rules_frame(t.spark, rules))
+
+
 @query("contract_required", """
     SELECT o_orderpriority, 'o_custkey' AS "column", count(*) AS null_rows
     FROM {orders_broken} WHERE o_custkey IS NULL GROUP BY o_orderpriority""")

@@ -92,25 +92,34 @@ def extract(
 
 def extract_incremental(
     df: DataFrame, watermark: str, last: Column, inclusive: bool = False, loaded: DataFrame | None = None,
-    keys: list[str] | None = None,
+    keys: list[str] | None = None, upto: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Rows above the last high-water mark, and the new mark.
 
-    ``inclusive`` also re-reads rows equal to the mark (late ties) and drops those whose keys are
-    already in ``loaded``. With no new rows the old mark is kept.
+    ``inclusive`` also re-reads rows equal to the mark (late ties) and drops those of them whose keys ``loaded`` has at
+    the mark; a key updated since has a higher mark and is kept. ``upto`` is an upper bound fixed beforehand, so that
+    rows and mark agree while rows still arrive. With no new rows the old mark is kept. Rows without a mark are in
+    neither; ``extract_unmarked`` returns them.
     """
+    if upto is not None:
+        df = df.where(F.col(watermark) <= upto)
     if inclusive:
         fresh = df.where(F.col(watermark) >= last)
         if loaded is not None:
             # Only ties with the mark can have been loaded before, so only those keys are compared.
-            ties = loaded.where(F.col(watermark) == last).select(*keys).distinct()
-            fresh = fresh.join(ties, keys, "left_anti")
+            ties = loaded.where(F.col(watermark) == last).select(*keys, watermark).distinct()
+            fresh = fresh.join(ties, [*keys, watermark], "left_anti")
     else:
         fresh = df.where(F.col(watermark) > last)
     mark = fresh.agg(F.coalesce(F.max(watermark), last).alias("high_watermark"), F.count("*").alias("new_rows"))
     return fresh, mark
 
 
+def extract_unmarked(df: DataFrame, watermark: str) -> DataFrame:
+    """Rows that no incremental extract can reach, as their watermark is null."""
+    return df.where(F.col(watermark).isNull())
+
+
 @dataclass(frozen=True)
 class ExtractOptions:
     """How one source object is extracted and landed."""
