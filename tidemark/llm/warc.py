@@ -89,31 +89,34 @@ def _writer(folder: str):
     return run
 
 
+#: Copies of one row that are listed at a time.
+COPIES = 10_000
+
+
 def with_roles(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, size, digest, refers_to, revisit): of rows with equal payloads that with the smallest page_id is
-    the response (any one of them if it is repeated; a null page_id comes last), others are revisits to it."""
+    the response (a null page_id comes last; of rows alike in page_id that with the smallest url, a null one first), others
+    are revisits to it.
+
+    A payload goes through one exchange, merged before it; revisits are made of ids alone.
+    """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"),
                         F.octet_length(html).cast("long").alias("size"), F.sha1(html).alias("digest"))
-    ids = rows.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
-    least = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "n"))
-    shared = ids.groupBy("digest").agg(F.sum("n").alias("rows"), least.alias("first")).filter("rows > 1").select(
-        "digest", F.col("first.page_id").alias("first"), F.col("first.n").alias("holders"))
-    joined = rows.join(shared, "digest", "left")
-    own = F.col("page_id").eqNullSafe(F.col("first"))
-    tied = F.coalesce(own & (F.col("holders") > 1), F.lit(False))
-    revisit = F.col("holders").isNotNull() & ~own
-    names = ["page_id", "url", "html", "size", "digest", "refers_to", "revisit"]
-    plain = joined.filter(~tied).withColumn("revisit", revisit).withColumn("refers_to", F.when(F.col("revisit"), F.col("first")))
-    plain = plain.withColumn("html", F.when(F.col("revisit"), F.lit("")).otherwise(F.col("html")))
-    # Rows alike in page_id and payload: merged by url, one becomes the response and the others revisits to it.
-    alike = joined.filter(tied).groupBy("digest", "page_id", "size", "url").agg(F.count(F.lit(1)).alias("n"), F.first("html").alias("html"))
-    chosen = alike.groupBy("digest").agg(F.min(F.coalesce("url", F.lit(""))).alias("chosen"), F.max(F.col("url").isNull()).alias("unnamed"))
-    alike = alike.join(chosen, "digest").withColumn("at", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    is_chosen = F.when(F.col("unnamed"), F.col("url").isNull()).otherwise(F.col("url") == F.col("chosen"))
-    alike = alike.withColumn("revisit", ~(is_chosen & (F.col("at") == 1))).withColumn(
-        "refers_to", F.when(F.col("revisit"), F.col("page_id"))).withColumn("html", F.when(F.col("revisit"), F.lit("")).otherwise(F.col("html")))
-    return plain.select(*names).union(alike.select(*names))
+    least = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url"))
+    responses = rows.groupBy("digest").agg(F.first("html").alias("html"), F.first("size").alias("size"), least.alias("first")).select(
+        F.col("first.page_id").alias("page_id"), F.col("first.url").alias("url"), "html", "size", "digest",
+        F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("revisit"))
+    ids = rows.groupBy("digest", "page_id", "url", "size").agg(F.count(F.lit(1)).alias("n"))
+    firsts = ids.groupBy("digest").agg(F.sum("n").alias("rows"), least.alias("first")).filter("rows > 1").select("digest", "first")
+    others = ids.join(firsts, "digest")
+    is_first = F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url"))
+    others = others.withColumn("n", F.col("n") - is_first.cast("long")).filter("n > 0")
+    others = others.withColumn("begun", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))))
+    others = others.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("n") - F.col("begun"), F.lit(COPIES)))))
+    revisits = others.select(
+        "page_id", "url", F.lit("").alias("html"), "size", "digest", F.col("first.page_id").alias("refers_to"), F.lit(True).alias("revisit"))
+    return responses.union(revisits)
 
 
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
