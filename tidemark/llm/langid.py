@@ -165,12 +165,20 @@ def train(texts: list[bytes], labels: list[str], false_rejects: float = 0.0, see
 
 
 def training_sample(docs: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> list:
-    """At most ``per_label`` texts of each label, those with the smallest hashes, in hash order."""
+    """At most ``per_label`` different texts of each label, those with the smallest hashes, in hash order.
+
+    Labels are the ``MOST_LABELS`` with the most texts. Only texts whose hash is in the first 2 * ``per_label`` expected of
+    their label are ranked, so no task gets more of a label, and copies of a text count once.
+    """
+    text = F.col("text").cast("string")
     labelled = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select(
-        F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    order = labelled.withColumn("h", F.xxhash64("text"))
-    first = order.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("k") <= per_label)
-    return first.orderBy("h", "lang", "text").limit(per_label * MOST_LABELS).collect()
+        F.col("lang").cast("string").alias("lang"), F.xxhash64(text).alias("h"), text.alias("text"))
+    sizes = labelled.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = F.broadcast(sizes.orderBy(F.desc("n"), "lang").limit(MOST_LABELS))  # MOST_LABELS rows
+    place = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
+    near = labelled.join(sizes, "lang").filter(place * F.col("n") <= 2 * per_label).select("lang", "h", "text").distinct()
+    first = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("k") <= per_label)
+    return first.orderBy("h", "lang", "text").collect()
 
 
 def fit(docs: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Model:
