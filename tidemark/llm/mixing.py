@@ -21,7 +21,7 @@ from tidemark.session import cut
 #: Slots of a period: weights are rounded to this part. The schedules of all phases have MOST_SOURCES * PERIOD rows at most.
 PERIOD, MOST_SOURCES = 2000, 200
 #: Documents of a block, and of the runs that are numbered one by one in a task.
-BLOCK, RUN = 64, 50_000
+BLOCK, RUN = 64, 2000
 #: Exponent that damps the sizes of sources where no weights are given.
 TEMPERATURE = 0.5
 
