@@ -189,3 +189,13 @@ def test_components_of_a_long_path(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (None, 3)]
     got = {tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {(i, 0) for i in range(41)} | {(i, 100) for i in (100, 101, 102)}
+
+
+def test_roles_of_rows_alike_in_id_and_payload(spark, monkeypatch):
+    monkeypatch.setattr(warc, "COPIES", 2)
+    rows = [(1, "u2", "same"), (1, "u1", "same"), *[(1, "u1", "same")] * 6, (None, "u0", "same"), (2, None, "same"), (3, "u", None), (4, None, "")]
+    got = warc.with_roles(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    roles = sorted(((r["page_id"], r["url"], r["html"], r["refers_to"], r["revisit"]) for r in got), key=repr)
+    want = [(1, "u1", "same", None, False), *[(1, "u1", "", 1, True)] * 6, (1, "u2", "", 1, True), (None, "u0", "", 1, True),
+            (2, None, "", 1, True), (3, "u", "", None, False), (4, None, "", 3, True)]
+    assert roles == sorted(want, key=repr)

@@ -309,3 +309,16 @@ def test_redaction_spares_copied_examples(spark):
 def test_secret_scan_stays_in_the_jvm(spark):
     plan = secrets.scan(_docs(spark, [(1, "x", "en", "a")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_training_sample_takes_different_texts_of_each_label(spark):
+    rows = [(i, "abc copied", "xx", "a") for i in range(200)] + [(200 + i, f"text {i}", "xx", "a") for i in range(300)]
+    rows += [(600, "only one", "yy", "a"), (601, None, "yy", "a"), (602, "no label", None, "a")]
+    got = langid.training_sample(_docs(spark, rows), per_label=20)
+    of_label = Counter(r["lang"] for r in got)
+    assert of_label == {"xx": 20, "yy": 1}
+    assert len({(r["lang"], r["text"]) for r in got}) == len(got)
+    whole = langid.training_sample(_docs(spark, rows), per_label=1000)
+    assert sorted(r["text"] for r in whole if r["lang"] == "xx") == sorted({r[1] for r in rows if r[2] == "xx"})
+    smallest = sorted((r["h"], r["text"]) for r in whole if r["lang"] == "xx")[:20]
+    assert [(r["h"], r["text"]) for r in got if r["lang"] == "xx"] == smallest

@@ -175,7 +175,7 @@ def training_sample(docs: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> list:
         F.col("lang").cast("string").alias("lang"), F.xxhash64(text).alias("h"), text.alias("text"))
     sizes = labelled.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     sizes = F.broadcast(sizes.orderBy(F.desc("n"), "lang").limit(MOST_LABELS))  # MOST_LABELS rows
-    place = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
+    place = F.col("h") / F.lit(float(1 << 64)) + 0.5
     near = labelled.join(sizes, "lang").filter(place * F.col("n") <= 2 * per_label).select("lang", "h", "text").distinct()
     first = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("k") <= per_label)
     return first.orderBy("h", "lang", "text").collect()
