@@ -70,6 +70,42 @@ def test_jaccard_join_is_exact(spark, n, percent):
     assert sorted(map(tuple, got), key=repr) == sorted(_components(rows, n, percent), key=repr)
 
 
+def _chains():
+    """Groups of near copies of which many are below the bound to each other, chains of edits, and strays just below it."""
+    pick = random.Random(9)
+    rows = []
+    for group in range(3):
+        base = [pick.choice(WORDS) for _ in range(80 + 40 * group)]
+        for i in range(40):
+            words = list(base)
+            for _ in range(pick.randint(0, 3)):
+                words[pick.randrange(len(words))] = pick.choice(WORDS)
+            rows.append((len(rows), " ".join(words), "en", "a"))
+    words = [pick.choice(WORDS) for _ in range(90)]
+    for i in range(30):
+        words[(i * 3) % 90] = pick.choice(WORDS)
+        rows.append((len(rows), " ".join(words), "en", "a"))
+    return rows
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+@pytest.mark.parametrize("make", [_sample, _chains])
+def test_groups_without_all_links_are_the_same(spark, monkeypatch, make, rounds):
+    monkeypatch.setattr(jaccard, "HUB_ROUNDS", rounds)
+    rows = make()
+    got = jaccard.groups(_docs(spark, rows)).select("doc_id", "component_id").collect()
+    assert _bare(got) == _bare((d, c) for d, n, c in _components(rows, 5, 80) if n)
+
+
+def test_hubs_link_a_group_by_fewer_pairs_than_links(spark):
+    docs = _docs(spark, _chains())
+    profiles, counts = jaccard.profile(docs, 5)
+    every = jaccard.candidates(docs, profiles, counts, 5, 80).count()
+    rows = jaccard._in_components(jaccard._entries(docs, counts, 5, 80), None)
+    entries = rows.count()
+    assert jaccard._hub_pairs(rows, jaccard._bits(profiles), 80, 0).count() < min(every, 2 * entries)
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard.jaccard_join(_docs(spark, [])).count() == 0
     assert jaccard.keep_one(_docs(spark, [])).count() == 0

@@ -26,6 +26,10 @@ from tidemark.session import cut
 BUCKET_BITS, PARTS = 20, 256
 #: Parity bits per row: rows that differ in d columns differ in d bits at most.
 PARITY_BITS = 512
+#: Times that one row of each block is multiplied with the block before the rest is; any number gives the same groups.
+HUB_ROUNDS = 2
+#: Pairs whose columns a task unpacks at once.
+PAIRS_AT_ONCE = 64
 _WORDS = [f"p{i}" for i in range(PARITY_BITS // 64)]
 
 
@@ -145,10 +149,12 @@ def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                a, b = _unpacked(a), _unpacked(b)
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append((100 + percent) * shared >= percent * (len(a) + len(b)))
+            for first in range(0, batch.num_rows, PAIRS_AT_ONCE):
+                part = batch.slice(first, PAIRS_AT_ONCE)
+                for a, b in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True):
+                    a, b = _unpacked(a), _unpacked(b)
+                    shared = len(np.intersect1d(a, b, assume_unique=True))
+                    keep.append((100 + percent) * shared >= percent * (len(a) + len(b)))
             yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -167,8 +173,8 @@ def profile(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     return table.filter("part IS NULL").drop("part", "counts"), _column_counts(table)
 
 
-def candidates(docs: DataFrame, profiles: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of set keys that the size-derived bounds do not rule out; a has the smaller set."""
+def _entries(docs: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
+    """(col, key, n, pos): prefix columns that several sets hold, one row per set that holds them."""
     held = docs.sparkSession.sparkContext.broadcast(counts)
     # Dealt by column once: the columns that several sets hold and their entries come from one exchange, as long as both
     # sides of the join ask for the same fields of it.
@@ -177,46 +183,159 @@ def candidates(docs: DataFrame, profiles: DataFrame, counts: np.ndarray, n: int,
     shared = entries.groupBy("col").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.max("n").alias("n"), F.max("pos").alias("pos"))
     shared = shared.filter("lo != hi AND n > pos").select("col")
     # Copies of a text give equal entries; one of each is left.
-    entries = cut(entries.join(shared, "col").groupBy("col", "key").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "entries")
-    bits = profiles.groupBy("key").agg(*(F.min(w).alias(w) for w in _WORDS))
+    return cut(entries.join(shared, "col").groupBy("col", "key").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "entries")
+
+
+def _bits(profiles: DataFrame) -> DataFrame:
+    return profiles.groupBy("key").agg(*(F.min(w).alias(w) for w in _WORDS))
+
+
+def _band(percent: int) -> F.Column:
+    """Linked sets are in one band of sizes or in neighbouring ones."""
     width = math.log(100 / percent) * 1.000001 if percent < 100 else 1.0
-    entries = entries.join(bits, "key").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int"))
-    before = Window.partitionBy("key").orderBy("pos")
-    entries = entries.withColumn("prev", F.lag("col").over(before))
-    smaller = F.col("pos") < F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent)) + 1
-    left = entries.filter(smaller).withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
-    left = left.select("col", "band", *(F.col(c).alias(f"{c}_a") for c in ("key", "n", "pos", "prev", *_WORDS)))
-    right = entries.select("col", "band", *(F.col(c).alias(f"{c}_b") for c in ("key", "n", "pos", "prev", *_WORDS)))
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("int")
+
 
-    def reaches(overlap) -> F.Column:
-        return F.lit(100 + percent) * overlap >= F.lit(percent) * (F.col("n_a") + F.col("n_b"))
+def _reaches(overlap: F.Column, percent: int) -> F.Column:
+    return F.lit(100 + percent) * overlap >= F.lit(percent) * (F.col("n_a") + F.col("n_b"))
 
+
+def _parities_allow(percent: int) -> F.Column:
     apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in _WORDS[1:]),
                 F.bit_count(F.col("p0_a").bitwiseXOR(F.col("p0_b"))))
+    return F.lit(100 + percent) * (F.col("n_a") + F.col("n_b") - apart) >= F.lit(2 * percent) * (F.col("n_a") + F.col("n_b"))
+
+
+def _with_prev(entries: DataFrame) -> DataFrame:
+    return entries.withColumn("prev", F.lag("col").over(Window.partitionBy("key").orderBy("pos")))
+
+
+def _as_smaller(percent: int) -> F.Column:
+    """Entries by which a set meets one of its own size or more."""
+    return F.col("pos") < F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent)) + 1
+
+
+def _named(rows: DataFrame, on: list[str], side: str) -> DataFrame:
+    return rows.select(*on, *(F.col(c).alias(f"{c}_{side}") for c in rows.columns if c not in on))
+
+
+def _product(left: DataFrame, right: DataFrame, on: list[str], percent: int) -> DataFrame:
+    """Pairs of entries in one block that the bounds leave, each pair at one of its columns."""
     keep = (
         ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("key_a") < F.col("key_b"))))
         & (F.lit(100) * F.col("n_a") >= F.lit(percent) * F.col("n_b"))
-        & reaches(F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")))
-        & (F.lit(100 + percent) * (F.col("n_a") + F.col("n_b") - apart) >= F.lit(2 * percent) * (F.col("n_a") + F.col("n_b"))))
+        & _reaches(F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")), percent)
+        & _parities_allow(percent))
     # Where both have the same column just before, the pair is found there already.
     found_before = F.coalesce(F.col("prev_a") == F.col("prev_b"), F.lit(False))
-    product = left.join(right, ["col", "band"]).filter(keep & ~found_before)
+    return _named(left, on, "a").join(_named(right, on, "b"), on).filter(keep & ~found_before)
+
+
+def candidates(docs: DataFrame, profiles: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of set keys that the size-derived bounds do not rule out; a has the smaller set."""
+    entries = _entries(docs, counts, n, percent).join(_bits(profiles), "key").withColumn("band", _band(percent))
+    entries = _with_prev(entries)
+    left = entries.filter(_as_smaller(percent)).withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    product = _product(left, entries, ["col", "band"], percent)
     return product.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
 
 
-def links(docs: DataFrame, profiles: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(a, b, in_a, in_b): set keys of different sets whose Jaccard similarity is ``percent`` or more, each pair once, and
-    the rows that have each set."""
-    pairs = cut(candidates(docs, profiles, counts, n, percent), "pairs")
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+def _cells(docs: DataFrame, profiles: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(key, cells, members) of the sets ``wanted`` (key): all their columns, and the rows that have each set."""
     # One document of each wanted set; the key is computed again from its text, so a doc_id may be shared or null.
     holders = profiles.join(wanted, "key").groupBy("key").agg(F.min("row_key").alias("row_key"), F.count(F.lit(1)).alias("members"))
     texts = _keyed(docs).select("row_key", "text").join(holders.drop("key").dropDuplicates(["row_key"]), "row_key").select("text", "members")
-    cells = texts.mapInArrow(_sets(n), "key long, cells binary, members long").groupBy("key").agg(
+    return texts.mapInArrow(_sets(n), "key long, cells binary, members long").groupBy("key").agg(
         F.first("cells").alias("cells"), F.first("members").alias("members"))
+
+
+def _verified(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(cells.toDF("a", "ca", "in_a"), "a").join(cells.toDF("b", "cb", "in_b"), "b")
-    return cut(both.select("a", "b", "in_a", "in_b", "ca", "cb").mapInArrow(
-        _linked(percent), "a long, b long, in_a long, in_b long"), "jaccard-links")
+    return both.select("a", "b", "in_a", "in_b", "ca", "cb").mapInArrow(
+        _linked(percent), "a long, b long, in_a long, in_b long")
+
+
+def links(docs: DataFrame, profiles: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
+    """(a, b, in_a, in_b): set keys of different sets whose Jaccard similarity is ``percent`` or more, each pair once, and
+    the rows that have each set."""
+    pairs = cut(candidates(docs, profiles, counts, n, percent), "pairs")
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    return cut(_verified(pairs, _cells(docs, profiles, wanted, n), percent), "jaccard-links")
+
+
+def _in_components(entries: DataFrame, member: DataFrame | None) -> DataFrame:
+    if member is None:
+        return entries.withColumn("comp", F.col("key"))
+    known = member.select(F.col("node").alias("key"), F.col("component").alias("comp"))
+    return entries.join(known, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+
+
+def _hub_pairs(entries: DataFrame, bits: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of one set of each block with all sets of the block that are not in its component yet.
+
+    As many rows as entries at most, whatever a block's size. ``turn`` picks other sets.
+    """
+    rows = entries.withColumn("block", F.explode(F.array(_band(percent), _band(percent) + 1)))
+    hubs = rows.groupBy("col", "block").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+        F.min_by(F.struct("key", "n", "pos", "comp"), F.xxhash64("key", F.lit(turn))).alias("hub"))
+    hubs = hubs.filter("lo != hi").select("col", "block", *(F.col(f"hub.{c}").alias(f"{c}_b") for c in ("key", "n", "pos", "comp")))
+    rows = rows.select("col", "block", *(F.col(c).alias(f"{c}_a") for c in ("key", "n", "pos", "comp")))
+    met = rows.join(hubs, ["col", "block"]).filter(
+        (F.col("comp_a") != F.col("comp_b"))
+        & (F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
+        & _reaches(F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")), percent))
+    met = met.groupBy(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).agg(
+        F.min(F.least("n_a", "n_b")).alias("n_a"), F.min(F.greatest("n_a", "n_b")).alias("n_b"))
+    for side in ("a", "b"):
+        met = met.join(bits.select(F.col("key").alias(side), *(F.col(w).alias(f"{w}_{side}") for w in _WORDS)), side)
+    return met.filter(_parities_allow(percent)).select("a", "b")
+
+
+def _pairs_across(entries: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) that the bounds leave and that are of two components.
+
+    In each block the sets of its largest component meet only sets of others, so a block that one component fills
+    costs nothing and one that it nearly fills costs its size times the sets beside it.
+    """
+    rows = _with_prev(entries).withColumn("band", _band(percent)).withColumn("block", F.explode(F.array("band", F.col("band") + 1)))
+    sizes = rows.groupBy("col", "block", "comp").agg(F.count(F.lit(1)).alias("sets"))
+    blocks = sizes.groupBy("col", "block").agg(F.max_by("comp", F.struct("sets", "comp")).alias("largest"), F.count(F.lit(1)).alias("comps"))
+    rows = rows.join(blocks.filter("comps > 1").drop("comps"), ["col", "block"]).join(bits, "key")
+    rows = cut(rows.withColumn("within", F.col("comp") == F.col("largest")).drop("largest"), "across")
+    left = rows.filter(_as_smaller(percent)).drop("band").withColumn(
+        "within", F.explode(F.when(F.col("within"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    product = _product(left, rows.filter("block = band").drop("band"), ["col", "block", "within"], percent)
+    return product.filter("comp_a != comp_b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+
+
+def connected(docs: DataFrame, profiles: DataFrame, counts: np.ndarray, n: int, percent: int) -> DataFrame:
+    """(node, component): set keys that are linked with others, by what ``links`` would give, but without making every
+    link inside a component.
+
+    First each block's columns are multiplied with one of its rows, ``HUB_ROUNDS`` times; the components of the links so
+    found take in most of a group of near copies. Then the product is made of all pairs across components, so no link
+    between two components is missed.
+    """
+    entries, bits = _entries(docs, counts, n, percent), _bits(profiles)
+    cells = cut(_cells(docs, profiles, entries.select("key").distinct(), n), "cells")
+    member = None
+    for turn in range(HUB_ROUNDS + 1):
+        rows = _in_components(entries, member)
+        pairs = _hub_pairs(rows, bits, percent, turn) if turn < HUB_ROUNDS else _pairs_across(rows, bits, percent)
+        found = _verified(cut(pairs, "pairs"), cells, percent).select("a", "b")
+        if member is not None:
+            found = found.union(member.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        member = components(found)
+    return member
+
+
+def _component_ids(rows: DataFrame, member: DataFrame) -> DataFrame:
+    """(key, component_id, members) of all sets that are not empty."""
+    classes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members"))
+    whole = member.join(classes.select(F.col("key").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("whole"))
+    member = member.join(whole, "component").select(F.col("node").alias("key"), "whole")
+    return classes.join(member, "key", "left").select("key", F.coalesce("whole", "least").alias("component_id"), "members")
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -232,28 +351,30 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """
     rows, counts = profile(docs, n)
     found = links(docs, rows, counts, n, percent)
-    classes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members"))
     beside = found.select(F.col("a").alias("key"), F.col("in_b").alias("n")).union(found.select("b", "in_a")).groupBy("key").agg(
         F.sum("n").alias("others"))
-    member = components(found)
-    whole = member.join(classes.select(F.col("key").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("whole"))
-    member = member.join(whole, "component").select(F.col("node").alias("key"), "whole")
-    classes = classes.join(member, "key", "left").join(beside, "key", "left").select(
-        "key", F.coalesce("whole", "least").alias("component_id"), (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    classes = _component_ids(rows, components(found)).join(beside, "key", "left").select(
+        "key", "component_id", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     filled = rows.filter("n > 0").select("doc_id", "row_key", "n", "key").join(classes, "key").select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", "row_key")
     return filled.union(rows.filter("n = 0").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "row_key"))
 
 
+def groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, component_id, row_key) of the rows that have words, as ``jaccard_join`` gives them, from ``connected``."""
+    rows, counts = profile(docs, n)
+    classes = _component_ids(rows, connected(docs, rows, counts, n, percent))
+    return rows.filter("n > 0").select("doc_id", "row_key", "key").join(classes, "key").select("doc_id", "component_id", "row_key")
+
+
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of linked ones stays, that with the smallest doc_id (null last); columns are kept.
 
     Rows of a group with a null doc_id only are told apart by their row key. Documents without words are in no group, so
     all of them stay, repeated ones too.
     """
-    rows = jaccard_join(docs, n, percent)
-    grouped = rows.filter("n_shingles > 0")
+    grouped = groups(docs, n, percent)
     alone = grouped.filter("component_id IS NOT NULL").filter("doc_id = component_id").groupBy("component_id").agg(
         F.min("row_key").alias("row_key")).select("row_key")
     unnamed = grouped.filter("component_id IS NULL").select("row_key")
