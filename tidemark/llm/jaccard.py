@@ -28,8 +28,8 @@ BUCKET_BITS, PARTS = 20, 256
 PARITY_BITS = 512
 #: Times that one row of each block is multiplied with the block before the rest is; any number gives the same groups.
 HUB_ROUNDS = 2
-#: Pairs whose columns a task unpacks at once.
-PAIRS_AT_ONCE = 64
+#: Texts, and pairs of rows, that a task holds unpacked at once, whatever the batch.
+ROWS_AT_ONCE, PAIRS_AT_ONCE = 512, 64
 _WORDS = [f"p{i}" for i in range(PARITY_BITS // 64)]
 
 
@@ -37,6 +37,12 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(first, ROWS_AT_ONCE)
+
+
 def _parity(cells: np.ndarray) -> np.ndarray:
     odd = np.bincount((cells & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
@@ -47,7 +53,7 @@ def _profiles(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
         nothing = None
-        for batch in batches:
+        for batch in _parts(batches):
             size, key, bits = [], [], []
             for cells in shingle_sets(_texts(batch), n):
                 size.append(len(cells))
@@ -101,7 +107,7 @@ def _least_as_smaller(n: int, percent: int) -> int:
 def _prefixes(n: int, percent: int, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = counts.value
-        for batch in batches:
+        for batch in _parts(batches):
             column, key, size, pos = [], [], [], []
             for cells in shingle_sets(_texts(batch), n):
                 m = len(cells)
@@ -134,7 +140,7 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             keys, cells = [], []
             for row in shingle_sets(_texts(batch), n):
                 keys.append(set_hash(row))

@@ -16,7 +16,7 @@ _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _FOLD = 0x9FB21C651E98DF25
 _MASK = (1 << 64) - 1
 #: Bytes hashed at once; a longer text is cut at white space.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
