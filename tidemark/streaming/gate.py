@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from tidemark.operators.quality import Rule, evaluate_gate, profile, rules_frame
+from tidemark.session import cut, remove_path, scratch_path
 
 
 def gate_stream(
@@ -14,21 +15,24 @@ def gate_stream(
 ) -> None:
     """Write each batch of new files whole to ``accepted``, or to ``rejected`` when a rule fails.
 
-    The folder of a batch is named by its id and replaced on replay. The batch is persisted between the
-    audit and the write, so its files are read a single time.
+    The folder of a batch is named by its id and replaced on replay; a replay that is judged otherwise removes the
+    batch from the other side. The batch is staged in the shared folder between the audit and the write, so its files
+    are read a single time and no executor holds it.
     """
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def judge(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        staged = scratch_path(spark, "gate")
         try:
-            failed = evaluate_gate(profile(batch, rules), rules_frame(spark, rules))
-            target = accepted if failed.isEmpty() else rejected
-            batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+            held = cut(batch, at=staged)
+            failed = evaluate_gate(profile(held, rules), rules_frame(held.sparkSession, rules))
+            target, other = (accepted, rejected) if failed.isEmpty() else (rejected, accepted)
+            held.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+            remove_path(spark, f"{other}/batch={batch_id}")
         finally:
-            batch.unpersist()
+            remove_path(spark, staged)
 
     query = (
         reader.parquet(source)
