@@ -205,6 +205,14 @@ def test_compaction_keeps_the_state(spark):
     assert spark.read.parquet(state).select("batch").distinct().count() == 2
 
 
+@pytest.mark.parametrize(("fmt", "asked", "suffix"), [
+    ("json", None, ".json.bz2"), ("csv", "gzip", ".csv.gz"), ("json", "snappy", ".json.snappy"), ("parquet", None, ".snappy.parquet")])
+def test_codec_is_the_one_asked_for(spark, fmt, asked, suffix):
+    path = scratch_path(spark, "codec")
+    tables.write_dataset(spark.range(5), path, fmt, compression=asked)
+    assert all(f.endswith(suffix) for f in spark.read.format(fmt).load(path).inputFiles())
+
+
 def test_bad_batches_are_set_aside_whole(spark):
     source, good, bad, offsets = (scratch_path(spark, x) for x in ("in", "good", "bad", "offsets"))
     for sql in (CLEAN, BROKEN):

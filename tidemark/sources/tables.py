@@ -128,7 +128,7 @@ class ExtractOptions:
     load_strategy: str = "full_load"
     watermark_column: str | None = None
     partition_column: str | None = None
-    compression: str = "snappy"
+    compression: str | None = None
     encoding: str = "utf-8"
     query: str | None = None
 
@@ -178,13 +178,14 @@ def write_dataset(
     fmt: str = "parquet",
     mode: str = "errorifexists",
     partition_by: list[str] | None = None,
-    compression: str = "snappy",
+    compression: str | None = None,
     encoding: str = "utf-8",
     max_records: int | None = None,
     schema: str | None = None,
 ) -> None:
     """Write one dataset.
 
+    An asked-for ``compression`` is used as it is; else it is snappy, and bzip2 for csv, json and text.
     ``schema`` pins the output columns and types instead of leaving them to each batch;
     ``max_records`` bounds the rows per file. Partitioned output is rebalanced by the partition columns
     first: adaptive execution splits a value that holds much of the table and merges tiny ones.
@@ -192,11 +193,11 @@ def write_dataset(
     if schema:
         wanted = df.sparkSession.createDataFrame([], schema).schema
         df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
-    writer_options: dict[str, str | int] = {"compression": compression}
-    if fmt in ("csv", "json", "text"):
+    text = fmt in ("csv", "json", "text")
+    # Unasked, text gets a codec whose files can be split.
+    writer_options: dict[str, str | int] = {"compression": compression or ("bzip2" if text else "snappy")}
+    if text:
         writer_options["encoding"] = encoding
-        if compression == "snappy":
-            writer_options["compression"] = "gzip"
     if max_records:
         writer_options["maxRecordsPerFile"] = max_records
     if partition_by:
