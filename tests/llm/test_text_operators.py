@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tidemark.llm import bpe, gru, jaccard, langid, mixing, queries, secrets
@@ -270,6 +271,32 @@ def test_training_lowers_the_loss():
     assert gru.log_likelihoods(net, docs).sum() > 0.6 * before
 
 
+def test_network_learns_from_all_training_documents(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, " ".join(["ab", "cd"] * 20 + [str(i)]), "en", "a") for i in range(200)]
+    docs = _docs(spark, rows)
+    # None of these texts would be in a share of one in 16 by hash.
+    docs = docs.filter(F.pmod(F.xxhash64("text"), F.lit(16)) != 0)
+    words = spark.sparkContext.broadcast(gru.corpus_words(gru.word_counts(docs)))
+    net = gru.Network(words.value.vocabulary_counts)
+    trained = gru.fit(docs, words)
+    assert not np.array_equal(trained, net.flat)
+    number = words.value.look_up(next(gru._hashed([rows[0][1].encode()])))[2]
+    before = gru.log_likelihoods(net, [number])[0]
+    net.set(trained)
+    assert gru.log_likelihoods(net, [number])[0] > before + 1
+
+
+def test_passes_take_every_document_once(spark):
+    docs = _docs(spark, [(i % 3, "same" if i % 3 else f"text {i}", "en", "a") for i in range(300)]).repartition(7)
+    parts = gru.sliced(docs, 4)
+    found = [r["text"] for p in parts for r in p.collect()]
+    assert Counter(found) == Counter(r["text"] for r in docs.collect())
+    assert min(p.filter("text = 'same'").count() for p in parts) > 20
+    assert gru.slices(0) == 1 and gru.slices(1 << 30) > gru.slices(1 << 24) > 1
+
+
 @pytest.fixture(scope="module")
 def library():
     tokenizers = pytest.importorskip("tokenizers")

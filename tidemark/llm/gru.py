@@ -1,10 +1,10 @@
 """Language-model scores: a gated recurrent network over words with a class-factored softmax, in numpy.
 
 Counts of all training tokens give the vocabulary, the classes, the starting biases and the probabilities of words
-outside the vocabulary. The network is trained by truncated backpropagation on a fixed share of the training documents,
-so what it learns from grows with the corpus: every task trains on its own documents from common weights, and the
-weights are averaged by tokens, round by round. A document is scored window by window with the state carried on, so its
-log-likelihood is that of the whole text.
+outside the vocabulary. The network is trained by truncated backpropagation on all training documents: every task
+trains on its own documents from common weights, and the weights are averaged by tokens, round by round. A pass over
+the documents is cut into more rounds as the corpus grows, so more input is also learned from one after the other. A
+document is scored window by window with the state carried on, so its log-likelihood is that of the whole text.
 
 Words are runs of anything but ASCII white space with A-Z lower-cased, known by a 64-bit hash; each document ends in one
 end token.
@@ -29,8 +29,8 @@ from tidemark.session import cut
 VOCABULARY, CLASS, WIDTH = 1024, 32, 16
 #: Most frequent words whose counts go to every task (a fixed 4 MB); counts of the others are joined.
 HEAD = 1 << 18
-#: One of so many training documents trains the network, in so many rounds of averaging.
-SHARE, ROUNDS = 16, 2
+#: Passes over all training documents, and tokens from which a pass is cut: one more round each time they double.
+ROUNDS, CUT_FROM = 2, 1 << 20
 #: Tokens of a window, documents trained and scored side by side, step size.
 WINDOW, TRAIN_SIDE, SCORE_SIDE, RATE = 32, 32, 512, 0.01
 OTHER, END = 0, 1
@@ -301,14 +301,25 @@ def _train(words, weights):
     return run
 
 
+def slices(tokens: int) -> int:
+    """Rounds of averaging that a pass over so many tokens is cut into; grows by doublings, since each reads the table."""
+    return 1 + max(0, (tokens // CUT_FROM).bit_length())
+
+
+def sliced(docs: DataFrame, count: int) -> list[DataFrame]:
+    """``docs`` (text) cut into ``count`` parts by place in its partition, so copies of a text are spread over all."""
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.pmod(F.monotonically_increasing_id(), F.lit(count)).alias("slice"))
+    return [rows.filter(F.col("slice") == k).select("text") for k in range(count)]
+
+
 def fit(docs: DataFrame, words) -> np.ndarray:
-    """Weights of the network after the rounds of training and averaging; ``words`` is the broadcast of the counts."""
+    """Weights of the network after the passes over all of ``docs``; ``words`` is the broadcast of the counts."""
     net = Network(words.value.vocabulary_counts)
-    share = docs.select(F.col("text").cast("string").alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(SHARE)) == 0)
     for _ in range(ROUNDS):
-        total = added(share.mapInArrow(_train(words, net.flat), "part int, data binary"))
-        if len(total):
-            net.set(total[:-1] / total[-1])
+        for part in sliced(docs, slices(words.value.total)):
+            total = added(part.mapInArrow(_train(words, net.flat), "part int, data binary"))
+            if len(total):
+                net.set(total[:-1] / total[-1])
     return net.flat
 
 
