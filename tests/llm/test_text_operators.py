@@ -369,6 +369,21 @@ def test_redaction_spares_copied_examples(spark):
     assert text[0].startswith("é [SECRET]") and "ab12" not in text[0]
 
 
+def test_value_copied_widely_inside_hot_sources_is_an_example(spark):
+    two = "Qx3Kq8Lm1Wv6Tn5Rb9Yc7"
+    rows = [(i, f"text {i} uses {OWN} and token={KEY}", "en", "hot") for i in range(40)]
+    rows += [(100 + i, f"text {i} api_key={two}", "en", "ab"[i % 2]) for i in range(40)]
+    rows += [(200 + i, "secret=Lx3Kq8Lm1Wv6Tn5Rb9Yc7", "en", "hot") for i in range(2)]
+    got = {r["doc_id"]: r for r in secrets.scan(_docs(spark, rows)).collect()}
+    assert all(got[i]["n_live"] == 0 and got[i]["n_owned"] == 0 and got[i]["n_copied"] == 2 for i in range(40))
+    assert (got[0]["owners"], got[0]["repositories"]) == ("1,1", "40,40")
+    assert all(got[100 + i]["n_copied"] == 1 and got[100 + i]["n_live"] == 0 and got[100 + i]["repositories"] == "40" for i in range(40))
+    # Few documents of one owner: still its own.
+    assert all(got[200 + i]["n_live"] == 1 and got[200 + i]["n_copied"] == 0 for i in range(2))
+    text = {r["doc_id"]: r["text"] for r in secrets.redact(_docs(spark, rows)).collect()}
+    assert OWN in text[0] and KEY in text[0] and two in text[100] and text[200] == "[SECRET]"
+
+
 def test_secret_scan_stays_in_the_jvm(spark):
     plan = secrets.scan(_docs(spark, [(1, "x", "en", "a")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

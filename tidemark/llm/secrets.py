@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
 Spans of each kind come from one pattern per kind. The hash of every candidate is aggregated over the corpus by distinct
-repositories and owners: a value that several owners hold is a widely copied example, one that a single owner holds and
-that looks random is live-looking. Base kinds keep all their spans and get the class besides; the kind ``owned``, random
+repositories and owners: a value that several owners hold, or that owners hold in many repositories each, is a widely
+copied example; one that a single owner holds in few and that looks random is live-looking. Base kinds keep all their spans and get the class besides; the kind ``owned``, random
 runs that no keyword announces, is a finding only where the corpus shows it to be one owner's.
 """
 
@@ -19,8 +19,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 OWNED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9])[A-Za-z0-9+/_=-]{20,}"
 LEAST_ASSIGNED = 6
-#: A value held by so many owners is a copied example.
-EXAMPLE_OWNERS = 3
+#: A value held by so many owners is a copied example, and so is one in so many repositories for each of its owners.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 10
 #: A live-looking value: so long, of so many different characters, with letters and digits.
 LIVE_CHARS, LIVE_DISTINCT = 12, 8
 
@@ -81,14 +81,17 @@ def _live_looking(value: Column) -> Column:
 
 
 def classified(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """``spans`` with ``copied`` (held by several owners) and ``live`` (one owner's or few, and random-looking)."""
+    """``spans`` with owners, repositories, ``copied`` (held by several owners, or in many repositories of each) and ``live``
+    (few owners' in few repositories, and random-looking)."""
     found = cut(spans(docs, owner, repository), "spans")
-    owned = ownership(found).select("digest", (F.col("owners") >= EXAMPLE_OWNERS).alias("copied"), (F.col("owners") == 1).alias("single"))
+    many = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repositories") >= F.col("owners") * EXAMPLE_REPOSITORIES)
+    owned = ownership(found).select("digest", "owners", "repositories", many.alias("copied"), (F.col("owners") == 1).alias("single"))
     rows = found.filter("digest IS NOT NULL").join(owned, "digest")
     rows = rows.withColumn("live", ~F.col("copied") & _live_looking(F.col("value")))
-    # A random run is a finding only where one owner holds it.
+    # A random run is a finding only where one owner holds it, and not as a copied example.
     rows = rows.withColumn("kind", F.when((F.col("kind") == 3) & ~(F.col("live") & F.col("single")), F.lit(None)).otherwise(F.col("kind")))
-    nothing = found.filter("digest IS NULL").withColumns({"copied": F.lit(False), "single": F.lit(False), "live": F.lit(False)})
+    none, no = F.lit(None).cast("long"), F.lit(False)
+    nothing = found.filter("digest IS NULL").withColumns({"owners": none, "repositories": none, "copied": no, "single": no, "live": no})
     return rows.unionByName(nothing)
 
 
@@ -99,10 +102,12 @@ def _joined(items: Column) -> Column:
 
 
 def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """Secrets of every row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_copied.
+    """Secrets of every row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_copied,
+    owners, repositories.
 
-    ``spans`` joins kind:start:end by start, then kind (code points, end exclusive); base_sha256 is the digest of the
-    same text for the three base kinds. n_live and n_copied count base spans whose value is live-looking or a copied
+    ``spans`` joins kind:start:end by start, then kind (code points, end exclusive); owners and repositories join, in the
+    same order, the numbers that hold each span's value; base_sha256 is the digest of the text of ``spans`` for the three
+    base kinds. n_live and n_copied count base spans whose value is live-looking or a copied
     example. A random run that overlaps a base span is not reported again.
 
     Null and empty texts have no spans. Whole texts are scanned, however long. Repeated rows are rows of their own here,
@@ -110,7 +115,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
     than doc_id, text, owner and repository are ignored, whatever their names.
     """
     rows = classified(docs, owner, repository)
-    item = F.struct("start_at", "kind", "end_at", "live", "copied")
+    item = F.struct("start_at", "kind", "end_at", "live", "copied", "owners", "repositories")
     grouped = rows.groupBy("row_id").agg(
         F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), item))).alias("found"))
     base = F.filter("found", lambda s: s["kind"] < 3)
@@ -123,12 +128,15 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
     def of_kind(k: int):
         return lambda s: s["kind"] == k
 
+    def numbers(name: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.concat("base", "owned")), lambda s: s[name].cast("string")), ",").alias(name)
+
     return grouped.select(
         "doc_id", *(count("base", of_kind(k)).alias(f"n_{KINDS[k]}") for k in range(3)),
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.array_sort(F.concat("base", "owned"))).alias("spans"),
         F.size("owned").cast("long").alias("n_owned"), count("base", lambda s: s["live"]).alias("n_live"),
-        count("base", lambda s: s["copied"]).alias("n_copied"))
+        count("base", lambda s: s["copied"]).alias("n_copied"), numbers("owners"), numbers("repositories"))
 
 
 def row_key() -> Column:
@@ -138,7 +146,7 @@ def row_key() -> Column:
 
 
 def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret's characters replaced by ``mark``; values that several owners hold, copied examples, stay.
+    """``docs`` with every secret's characters replaced by ``mark``; copied examples stay.
 
     Every document stays and every column but ``text`` is as it was. Overlapping spans are replaced as one.
     """
