@@ -114,6 +114,20 @@ def test_odd_pages(html):
     assert isinstance(pathratio.main_text(html), str)
 
 
+def test_no_content_outside_of_its_largest_part_is_lost():
+    long = "Many words of text, one after the other, stand here. " * 20
+    body = " ".join([long.strip()] * 3)
+    nested = f"<body><article><h1>Title</h1><p>Lede.</p><div class=body>{f'<p>{long}</p>' * 3}</div></article><footer>f</footer></body>"
+    assert pathratio.main_text(nested) == f"Title Lede. {body}"
+    apart = f"<body><div class=menu>m</div><div><div><h1>Title</h1></div><div>{f'<p>{long}</p>' * 3}</div></div><div class=ad>x</div></body>"
+    assert pathratio.main_text(apart) == f"Title {body}"
+    for outer in ("article", "div"):
+        split = (f"<body><nav>n</nav><{outer}><section>{f'<p>{long}</p>' * 6}</section><section><p>{long}</p></section></{outer}></body>")
+        assert pathratio.main_text(split) == " ".join([long.strip()] * 7)
+    # Content right below the root, outside of any element.
+    assert pathratio.main_text(f"<div><p>{long}</p></div><div><p>{long}</p></div>") == " ".join([long.strip()] * 2)
+
+
 def test_extraction_of_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", ""), (3, "w", "<p>" + "word, " * 60_000)]
     got = pathratio.extract(_pages(spark, rows)).collect()

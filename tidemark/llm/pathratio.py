@@ -2,8 +2,9 @@
 
 Per page, every text node has a path of tags from the root. Text length and punctuation are added up per path; their
 ratios to the path's number of nodes are smoothed over the nodes in page order, fused into one score per path, and the
-paths above a threshold are content. The smallest element that holds most of the content is the article; the blocks in
-it outside of boilerplate containers are its text, so that a heading or a one-word paragraph is not lost.
+paths above a threshold are content, and so is a first-level heading. The smallest element that holds all of the content
+is the article, or the ``article`` element around it; the blocks in it outside of boilerplate containers are its text, so
+that a heading or a one-word paragraph is not lost.
 """
 
 from __future__ import annotations
@@ -48,8 +49,6 @@ _ODD_DECLARATION = re.compile(r"<!\[(?:[^>]*\]\]>|[^>]*>)")
 #: Smoothing weights over neighbouring nodes, and the share of the strongest path that a content path has.
 SMOOTH = np.array([0.25, 0.5, 0.25])
 SHARE = 0.1
-#: The article holds so much of the content's characters.
-MOST = 0.8
 
 
 class _Nodes(HTMLParser):
@@ -150,19 +149,21 @@ def main_text(html: str | None) -> str:
     held: dict[int, int] = {}
     total = 0
     for path, chain, size, _ in rated:
-        if path in chosen:
+        if path in chosen or "h1" in path.split("."):
             total += size
             for element in chain:
                 held[element] = held.get(element, 0) + size
-    # Elements are numbered as they open, so among those that hold enough the last is the innermost.
-    root = max((e for e, size in held.items() if size >= MOST * total), default=0)
+    # Elements are numbered as they open, so among those that hold all of it the last is the innermost.
+    root = max((e for e, size in held.items() if size == total), default=0)
     # A single paragraph is no article: take the element that it stands in.
     chain = next(c for _, c, _, _ in rated if root in c or not root)
     names = next(p for p, c, _, _ in rated if c == chain).split(".")
     depth = chain.index(root) if root else 0
     while depth > 0 and names[depth] not in ("article", "main", "section", "div", "td", "body"):
         depth -= 1
-    root = chain[depth] if chain else 0
+    # What stands beside the content in its article belongs to it.
+    depth = next((d for d in range(depth, -1, -1) if names[d] == "article"), depth)
+    root = chain[depth] if root else 0
     blocks: list[list[str]] = []
     last = None
     for _, chain, block, text, bad in parser.nodes:
