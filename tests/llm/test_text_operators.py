@@ -197,6 +197,17 @@ def test_rejected_documents_go(spark):
     assert langid.keep_identified(_docs(spark, [])).count() == 0
 
 
+def test_texts_of_an_unlearned_language_are_rejected(spark):
+    pick = random.Random(9)
+    other = [(1000 + i, " ".join("".join(pick.choices("ghijklmu", k=5)) for _ in range(pick.randint(10, 40))), None, "a") for i in range(50)]
+    mixed_letters = "abcdefghijklmnopqrstuvwxyz"
+    junk = [(2000 + i, " ".join("".join(pick.choices(mixed_letters, k=9)) for _ in range(30)), None, "a") for i in range(50)]
+    short = [(3000, "a", "xx", "a"), (3001, "o", "yy", "a"), (3002, "abo", "xx", "a")]
+    kept = {r["doc_id"] for r in langid.keep_identified(_docs(spark, [*_languages(), *other, *junk, *short])).collect()}
+    assert not kept & {r[0] for r in [*other, *junk]}
+    assert len(kept & {r[0] for r in _languages()}) >= 0.98 * len(_languages())
+
+
 def test_base_scores_and_likelihoods(spark):
     rows = _sample()
     train = [zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 != 2 for r in rows]

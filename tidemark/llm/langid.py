@@ -2,7 +2,11 @@
 
 A text is the mean of the embeddings of its hashed 1- to 4-byte subwords, classified by one linear layer. Both are
 trained by stochastic gradient descent in numpy on a bounded sample of labelled texts. A part of the sample is held
-back to calibrate the scores (one temperature) and to place the score below which a prediction is rejected.
+back to calibrate the scores (one temperature).
+
+The softmax only tells the learned labels apart, so a prediction is rejected by another figure: how likely the text's
+subwords are among those of the predicted label, in standard deviations from what texts of that label have. The bound
+costs a stated share of the held-back texts.
 """
 
 from __future__ import annotations
@@ -23,6 +27,9 @@ SAMPLE_PER_LABEL, MOST_LABELS = 400, 200
 #: Share of the sample that calibrates.
 CALIBRATE_EVERY = 4
 EPOCHS, BATCH, RATE = 6, 32, 0.5
+#: Share of rightly labelled texts that rejection may cost, the least deviation that is rejected, and the count that a
+#: subword not seen under a label has.
+FALSE_REJECTS, LEAST_DEVIATION, UNSEEN = 0.005, 5.0, 0.05
 #: A mean of embeddings is short and a subword's share of a text small, so their steps are scaled up.
 LAYER_STEP, EMBED_STEP = 8, 4
 CHUNK = 1 << 18
@@ -55,17 +62,22 @@ def subwords(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 @dataclass
 class Model:
-    """Labels, the score of each label per bucket (embedding times layer), biases, temperature, rejection score."""
+    """Labels, per bucket the score of each label (embedding times layer) and its ln probability under each label, biases.
+
+    ``usual`` has for each label the mean ln probability of its texts, its variance over texts and that of a subword;
+    a text whose deviation from it is below ``reject_below`` is rejected.
+    """
 
     labels: list[str]
     table: np.ndarray
     bias: np.ndarray
+    usual: np.ndarray
     temperature: float = 1.0
-    reject_below: float = 0.0
+    reject_below: float = -np.inf
 
-    def logits(self, texts: list[bytes]) -> np.ndarray:
-        """Scores of whole texts before calibration; a long text is read piece by piece."""
-        out = np.zeros((len(texts), len(self.labels)))
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores before calibration, mean ln probabilities, number of subwords) of whole texts, read piece by piece."""
+        out = np.zeros((len(texts), self.table.shape[1]))
         seen = np.zeros(len(texts))
         pieces, owner, size = [], [], 0
 
@@ -94,13 +106,20 @@ class Model:
                     flush()
                     size = 0
         flush()
-        return out / np.maximum(seen, 1)[:, None] + self.bias
-
-    def predict(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Label number and calibrated probability of each text."""
-        p = _softmax(self.logits(texts) / self.temperature)
+        out /= np.maximum(seen, 1)[:, None]
+        return out[:, : len(self.labels)] + self.bias, out[:, len(self.labels) :], seen
+
+    def deviation(self, label: np.ndarray, likely: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """Standard deviations by which each text is likelier than texts of its label are; a short text varies more."""
+        mean, between, within = self.usual[:, label]
+        return (likely[np.arange(len(label)), label] - mean) / np.sqrt(between + within / np.maximum(seen, 1))
+
+    def predict(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Label number, calibrated probability and whether it is rejected, of each text."""
+        logits, likely, seen = self.read(texts)
+        p = _softmax(logits / self.temperature)
         best = p.argmax(axis=1)
-        return best, p[np.arange(len(p)), best]
+        return best, p[np.arange(len(p)), best], self.deviation(best, likely, seen) < self.reject_below
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -114,14 +133,31 @@ def _counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return bucket.astype(np.int64), (count / max(1, count.sum())).astype(np.float32)
 
 
-def train(texts: list[bytes], labels: list[str], false_rejects: float = 0.0, seed: int = 7) -> Model:
+def _usual(likely: np.ndarray, seen: np.ndarray, y: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Per label the mean ln probability of its texts, its variance over texts and that of one subword."""
+    log = np.log((counts + UNSEEN) / (counts + UNSEEN).sum(axis=0))
+    share = counts / np.maximum(counts.sum(axis=0), 1e-9)
+    # Subwords of all lengths overlap, so a text has fewer free ones than it has subwords.
+    within = len(LENGTHS) ** 2 * ((share * log * log).sum(axis=0) - (share * log).sum(axis=0) ** 2)
+    out = np.zeros((3, counts.shape[1]))
+    for label in range(counts.shape[1]):
+        mine = (y == label) & (seen > 0)
+        if mine.any():
+            own = likely[mine, label]
+            mean = np.average(own, weights=seen[mine])
+            out[:2, label] = mean, np.average((own - mean) ** 2, weights=seen[mine])
+    out[1] += 1e-3
+    out[2] = np.maximum(within, 1e-3)
+    return out
+
+
+def train(texts: list[bytes], labels: list[str], false_rejects: float = FALSE_REJECTS, seed: int = 7) -> Model:
     """Fit on labelled texts, given in an order that has nothing to do with their labels.
 
-    ``false_rejects`` is the share of rightly labelled calibration texts that rejection may cost; 0 puts the rejection
-    score below all of them.
+    ``false_rejects`` is the share of rightly labelled calibration texts that rejection may cost.
     """
     names = sorted(set(labels))
-    y = np.array([names.index(x) for x in labels])
+    y = np.array([names.index(x) for x in labels], dtype=np.int64)
     rows = [_counted(t) for t in texts]
     held = np.arange(len(rows)) % CALIBRATE_EVERY == CALIBRATE_EVERY - 1
     fit = np.flatnonzero(~held) if (~held).any() else np.arange(len(rows))
@@ -148,19 +184,28 @@ def train(texts: list[bytes], labels: list[str], false_rejects: float = 0.0, see
             bias -= rate * error.mean(axis=0)
             owner = np.repeat(np.arange(len(batch)), [len(rows[i][0]) for i in batch])
             np.subtract.at(embed, bucket, rate * EMBED_STEP * share[:, None] * back[owner])
-    model = Model(names, embed @ layer, bias)
+    counts = np.zeros((1 << BUCKET_BITS, len(names)), dtype=np.float32)
+    for i in fit:
+        np.add.at(counts, (rows[i][0], y[i]), rows[i][1])
+    # Each text counts once, however long, in units of its label's subwords to a text.
+    length = [sum(len(b) for b, _ in subwords(texts[i][:CHUNK])) for i in fit]
+    counts *= np.bincount(y[fit], weights=length, minlength=len(names)) / np.maximum(np.bincount(y[fit], minlength=len(names)), 1)
+    log = np.log((counts + UNSEEN) / (counts + UNSEEN).sum(axis=0)) if len(names) else counts
+    model = Model(names, np.concatenate([embed @ layer, log.astype(np.float32)], axis=1), bias, np.zeros((3, len(names))))
     check = np.flatnonzero(held) if held.any() else fit
     if len(check):
-        logits = model.logits([texts[i] for i in check])
+        logits, likely, seen = model.read([texts[i] for i in check])
         model.temperature = min(
             (2.0 ** (k / 4) for k in range(-16, 17)),
             key=lambda t: -np.log(_softmax(logits / t)[np.arange(len(check)), y[check]] + 1e-12).sum())
-        p = _softmax(logits / model.temperature)
-        right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y[check]])
-        if len(right):
-            # A quarter of the way from chance to the lowest score that may not be lost.
-            chance = 1 / len(names)
-            model.reject_below = float(chance + max(0.0, right[int(false_rejects * len(right))] - chance) / 4)
+        best = logits.argmax(axis=1)
+        right = (best == y[check]) & (seen > 0)
+        model.usual = _usual(likely, seen, np.where(right, y[check], -1), counts)
+        # A label without a calibration text has no usual figure: nothing of it is rejected.
+        model.usual[0, np.bincount(y[check][right], minlength=len(names)) == 0] = -np.inf
+        found = np.sort(model.deviation(best, likely, seen)[right])
+        if len(found):
+            model.reject_below = min(-LEAST_DEVIATION, float(found[int(false_rejects * len(found))]))
     return model
 
 
@@ -197,11 +242,11 @@ def _scored(model):
                 texts = [t or b"" for t in part.column(0).cast(pa.binary()).to_pylist()]
                 known = np.array(part.column(1).to_pylist(), dtype=bool)
                 if held.labels:
-                    best, score = held.predict(texts)
+                    best, score, odd = held.predict(texts)
                 else:
-                    best, score, known = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts)), known & False
+                    best, score, known, odd = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts)), known & False, known
                 best, score = np.where(known, best, len(held.labels)), np.where(known, score, 0.0)
-                rejected = ~known | (score < held.reject_below)
+                rejected = ~known | odd
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[2:], names.take(pa.array(best)), pa.array(score), pa.array(rejected)],
                     names=[*part.schema.names[2:], "lang_pred", "score", "rejected"])
@@ -213,7 +258,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` with lang_pred, score (calibrated probability, 0 to 1) and rejected.
 
     A null text and one without any letter get ``und``, score 0 and are rejected; so does every text if the model has
-    seen no label. Whole texts are read, however long. Only ``text`` is an input of a prediction, so repeated rows get
+    seen no label. A text unlike those that the predicted label was learned from is rejected too. Whole texts are read, however long. Only ``text`` is an input of a prediction, so repeated rows get
     the same result; a column of ``keep`` may be null; columns named as the new ones give way to them.
     """
     keep = [c for c in keep if c not in ("lang_pred", "score", "rejected")]
