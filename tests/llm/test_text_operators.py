@@ -158,6 +158,48 @@ def test_mix_of_nothing_and_order_of_files(spark):
     assert _bare(ordered.collect()) == _bare(docs.collect())
 
 
+def _lags(order, blocks, weights):
+    """Largest distance of any source from its share while all sources last."""
+    served, worst, at = [0] * len(blocks), 0.0, 0
+    for i, _ in order:
+        served[i] += 1
+        at += 1
+        if any(n == b for n, b in zip(served, blocks, strict=True)):
+            break
+        worst = max(worst, *(abs(n - at * w / sum(weights)) for n, w in zip(served, weights, strict=True)))
+    return worst
+
+
+def test_interleaving_of_a_group_keeps_its_weights():
+    blocks, weights = [400, 40, 40, 200, 7], [10.0, 1.0, 1.0, 5.0, 0.2]
+    order = list(mixing.interleaved(blocks, weights))
+    assert Counter(i for i, _ in order) == Counter(dict(enumerate(blocks)))
+    assert all([k for j, k in order if j == i] == list(range(b)) for i, b in enumerate(blocks))
+    assert _lags(order, blocks, weights) < 1.01
+    assert len(list(mixing.interleaved([1] * 5000, [1.0] * 5000))) == 5000
+
+
+@pytest.mark.parametrize("given", [False, True])
+def test_mix_of_any_number_of_sources(spark, given):
+    rows = [(i, f"t {i}", "en", None if i % 600 == 0 else f"s{i % 600}") for i in range(1500)]
+    rows += [(2000 + i, f"hot {i}", "en", "hot") for i in range(800)]
+    weights = {None: 1.0, "hot": 40.0, **{f"s{i}": 1.0 for i in range(1, 500)}} if given else None
+    got = mixing.mixed(_docs(spark, rows), weights, block=4).orderBy("position").collect()
+    assert sorted(r["doc_id"] for r in got) == [r[0] for r in rows]
+    assert len({r["position"] for r in got}) == len(got)
+    owners = {}
+    for r in got:
+        assert owners.setdefault(r["slot"], (r["source"], r["block"])) == (r["source"], r["block"])
+        assert r["phase"] is None or r["release"] <= r["slot"] < r["deadline"]
+    assert sorted(owners) == list(range(len(owners)))
+    after = [r["source"] for r in got if r["phase"] is None]
+    assert after == [r["source"] for r in got][len(got) - len(after) :] and after == sorted(after)
+    assert set(after) == ({f"s{i}" for i in range(500, 600)} if given else set())
+    # The largest source is spread over the mix by its weight: about 40 of 540, or 28 of 950.
+    early = [r["source"] for r in got if r["slot"] < 150].count("hot") / 4
+    assert 6 <= early <= 16 if given else 2 <= early <= 8
+
+
 def test_schedule_meets_every_deadline():
     for weights in ({"a": 1}, {"a": 5, "b": 3, "c": 1}, {str(i): i + 1 for i in range(40)}):
         share = mixing.shares(weights, 400)
