@@ -58,3 +58,15 @@ def test_latest_rows_need_no_window(spark, sf_dir):
 def test_recent_runs_are_limited_before_the_shuffle(spark, sf_dir):
     plan = _plan(approvals.recent_runs(Inputs(spark, sf_dir).discovery_runs))
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_bounded_write_has_to_split_files(spark, sf_dir, monkeypatch):
+    from tidemark.plans import ingestion
+    from tidemark.plans.catalog import QUERIES
+
+    written = ingestion.tables.write_dataset
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    assert QUERIES["bounded_batch_write"](spark, sf_dir).first()["n_rows"] == rows
+    # Without the bound the same write is found out.
+    monkeypatch.setattr(ingestion.tables, "write_dataset", lambda *a, max_records=None, **k: written(*a, **k))
+    assert QUERIES["bounded_batch_write"](spark, sf_dir).first()["bounded"] is False

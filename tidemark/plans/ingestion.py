@@ -297,13 +297,17 @@ def _(t: Inputs) -> DataFrame:
     return pages.cursor_chain(t.sql(_LANDED_PAGES))
 
 
+#: Fewer than the rows that a task writes, so files are split.
+MAX_RECORDS = 1_000
+
+
 @query("bounded_batch_write", "SELECT count(*) AS n_rows, true AS bounded, 'o_orderkey,o_totalprice' AS \"columns\" FROM {orders}")
 def _(t: Inputs) -> DataFrame:
     path = scratch_path(t.spark, "bounded")
-    tables.write_dataset(t.orders, path, max_records=1_000_000, schema="o_orderkey bigint, o_totalprice decimal(18,2)")
+    tables.write_dataset(t.orders, path, max_records=MAX_RECORDS, schema="o_orderkey bigint, o_totalprice decimal(18,2)")
     back = t.spark.read.parquet(path)
     per_file = back.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"))
-    return per_file.agg(F.sum("n").alias("n_rows"), (F.max("n") <= 1_000_000).alias("bounded")).withColumn(
+    return per_file.agg(F.sum("n").alias("n_rows"), (F.max("n") <= MAX_RECORDS).alias("bounded")).withColumn(
         "columns", F.lit(",".join(back.columns))
     )
 
