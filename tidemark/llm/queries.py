@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, gru, hnsw, jaccard, langid, mixing, multiindex, pathratio, secrets, suffixes, warc
+from tidemark.llm import bpe, gru, hnsw, jaccard, langid, mixing, multiindex, pathratio, phrases, secrets, suffixes, turns, warc
 
 #: Vocabulary file of op9; every executor has the package it lies in.
 VOCABULARY = "word_bpe_49k.json"
@@ -64,6 +64,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(_table(spark, sf_dir, "documents"))
 
@@ -85,6 +93,8 @@ QUERIES: dict[str, Query] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_bpe": op9_bpe,
     "op10_secret_scan": op10_secret_scan,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_phrase_mining": op12_phrase_mining,
     "op13_suffix_dedup": op13_suffix_dedup,
 }
 
@@ -122,4 +132,84 @@ pairs AS (
     FROM codes q JOIN codes c ON q.vec_id % 100 = 0 AND c.vec_id != q.vec_id)
 SELECT query_id, rank::INTEGER AS rank, vec_id, distance
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs) WHERE rank <= 10""",
+    # crc32 bit by bit: a byte is mixed in, then eight steps (-1) follow.
+    "op11_prefix_trie": r"""
+WITH t AS (
+    SELECT conv_id, turn, struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) AS t FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (
+    SELECT conv_id, t, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat(length(t.r), ':', t.r, t.x))) AS place FROM t),
+members AS (
+    SELECT conv_id, conv_id - conv_id % 20 AS first, xor(list_reduce(
+        [4294967295] || flatten([[ord(c), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(conv_id::VARCHAR, '')]),
+        lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 4 AS share
+    FROM (SELECT DISTINCT conv_id FROM t)),
+rebuilt AS (
+    SELECT m.conv_id, place, t FROM members m JOIN placed p ON p.conv_id = m.first AND place <= share
+    UNION ALL SELECT m.conv_id, place, t FROM members m JOIN placed p ON p.conv_id = m.conv_id AND place > share),
+whole AS (
+    SELECT m.conv_id, coalesce(list(t ORDER BY place) FILTER (place IS NOT NULL), []) AS s
+    FROM members m LEFT JOIN rebuilt USING (conv_id) GROUP BY m.conv_id),
+nodes AS (
+    SELECT p, min(conv_id) AS conv_id, count(*) AS n_convs
+    FROM (SELECT conv_id, unnest([s[1:d] FOR d IN range(0, len(s) + 1)]) AS p FROM whole) GROUP BY p),
+children AS (SELECT p[1:len(p) - 1] AS p, count(*) AS n_children FROM nodes WHERE len(p) > 0 GROUP BY 1),
+ends AS (SELECT s AS p, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM whole GROUP BY s),
+sums AS (
+    SELECT a AS p, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM (
+        SELECT unnest([p[1:d] FOR d IN range(0, len(p) + 1)]) AS a, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf,
+               CASE WHEN len(p) = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(p[len(p)].x, '[^ 	-
+]+')) END AS saved
+        FROM nodes LEFT JOIN children USING (p)) GROUP BY a)
+SELECT n.conv_id, len(n.p)::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM nodes n JOIN sums USING (p) LEFT JOIN children USING (p) LEFT JOIN ends USING (p)
+LEFT JOIN nodes u ON len(n.p) > 0 AND u.p = n.p[1:len(n.p) - 1]""",
+    "op12_phrase_mining": r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]')) AS piece
+    FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
+counts AS (
+    SELECT lang, m, p, count(*) AS f FROM (
+        SELECT lang, m, unnest([array_to_string(w[i:i + m - 1], ' ') FOR i IN range(1, len(w) - m + 2)]) AS p
+        FROM words, (VALUES (1), (2), (3), (4)) AS sizes(m) WHERE len(w) >= m) GROUP BY lang, m, p),
+candidates AS (SELECT lang, m, p, f AS a, string_split(p, ' ') AS w FROM counts WHERE m > 1 AND f >= 30),
+cuts AS (
+    SELECT lang, p, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:m], ' ') AS tail
+    FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates)),
+scored AS (
+    SELECT c.lang, c.p, c.a, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a // (x.f + y.f))::BIGINT AS score,
+           row_number() OVER (PARTITION BY c.lang, c.p ORDER BY 2000000::HUGEINT * c.a // (x.f + y.f), c.k) AS nth
+    FROM cuts c JOIN counts x ON x.lang = c.lang AND x.p = c.head JOIN counts y ON y.lang = c.lang AND y.p = c.tail),
+inside AS (
+    SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS p, max(a) AS longer
+    FROM (SELECT *, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM candidates)) GROUP BY 1, 2),
+kept AS (
+    SELECT s.* FROM scored s LEFT JOIN inside i USING (lang, p) WHERE nth = 1 AND (longer IS NULL OR 100 * longer < 80 * a)),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE m = 1 GROUP BY lang)
+SELECT lang, rank, p AS phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM kept) JOIN total USING (lang)
+WHERE rank <= 2000""",
+    "op13_suffix_dedup": r"""
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+strings AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS w FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM texts)),
+later AS (
+    SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step
+    FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS nth FROM strings) WHERE nth > 1),
+spans AS (
+    SELECT doc_id, min(i) AS low, max(i) + 100 AS high
+    FROM (SELECT doc_id, i, count(*) FILTER (step IS NULL OR step > 100) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM later)
+    GROUP BY doc_id, span),
+kept AS (
+    SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) AS head, max(high) AS high,
+           sum(high - low) AS n_removed, count(*) AS n_spans
+    FROM (SELECT doc_id, low, high, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS before FROM spans) JOIN texts USING (doc_id)
+    GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(high, 0) + 1))) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)""",
 }
