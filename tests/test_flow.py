@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.types import canonical_of
-from tidemark.operators import audit, cdc, health, prepare, publish, runs, schema, tags
+from tidemark.operators import audit, cdc, commits, health, publish, runs, schema, tags
 from tidemark.operators.governed import LoadPlan, governed_load
 from tidemark.operators.prepare import Element
 from tidemark.operators.quality import Rule
@@ -16,15 +16,7 @@ from tidemark.session import cut_counted, scratch_path
 from tidemark.sources import tables
 from tidemark.streaming.gate import gate_stream
 from tidemark.streaming.landing import load_new_files
-from tidemark.streaming.run_state import compact_runs, current_runs, track_runs
-
-
-def test_jdbc_reads_are_split_and_qualified():
-    source = tables.JdbcSource("jdbc:x", {"fetchsize": "1000"}, {"partitionColumn": "id", "numPartitions": "8"})
-    assert source.read_options("t") == {"url": "jdbc:x", "fetchsize": "1000", "dbtable": "public.t", "partitionColumn": "id",
-                                        "numPartitions": "8"}
-    assert source.read_options("s.t")["dbtable"] == "s.t"
-    assert source.read_options(query="SELECT 1") == {"url": "jdbc:x", "fetchsize": "1000", "query": "SELECT 1"}
+from tidemark.streaming.run_state import compact_runs, current_runs, folders, track_runs
 
 
 def test_bucket_roots():
@@ -34,25 +26,6 @@ def test_bucket_roots():
         _ = tables.BucketSource("ftp", "x").root
 
 
-def test_extract_by_strategy_and_land(spark, sf_dir):
-    source = tables.ParquetSource(sf_dir)
-    mark = F.lit("1998-01-01").cast("timestamp_ntz")
-    total = tables.extract_configured(spark, source, tables.ExtractOptions("public.orders"))[0].count()
-    options = tables.ExtractOptions("orders", "incremental", "o_orderdate", "o_orderstatus", "gzip")
-    rows, new_mark = tables.extract_configured(spark, source, options, mark)
-    assert 0 < rows.count() == new_mark.first().new_rows < total
-    assert tables.extract_configured(spark, source, options)[0].count() == total
-    own = tables.ExtractOptions("orders", "incremental", "o_orderdate", query="SELECT o_orderkey FROM {orders} LIMIT 3")
-    assert tables.extract_configured(spark, source, own, mark)[0].count() == 3
-    with pytest.raises(ValueError):
-        tables.extract_configured(spark, source, tables.ExtractOptions("orders", "incremental"), mark)
-    with pytest.raises(ValueError):
-        tables.extract_configured(spark, source, tables.ExtractOptions("orders", "streaming"))
-    path = scratch_path(spark, "landed")
-    tables.land(rows, path, options)
-    assert spark.read.parquet(path).groupBy("o_orderstatus").count().count() == 3
-
-
 def test_incremental_keeps_the_old_mark_without_news(spark):
     df = spark.createDataFrame([(1, 10), (2, 20)], "k int, w int")
     fresh, mark = tables.extract_incremental(df, "w", F.lit(20))
@@ -103,11 +76,6 @@ def test_files_by_glob(spark):
     assert tables.extract_files(spark, root, "json", "nothing*", schema="id long").isEmpty()
 
 
-def test_row_count_of_a_missing_table_is_null(spark):
-    counts = prepare.row_counts(spark, {"a": lambda: spark.range(4), "b": lambda: spark.read.parquet("/nowhere/at/all")})
-    assert {r.object: r.row_count for r in counts.collect()} == {"a": 4, "b": None}
-
-
 def test_types_collapse_to_the_vocabulary(spark):
     df = spark.sql("SELECT 1 a, 1L b, 1.5D c, 1.5BD d, current_date() e, timestamp_ntz'2024-01-01' f, true g, array(1) h, "
                    "map(1, 2) i, X'00' j, 's' k")
@@ -151,7 +119,9 @@ def test_governed_load_blocks_retries_and_records(spark):
     assert governed_load(good, plan, "r2").run.first().status == "success"
     again = governed_load(good, plan, "r2")
     assert (again.run.first().status, again.run.first().rows_published) == ("success", 10)
-    assert governed_load(bad, plan, "r3").run.first().rows_published == 10
+    # A blocked run has published nothing itself.
+    assert governed_load(bad, plan, "r3").run.first().rows_published == 0
+    assert publish.read_published(spark, plan.target).columns == ["the_key", "s", "extra", "_processed_at"]
     assert {(r.src_column, r.dst_column) for r in again.lineage.collect()} == {("the_key", "the_key"), ("s", "s")}
     assert {r.metric: r.value for r in again.metrics.collect()}["null_count_extra"] == 10
 
@@ -202,7 +172,7 @@ def test_compaction_keeps_the_state(spark):
     before = everything()
     compact_runs(spark, state, 1)
     assert everything() == before and len(before) == 4
-    assert spark.read.parquet(state).select("batch").distinct().count() == 2
+    assert len(folders(commits.latest(spark, state))) == 2
 
 
 @pytest.mark.parametrize(("fmt", "asked", "suffix"), [

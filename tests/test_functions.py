@@ -53,22 +53,45 @@ def _skewed(spark):
                                  F.when(F.col("id") % 4 != 0, F.col("id") * 2).alias("v"))
 
 
-@pytest.mark.parametrize("keys", [["k"], []])
-def test_segments_equal_plain_windows(spark, rows, keys):
-    def build(hot_rows):
-        ordered = Ordered(_skewed(spark), ["t", "n"], keys, hot_rows)
-        return ordered, ordered.row_number("rn").previous({"pv": "v", "pn": "n"}).running_sum({"s": F.col("v")}).done()
-
-    plain, want = build(10**9)
-    segmented, got = build(10)
-    assert not plain.segmented and segmented.segmented
+@pytest.mark.parametrize("keys", [["k"], [], ["k", "j"]])
+@pytest.mark.parametrize("segments", [2, 13, 400])
+def test_segments_equal_plain_windows(spark, rows, keys, segments):
+    """Sums of what stands on a row, and of what differs from the row before, which a boundary may hide."""
+    def build(count):
+        df = _skewed(spark).withColumn("j", F.when(F.col("n") % 2 == 0, F.col("n") % 4))
+        changed = F.col("pv").isNull() | (F.col("pv") < F.col("v"))
+        return Ordered(df, ["t", "n"], keys, count).row_number("rn").previous({"pv": "v", "pn": "n"}).running_sum(
+            {"s": F.col("v"), "c": changed.cast("int")}).done()
+
+    want, got = build(1), build(segments)
+    assert got.columns == want.columns == ["k", "t", "n", "v", "j", "rn", "pv", "pn", "s", "c"]
     assert rows(got) == rows(want)
-    assert got.columns == want.columns
 
 
-def test_hot_key_spreads_over_segments(spark):
-    ordered = Ordered(_skewed(spark), ["t", "n"], ["k"], 10)
-    assert ordered.rows.where("k = 'hot'").select("_segment").distinct().count() > 1
+def test_a_hot_key_lies_in_many_segments_and_none_is_in_one_task(spark):
+    ordered = Ordered(_skewed(spark), ["t", "n"], ["k"], 40).row_number().previous({"pn": "n"})
+    got = ordered.done()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # The written segments are read for the result and for their ends.
+    assert "SinglePartition" not in plan and plan.count("FileScan parquet") == 2
+    assert got.where("k = 'hot'").count() == 1000
+    whole = Ordered(_skewed(spark), ["t", "n"], None, 40).row_number().done()
+    assert "SinglePartition" not in whole._jdf.queryExecution().executedPlan().toString()
+    assert whole.agg(F.max("row_number")).first()[0] == 3000
+
+
+def test_segments_follow_the_bytes(spark, monkeypatch):
+    from tidemark.functions import ordered
+
+    assert ordered.segments_for(spark.range(1000)) == 1
+    monkeypatch.setattr(ordered, "SEGMENT_BYTES", 1000)
+    assert ordered.segments_for(spark.range(1000)) == 8
+    assert ordered.segments_for(spark.range(10**6)) == ordered.SEGMENTS_A_TASK * 4
+
+
+def test_ordering_nothing(spark):
+    empty = _skewed(spark).where("n < 0")
+    assert Ordered(empty, ["t", "n"], ["k"], 5).row_number().previous({"pn": "n"}).done().collect() == []
 
 
 def test_type_map_falls_back_to_the_bare_type(spark, rows):

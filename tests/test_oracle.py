@@ -51,5 +51,5 @@ def test_session_time_zone_does_not_matter(spark, duck, sf_dir):
     "schema_versions", "schema_version_drift", "schema_tag_version", "audit_trail", "asset_invalid_transitions",
     "page_slices_customer", "page_slices_offset"])
 def test_hot_keys_give_the_same_rows(spark, duck, sf_dir, monkeypatch, key):
-    monkeypatch.setattr("tidemark.functions.ordered.HOT_ROWS", 5)
+    monkeypatch.setattr("tidemark.functions.ordered.SEGMENT_BYTES", 500)
     assert compare(spark, duck, sf_dir, QUERIES[key], ORACLES[key])[0] == "ok"

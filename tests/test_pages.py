@@ -63,10 +63,10 @@ def test_inferred_fields(spark):
     assert got == {"a": "integer", "b": "string", "n": "string", "m": "string", "c": "json", "d": "json", "t": "boolean"}
 
 
-def test_sampling_looks_at_fewer_documents_of_each_collection(spark):
-    df = spark.range(50).selectExpr("if(id < 45, 'a', 'b') AS object", "concat('{\"a\": ', id, '}') AS body")
-    got = {r.object_id: r.documents for r in infer.infer_json_fields(df, "body", "object", sample=10).collect()}
-    assert got == {"a": 10, "b": 5}
+def test_unreadable_documents_are_counted_by_collection(spark):
+    df = spark.createDataFrame([("a", "{"), ("a", '{"x": 1}'), ("a", None), ("b", "nope"), ("b", "[1"), ("c", "1")], "object string, body string")
+    got = {r.object_id: (r.documents, r.unreadable) for r in infer.unreadable_documents(df, "body", "object").collect()}
+    assert got == {"a": (3, 1), "b": (2, 2), "c": (1, 0)}
 
 
 def test_whole_numbers_of_any_size_are_integers(spark):

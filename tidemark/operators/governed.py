@@ -11,7 +11,7 @@ from tidemark.functions.names import canonical_names
 from tidemark.operators.lineage import raw_lineage
 from tidemark.operators.prepare import Element, IngestConfig, read_metrics, run_ingestion, write_manifests
 from tidemark.operators.publish import (
-    PublishResult, audit_and_publish, current_version, read_published, version_path,
+    PublishResult, audit_and_publish, read_version, version_path, was_published,
 )
 from tidemark.operators.quality import Rule
 from tidemark.operators.reconcile import reconcile
@@ -49,13 +49,14 @@ RUN_SCHEMA = (
 def governed_load(source: DataFrame, plan: LoadPlan, run_id: str) -> LoadOutcome:
     """Clean and stage the source as version ``run_id``, gate it, publish it, reconcile, and record the run.
 
-    The source is read once. A blocked load leaves the published data as it was. A retry under the same
-    ``run_id`` replaces its own staging, and once that is published it is not touched again.
+    The source is read once; counts come from the landed files. A blocked load leaves the published data as it was and has
+    published nothing. A retry under the same ``run_id`` replaces its own staging, and once that is published it is not
+    touched again.
     """
     spark = source.sparkSession
     manifests = f"{plan.target}/manifests/{run_id}"
-    if current_version(spark, plan.target) == run_id:
-        clean, result = read_published(spark, plan.target), PublishResult(True, [])
+    if was_published(spark, plan.target, run_id):
+        clean, result = read_version(spark, plan.target, run_id), PublishResult(True, [])
     else:
         config = IngestConfig(plan.elements, plan.processed_at, version_path(plan.target, run_id))
         clean, observed, manifest = run_ingestion(source, config)
@@ -63,8 +64,7 @@ def governed_load(source: DataFrame, plan: LoadPlan, run_id: str) -> LoadOutcome
         result = audit_and_publish(spark, plan.rules, plan.target, run_id)
     metrics = read_metrics(spark, manifests)
     extracted = metrics.where("metric = 'row_count'").first().value
-    # What readers see now, whether or not this run was published.
-    visible = read_published(spark, plan.target).count() if current_version(spark, plan.target) else 0
+    visible = read_version(spark, plan.target, run_id).count() if result.published else 0
     run = spark.createDataFrame(
         [(run_id, None, None, extracted, visible, len(result.violations), "; ".join(result.violations))], RUN_SCHEMA
     )

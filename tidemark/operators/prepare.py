@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import canonical_names
@@ -13,6 +15,8 @@ from tidemark.functions.types import SPARK_TYPES, canonical_of
 from tidemark.sources.tables import write_dataset
 
 PROCESSED_AT = "_processed_at"
+#: Landed with every row: the names of the columns whose value the contract's type could not hold. Readers leave it out.
+FAILED_CASTS = "_failed_casts"
 
 
 def canonicalize(df: DataFrame) -> DataFrame:
@@ -82,17 +86,21 @@ def schema_manifest(frames: dict[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame(rows, "object string, ordinal int, column string, type string, spark_type string")
 
 
-def row_counts(spark: SparkSession, readers: dict[str, Callable[[], DataFrame]]) -> DataFrame:
-    """Row count of each table, null where a table cannot be read. One job for all tables."""
-    counted = None
-    for name, read in readers.items():
+def row_counts(spark: SparkSession, readers: dict[str, Callable[[], DataFrame]], at_once: int = 8) -> DataFrame:
+    """Row count of each table, null with the error's text where a table cannot be read, at planning or at run time.
+
+    Every table is counted by a job of its own, a few at once, so a broken one fails alone.
+    """
+    def count(read: Callable[[], DataFrame]) -> tuple[int | None, str | None]:
         try:
-            part = read().select(F.count("*").alias("row_count"))
-        except Exception:  # an unreadable table is a null estimate, not a failed run
-            part = spark.range(1).select(F.lit(None).cast("bigint").alias("row_count"))
-        part = part.select(F.lit(name).alias("object"), "row_count")
-        counted = part if counted is None else counted.unionByName(part)
-    return counted
+            return read().count(), None
+        except Exception as error:  # whatever a source may raise is that table's outcome, and is returned
+            return None, f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"
+
+    with ThreadPoolExecutor(at_once) as pool:
+        counted = list(pool.map(inheritable_thread_target(spark)(count), readers.values()))
+    rows = [(name, *outcome) for name, outcome in zip(readers, counted, strict=True)]
+    return spark.createDataFrame(rows, "object string, row_count bigint, error string")
 
 
 def bytes_written(spark: SparkSession, path: str) -> DataFrame:
@@ -154,26 +162,30 @@ class IngestConfig:
     partition_by: list[str] = field(default_factory=list)
 
 
+def landed_metrics(landed: DataFrame) -> DataFrame:
+    """Row, null and failed-cast counts of a landed dataset, from its files alone: metric, value."""
+    names = [c for c in landed.columns if c not in (PROCESSED_AT, FAILED_CASTS)]
+    counts = {"row_count": F.count(F.lit(1))}
+    for name in names:
+        counts[f"null_count_{name}"] = null_count(name)
+        if FAILED_CASTS in landed.columns:
+            counts[f"failed_casts_{name}"] = F.count_if(F.array_contains(FAILED_CASTS, name))
+    wide = landed.agg(*[count.alias(name) for name, count in counts.items()])
+    return wide.unpivot([], list(counts), "metric", "value")
+
+
 def run_ingestion(source: DataFrame, config: IngestConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Canonicalize, cast, stamp and write in one pass over the source; return dataset, metrics, manifest.
 
-    Row, null and failed-cast counts are observed while the rows are written, so profiling adds no scan.
+    The metrics are those of the files that were landed, read once more; nothing is counted while tasks, which may run
+    twice, write them.
     """
     spark = source.sparkSession
-    landed = canonicalize(source)
-    casts = _contract_casts(landed, config.elements)
-    values = landed.select(
-        *[value.alias(name) for name, (value, _) in casts.items()],
-        *[lost.alias(f"_lost_{name}") for name, (_, lost) in casts.items()],
-    )
-    observed = [F.count(F.lit(1)).alias("row_count")]
-    for name in casts:
-        observed.append(null_count(name).alias(f"null_count_{name}"))
-        observed.append(F.count_if(F.col(f"_lost_{name}")).alias(f"failed_casts_{name}"))
-    watch = Observation()
-    clean = values.observe(watch, *observed).select(*casts)
-    stamped = with_processing_ts(clean, config.processed_at)
+    casts = _contract_casts(canonicalize(source), config.elements)
+    failed = F.array_compact(F.array(*[F.when(lost, F.lit(name)) for name, (_, lost) in casts.items()])).cast("array<string>")
+    values = canonicalize(source).select(*[value.alias(name) for name, (value, _) in casts.items()], failed.alias(FAILED_CASTS))
+    stamped = with_processing_ts(values, config.processed_at)
     write_dataset(stamped, config.path, mode="overwrite", partition_by=config.partition_by or None)
-    metrics = spark.createDataFrame(sorted(watch.get.items()), METRICS_SCHEMA)
-    dataset = spark.read.schema(stamped.schema).parquet(config.path)
-    return dataset, metrics, schema_manifest({"dataset": dataset})
+    landed = spark.read.schema(stamped.schema).parquet(config.path)
+    dataset = landed.drop(FAILED_CASTS)
+    return dataset, landed_metrics(landed), schema_manifest({"dataset": dataset})

@@ -6,43 +6,47 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.operators import commits
+from tidemark.operators.prepare import FAILED_CASTS
 from tidemark.operators.quality import Rule, evaluate_gate, profile, rules_frame
 from tidemark.sources.tables import write_dataset
 
-# Not hidden by a leading underscore or dot, so that Spark itself can read it.
-POINTER = "CURRENT"
-
-
-def _file_system(spark: SparkSession, path: str):
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
-
 
 def current_version(spark: SparkSession, target: str) -> str | None:
     """Name of the published version, null before the first publish."""
-    fs, pointer = _file_system(spark, f"{target}/{POINTER}")
-    if not fs.exists(pointer):
-        return None
-    return spark.read.text(f"{target}/{POINTER}").first()[0]
+    entry = commits.latest(spark, target)
+    return entry["version"] if entry else None
 
 
 def version_path(target: str, version: str) -> str:
     return f"{target}/versions/{version}"
 
 
+def read_version(spark: SparkSession, target: str, version: str) -> DataFrame:
+    return spark.read.parquet(version_path(target, version)).drop(FAILED_CASTS)
+
+
 def read_published(spark: SparkSession, target: str) -> DataFrame:
     version = current_version(spark, target)
     if version is None:
         raise FileNotFoundError(f"nothing published at {target}")
-    return spark.read.parquet(version_path(target, version))
+    return read_version(spark, target, version)
+
+
+def was_published(spark: SparkSession, target: str, version: str) -> bool:
+    """Whether a version was ever published; its files are not touched again."""
+    return any(entry["version"] == version for entry in commits.history(spark, target))
 
 
 def _point_to(spark: SparkSession, target: str, version: str) -> None:
-    """Replace the pointer file as one small object; versions themselves are never touched."""
-    fs, pointer = _file_system(spark, f"{target}/{POINTER}")
-    out = fs.create(pointer, True)
-    out.write(bytearray(version.encode()))
-    out.close()
+    commits.append(spark, target, lambda entry: {**entry, "version": version})
+
+
+def rollback(spark: SparkSession, target: str, version: str) -> None:
+    """Make a version that was published before the one readers see, by a new manifest."""
+    if not was_published(spark, target, version):
+        raise ValueError(f"version {version!r} was never published at {target}")
+    _point_to(spark, target, version)
 
 
 @dataclass(frozen=True)
@@ -57,11 +61,11 @@ def write_audit_publish(
 ) -> PublishResult:
     """Stage ``df`` as ``version``, audit what was written, publish it if no rule is violated.
 
-    A retry with the same version overwrites its own staging only, so nothing is loaded twice; a failed
-    audit leaves the published data as it was. Only the violated rules' messages reach the driver.
+    A retry with the same version overwrites its own staging only, and nothing once that was published, so nothing is
+    loaded twice; a failed audit leaves the published data as it was. Only the violated rules' messages reach the driver.
     """
     spark = df.sparkSession
-    if current_version(spark, target) == version:
+    if was_published(spark, target, version):
         return PublishResult(True, [])
     write_dataset(df, version_path(target, version), mode="overwrite", partition_by=partition_by)
     return audit_and_publish(spark, rules, target, version, extra_metrics)
@@ -71,7 +75,7 @@ def audit_and_publish(
     spark: SparkSession, rules: list[Rule], target: str, version: str, extra_metrics: DataFrame | None = None
 ) -> PublishResult:
     """Audit a staged version as it was written and make it current if no rule is violated."""
-    metrics = profile(spark.read.parquet(version_path(target, version)), rules)
+    metrics = profile(read_version(spark, target, version), rules)
     if extra_metrics is not None:
         metrics = metrics.unionByName(extra_metrics)
     failed = evaluate_gate(metrics, rules_frame(spark, rules)).orderBy("rule_id").collect()

@@ -50,6 +50,32 @@ def _(t: Inputs) -> DataFrame:
     return _since_1998(t)[1]
 
 
+_MARKS = ("1998-01-01", "1998-05-01")
+
+
+@query("incremental_landed_mark", f"""
+    WITH late AS (SELECT * FROM {{orders}} WHERE o_orderdate > TIMESTAMP '{_MARKS[1]} 00:00:00' AND o_orderstatus = 'P'),
+         early AS (SELECT * FROM {{orders}} WHERE NOT (o_orderdate > TIMESTAMP '{_MARKS[1]} 00:00:00' AND o_orderstatus = 'P')),
+         first AS (SELECT coalesce(max(o_orderdate), TIMESTAMP '{_MARKS[0]} 00:00:00') AS high_watermark, count(*) AS new_rows
+                   FROM early WHERE o_orderdate > TIMESTAMP '{_MARKS[0]} 00:00:00'),
+         second AS (SELECT coalesce(max(o_orderdate), any_value(f.high_watermark)) AS high_watermark, count(o_orderkey) AS new_rows
+                    FROM first f LEFT JOIN (SELECT * FROM early UNION ALL SELECT * FROM late) ON o_orderdate > f.high_watermark)
+    SELECT 1 AS step, * FROM first UNION ALL SELECT 2, * FROM second""")
+def _(t: Inputs) -> DataFrame:
+    # Two extracts of a growing source; each mark is read from the files that the extract landed.
+    root, options = scratch_path(t.spark, "growing"), tables.ExtractOptions("orders", "incremental", "o_orderdate")
+    late = (F.col("o_orderdate") > F.lit(_MARKS[1]).cast("timestamp_ntz")) & (F.col("o_orderstatus") == "P")
+    mark, marks = F.lit(_MARKS[0]).cast("timestamp_ntz"), None
+    for step, arrived in ((1, ~late), (2, late)):
+        t.orders.where(arrived).write.mode("append").parquet(f"{root}/orders.parquet")
+        landed = scratch_path(t.spark, "landed")
+        found = tables.land_configured(t.spark, ParquetSource(root), options, landed, mark)[1]
+        mark = F.lit(found.first().high_watermark.isoformat(sep=" ")).cast("timestamp_ntz")
+        row = found.select(F.lit(step).alias("step"), "high_watermark", "new_rows")
+        marks = row if marks is None else marks.unionByName(row)
+    return marks
+
+
 @query("incremental_orders_late_ties", """
     SELECT * FROM {orders}
     WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00'
@@ -178,12 +204,17 @@ def _(t: Inputs) -> DataFrame:
 
 
 @query("row_counts_all", " UNION ALL ".join(
-    f"SELECT '{name}' AS object, count(*) AS row_count FROM {{{name}}}" for name in TABLES)
-    + " UNION ALL SELECT 'not_there', NULL")
+    f"SELECT '{name}' AS object, count(*) AS row_count, false AS failed FROM {{{name}}}" for name in TABLES)
+    + " UNION ALL SELECT 'not_there', NULL, true UNION ALL SELECT 'broken_file', NULL, true")
 def _(t: Inputs) -> DataFrame:
     readers = {name: (lambda n=name: getattr(t, n)) for name in TABLES}
     readers["not_there"] = lambda: t.spark.read.parquet(f"{t.sf_dir}/not_there.parquet")
-    return prepare.row_counts(t.spark, readers)
+    # Text where a parquet file is expected: found out when the rows are read.
+    broken = scratch_path(t.spark, "broken")
+    t.orders.select("o_orderpriority").write.text(broken, compression="none")
+    readers["broken_file"] = lambda: t.spark.read.schema("a int").parquet(broken)
+    counts = prepare.row_counts(t.spark, readers)
+    return counts.select("object", "row_count", F.col("error").isNotNull().alias("failed"))
 
 
 def _api_pages(t: Inputs) -> DataFrame:
@@ -472,6 +503,31 @@ def _(t: Inputs) -> DataFrame:
     )
 
 
+@query("extract_partitioned_files", """
+    SELECT o_orderkey, o_orderpriority, o_orderstatus, CAST(year(o_orderdate) AS INTEGER) AS order_year FROM {orders}""")
+def _(t: Inputs) -> DataFrame:
+    root = scratch_path(t.spark, "bucket")
+    rows = t.orders.select("o_orderkey", "o_orderpriority", "o_orderstatus", F.year("o_orderdate").alias("order_year"))
+    for year in (True, False):
+        some = rows.where((F.col("order_year") < 1995) == year)
+        path = f"{root}/{'old' if year else 'new'}"
+        tables.land(some, path, tables.ExtractOptions("orders", partition_column="o_orderpriority"))
+    found = tables.extract_files(t.spark, root, "parquet", "part-*", partitions="o_orderpriority string")
+    return found.select("o_orderkey", "o_orderpriority", "o_orderstatus", "order_year")
+
+
+@query("extract_bucket_glob", """
+    SELECT o_orderstatus, count(*) AS n_rows, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM {orders} GROUP BY o_orderstatus""")
+def _(t: Inputs) -> DataFrame:
+    # A bucket with orders in many files, and others that the glob leaves out.
+    root = scratch_path(t.spark, "bucket")
+    t.orders.repartition(5).write.parquet(f"{root}/raw/orders")
+    t.customer.write.json(f"{root}/raw/orders/notes")
+    bucket = tables.BucketSource("path", root, "raw", glob="*.parquet")
+    sql = "SELECT o_orderstatus, count(*) AS n_rows, sum(o_orderkey) AS key_sum FROM {o} GROUP BY o_orderstatus"
+    return tables.extract(t.spark, bucket, query=sql, inputs={"o": "orders"})
+
+
 def _ingest(t: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
     landed = t.sql(_ORDER_TEXT).toDF(
         "O OrderKey", "O-OrderPriority", "O OrderDate", " o_closed ", "O.TotalPrice"
@@ -513,7 +569,7 @@ def _(t: Inputs) -> DataFrame:
            count(*) AS rows_published, CAST(0 AS INTEGER) AS n_violations, '' AS violations, CAST(6 AS BIGINT) AS lineage_edges
     FROM {orders}
     UNION ALL
-    SELECT 'v2', 'quality_failed', 'validation_and_metrics.quality_gate', count(*), (SELECT count(*) FROM {orders}),
+    SELECT 'v2', 'quality_failed', 'validation_and_metrics.quality_gate', count(*), 0,
            CAST(2 AS INTEGER), concat('VIOLATION not_null: column ''o_custkey'' has ', count(*) FILTER (WHERE o_custkey IS NULL),
                ' null(s); VIOLATION accepted_values: column ''o_orderstatus'' has ',
                count(*) FILTER (WHERE o_orderstatus = 'X'), ' invalid value(s)'), 6

@@ -106,14 +106,14 @@ _FRESH = f"""
                      <= window_minutes * 60 THEN 'fresh' ELSE 'stale' END AS freshness_status
     FROM (SELECT DISTINCT pipeline_id AS object_id, pipeline_type AS object_class FROM {{runs}}) o
     LEFT JOIN (SELECT pipeline_id, max(finished_at) AS last_success_at FROM {{runs}}
-               WHERE status = 'success' AND k < 30 GROUP BY pipeline_id) s ON s.pipeline_id = o.object_id
+               WHERE status IN ('success', 'partial') GROUP BY pipeline_id) s ON s.pipeline_id = o.object_id
     LEFT JOIN ({_WINDOWS}) w ON w.object_class = o.object_class"""
 
 
 def _freshness(t: Inputs) -> DataFrame:
     history = t.runs
     objects = history.select(F.col("pipeline_id").alias("object_id"), F.col("pipeline_type").alias("object_class")).distinct()
-    successes = history.where("status = 'success' AND k < 30").select(
+    successes = history.where(F.col("status").isin(*runs.SUCCESSES)).select(
         F.col("pipeline_id").alias("object_id"), F.col("finished_at").alias("succeeded_at"))
     windows = t.spark.createDataFrame([("ingestion", 720), ("etl", 2880)], "object_class string, window_minutes int")
     return health.freshness(objects, successes, windows, F.lit("2024-01-31").cast("timestamp_ntz"))

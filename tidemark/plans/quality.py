@@ -182,7 +182,7 @@ def _(t: Inputs) -> DataFrame:
 @query("gate_verdict", f"""
     WITH v AS ({_MONTH_VIOLATIONS_SQL}),
          per AS (SELECT order_month, count(*) AS n_violations, string_agg(message, '; ' ORDER BY rule_id) AS violations
-                 FROM v WHERE type IN ('row_count_min') GROUP BY order_month)
+                 FROM v WHERE order_month < '1996' GROUP BY order_month)
     SELECT m.order_month, CASE WHEN n_violations IS NOT NULL THEN 'quality_failed' WHEN late > 60 THEN 'partial'
                                ELSE 'success' END AS status,
            coalesce(n_violations, 0) AS n_violations, coalesce(violations, '') AS violations
@@ -193,7 +193,8 @@ def _(t: Inputs) -> DataFrame:
     late = F.count_if(F.col("o_orderstatus") == "P")
     runs = _month(t.orders).groupBy("order_month").agg(
         F.when(late > 60, 1).otherwise(0).alias("optional_failures"))
-    return quality.gate_verdict(month_violations(t).where("type = 'row_count_min'"), runs, "order_month")
+    # The months of the broken extract, with violations of every rule; later months were loaded from a sound one.
+    return quality.gate_verdict(month_violations(t).where("order_month < '1996'"), runs, "order_month")
 
 
 @query("gate_table", """
