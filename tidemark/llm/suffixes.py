@@ -28,7 +28,7 @@ from tidemark.session import cut
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text whose runs one task sorts; bytes hashed at once; bytes whose runs are packed together.
-PART_BYTES, CHUNK, PACK = 1 << 25, 1 << 18, 1 << 23
+PART_BYTES, CHUNK, PACK = 1 << 24, 1 << 18, 1 << 23
 #: Bytes whose suffixes are sorted at once.
 SORT_BYTES = 1 << 21
 #: Strings of a run at most; a longer one is cut, which changes no result.
@@ -428,20 +428,30 @@ def _sets(anchor: np.ndarray, begin: np.ndarray, n: np.ndarray, raw: np.ndarray)
         yield np.arange(low, len(anchor)), zero[low:], n[low:]
 
 
+def _gathered(raw: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of ``raw`` end to end, and where each begins there."""
+    at = np.cumsum(length) - length
+    return raw[np.repeat(begin - at, length) + np.arange(int(length.sum()))], at
+
+
 def _by_string(runs: np.ndarray, begin: np.ndarray, n: np.ndarray, raw: np.ndarray, slices: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(run, string) of each slice of the strings of some runs; equal strings are in one slice."""
-    low, high = begin[runs[0]], begin[runs[-1]] + n[runs[-1]] + LENGTH - 1
-    word = raw[low:high].astype(np.uint64)
-    digest, done = word + np.uint64(1), 1
-    while done < LENGTH:
-        step = min(done, LENGTH - done)
-        shifted = np.zeros_like(digest)
-        shifted[:-step] = digest[step:]
-        digest = mix(digest ^ _STRING) * _SINGLE + shifted
-        done += step
     of = np.repeat(runs, n[runs])
     nth = np.arange(len(of)) - np.repeat(np.cumsum(n[runs]) - n[runs], n[runs])
-    slot = mix(digest[begin[of] + nth - low]) % np.uint64(slices)
+    slots = []
+    bounds = np.flatnonzero(np.diff(np.cumsum(n[runs] + LENGTH - 1) // SORT_BYTES)) + 1
+    for some in np.split(runs, bounds):
+        own, at = _gathered(raw, begin[some], n[some] + LENGTH - 1)
+        digest, done = own.astype(np.uint64) + np.uint64(1), 1
+        while done < LENGTH:
+            step = min(done, LENGTH - done)
+            shifted = np.zeros_like(digest)
+            shifted[:-step] = digest[step:]
+            digest = mix(digest ^ _STRING) * _SINGLE + shifted
+            done += step
+        place = np.repeat(at - (np.cumsum(n[some]) - n[some]), n[some]) + np.arange(int(n[some].sum()))
+        slots.append((mix(digest[place]) % np.uint64(slices)).astype(np.int32))
+    slot = np.concatenate(slots)
     order = np.argsort(slot, kind="stable")
     for picked in np.split(order, np.flatnonzero(np.diff(slot[order])) + 1):
         yield of[picked], nth[picked]
@@ -461,17 +471,10 @@ def _sort_part(table: pa.Table) -> pa.Table:
     size = n + LENGTH - 1
     begin = np.cumsum(size) - size
     order = np.lexsort((begin, anchor))
-    # Runs of one anchor side by side.
-    moved = np.repeat(begin[order] - (np.cumsum(size[order]) - size[order]), size[order]) + np.arange(len(raw))
-    raw = raw[moved]
-    del moved
-    doc, tag, start, n, anchor, size = (x[order] for x in (doc, tag, start, n, anchor, size))
-    begin = np.cumsum(size) - size
+    begin, doc, tag, start, n, anchor = (x[order] for x in (begin, doc, tag, start, n, anchor))
     spans = []
     for run, nth, count in _sets(anchor, begin, n, raw):
-        length = count + LENGTH - 1
-        at = np.cumsum(length) - length
-        own = raw[np.repeat(begin[run] + nth - at, length) + np.arange(int(length.sum()))]
+        own, at = _gathered(raw, begin[run] + nth, count + LENGTH - 1)
         gone = _removed(own, at, count, doc[run], start[run] + nth)
         of = np.repeat(np.arange(len(run)), count)
         edge = np.ones(len(gone), dtype=bool)
