@@ -4,8 +4,11 @@ import random
 
 import pytest
 
-from tidemark.operators import approvals, contract, drift, versions
+from pyspark.sql import functions as F
+
+from tidemark.operators import approvals, contract, discovery, drift, versions
 from tidemark.operators.infer import discover
+from tidemark.session import scratch_path
 
 FIELDS = "object_id string, ordinal long, name string, normalized_type string, nullable boolean, description string"
 
@@ -191,3 +194,80 @@ def test_declared_schema_beats_samples(spark):
     sampled = spark.createDataFrame([("a", "x", "python:str", "string", True, False), ("b", "y", "python:str", "string", True, False)], kind)
     assert {(r.object_id, r.discovery_method) for r in discover(declared, sampled).collect()} == {
         ("a", "declared"), ("b", "payload_sampling")}
+
+
+FIELD = "object_id string, name string, normalized_type string, nullable boolean, ordinal long"
+
+
+def test_events_take_one_exchange_of_fields(spark):
+    paths = [scratch_path(spark, "fields") for _ in range(2)]
+    for path in paths:
+        spark.createDataFrame([("a", "x", "integer", True, 0)], FIELD).write.parquet(path)
+    before, after = (spark.read.parquet(p) for p in paths)
+    plan = drift.with_severity(drift.diff(before, after, removed=True))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_objects_on_one_side_have_one_event_each(spark):
+    before = spark.createDataFrame([("gone", "x", "integer", True, 0), ("gone", "y", "string", True, 1), ("both", "x", "integer", True, 0)], FIELD)
+    after = spark.createDataFrame([("new", "x", "integer", True, 0), ("new", "y", "string", True, 1), ("both", "x", "integer", False, 0)], FIELD)
+    got = sorted((r.object_id, r.field_name, r.change_type) for r in drift.diff(before, after, removed=True).collect())
+    assert got == [("both", "x", "nullable_to_required"), ("gone", None, "object_removed"), ("new", None, "object_added")]
+    assert {r.change_type for r in drift.diff(before, after).collect()} == {"nullable_to_required", "object_added"}
+
+
+SNAPSHOT = ("run_id string, asset_id string, object_id string, ordinal long, name string, source_type string, normalized_type string, "
+            "nullable boolean, is_primary_key boolean, description string")
+ELEMENT = ("object_id string, name string, source_type string, destination_type string, required boolean, nullable boolean, "
+           "is_primary_key boolean, description string")
+
+
+def _seen(run, asset, obj, *fields):
+    return [(run, asset, obj, i, name, kind, kind, nullable, False, None) for i, (name, kind, nullable) in enumerate(fields)]
+
+
+def test_a_discovery_run_heals_asks_and_counts(spark):
+    known = _seen("r0", "a", "t1", ("x", "integer", True)) + _seen("r0", "a", "t2", ("x", "integer", True)) + _seen("r0", "b", "u", ("x", "string", True))
+    now = (_seen("r1", "a", "t1", ("x", "bigint", True), ("y", "string", True)) + _seen("r1", "a", "t2", ("x", "integer", False))
+           + _seen("r2", "c", "v", ("x", "string", True)))
+    elements = spark.createDataFrame([(o, "x", "integer", "integer", False, True, False, "") for o in ("t1", "t2")], ELEMENT)
+    baseline = spark.createDataFrame(known, SNAPSHOT).drop("run_id")
+    found = discovery.discover_runs(spark.createDataFrame(now, SNAPSHOT), baseline, elements, removed=True)
+    assert {(r.run_id, r.object_id) for r in found.provisioned.collect()} == {("r2", "v")}
+    assert {(r.object_id, r.field_name, r.change_type, r.run_id) for r in found.events.collect()} == {
+        ("t1", "x", "type_widened", "r1"), ("t1", "y", "field_added", "r1"), ("t2", "x", "nullable_to_required", "r1"),
+        ("v", None, "object_added", "r2")}
+    assert [(r.approval_id, r.asset_id) for r in found.approvals.collect()] == [("r1/a/t2/x/nullable_to_required", "a")]
+    assert {(r.object_id, r.name, r.destination_type, r.action) for r in found.elements.collect()} == {
+        ("t1", "x", "bigint", "updated"), ("t1", "y", "string", "added"), ("t2", "x", "integer", "kept"), ("v", "x", "string", "added")}
+    assert {(r.run_id, r.object_id) for r in found.versions.collect()} == {("r1", "t1"), ("r1", "t2"), ("r2", "v")}
+    totals = {r.run_id: r.asDict() for r in found.totals.collect()}
+    assert totals["r1"] == {"run_id": "r1", "asset_id": "a", "objects": 2, "fields": 3, "critical_events": 1, "informative_events": 2, "approvals": 1,
+                            "created": 0, "new_versions": 2, "elements_added": 1, "elements_updated": 1, "elements_refused": 0}
+    assert set(totals) == {"r1", "r2"} and totals["r2"]["created"] == 1
+
+
+def test_an_approval_applies_what_its_own_run_saw(spark):
+    snapshots = spark.createDataFrame(
+        _seen("r1", "a", "t", ("x", "bigint", True)) + _seen("r2", "a", "t", ("x", "decimal", True)) + _seen("r2", "a", "s", ("x", "date", True)),
+        SNAPSHOT).withColumn("at", F.substring("run_id", 2, 1).cast("int"))
+    elements = spark.createDataFrame([(o, "x", "integer", "integer", False, True, False, "") for o in ("t", "s", "u")], ELEMENT)
+
+    def applied(*decisions):
+        decided = spark.createDataFrame([(r, o, d) for r, o, d in decisions], "run_id string, object_id string, decision string")
+        return {r.object_id: (r.destination_type, r.action) for r in approvals.apply_approved(elements, decided, snapshots, "at").collect()}
+
+    rest = {"s": ("integer", "kept"), "u": ("integer", "kept")}
+    assert applied(("r1", "t", "approved"), ("r2", "t", "rejected"), ("r2", "s", "pending")) == {"t": ("bigint", "updated"), **rest}
+    assert applied(("r1", "t", "approved"), ("r2", "t", "approved")) == {"t": ("decimal", "updated"), **rest}
+    assert applied() == {"t": ("integer", "kept"), **rest}
+
+
+def test_approvals_of_two_runs_never_share_an_id(spark):
+    events = spark.createDataFrame(
+        [("1", "a", "o/x", None, "object_removed", ""), ("1", "a/o", "x", None, "object_removed", ""), ("2", "a", "o/x", None, "object_removed", "")],
+        "run_id string, asset_id string, object_id string, field_name string, change_type string, description string")
+    opened = approvals.open_approvals(events)
+    assert opened.select("approval_id").distinct().count() == 3
+    assert {r.run_id: r.pending for r in approvals.pending_approvals(opened, "run_id").collect()} == {"1": 2, "2": 1}
+    assert approvals.approvals_of_run(opened, "2").count() == 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.contract import apply_snapshot
 from tidemark.operators.drift import CRITICAL
 
 
@@ -24,22 +25,37 @@ def recent_runs(runs: DataFrame, n: int = 20) -> DataFrame:
 
 def _part(name: str) -> Column:
     """A part of an id, with the separator escaped so that two ids never meet."""
-    return F.replace(F.replace(F.col(name), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+    return F.replace(F.replace(F.col(name).cast("string"), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+
+
+#: What an approval is bound to, where the events say it: the discovery run that found the event, and its asset.
+BOUND = ("run_id", "asset_id")
 
 
 def open_approvals(events: DataFrame) -> DataFrame:
-    """One pending approval per critical event."""
+    """One pending approval per critical event, named by what it is bound to, the object, the field and the change.
+
+    The same change found by two runs is two approvals.
+    """
+    bound = [c for c in BOUND if c in events.columns]
+    parts = [*[_part(c) for c in bound], _part("object_id"), F.coalesce(_part("field_name"), F.lit("")), F.col("change_type")]
     return events.where(F.col("change_type").isin(*CRITICAL)).select(
-        F.concat_ws("/", _part("object_id"), F.coalesce(_part("field_name"), F.lit("")), "change_type").alias("approval_id"),
+        F.concat_ws("/", *parts).alias("approval_id"), *bound,
         "object_id", "field_name", "change_type", F.col("description").alias("severity_description"),
         F.lit("pending").alias("decision"),
     )
 
 
 def pending_approvals(approvals: DataFrame, by: str = "asset_id") -> DataFrame:
+    """Pending approvals per asset, or per run."""
     return approvals.where("decision = 'pending'").groupBy(by).agg(F.count("*").alias("pending"))
 
 
+def approvals_of_run(approvals: DataFrame, run_id: Column | str) -> DataFrame:
+    """All approvals that a discovery run opened, whatever became of them."""
+    return approvals.where(F.col("run_id") == run_id)
+
+
 def decide(approvals: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Approvals after a set of decisions, and the decisions refused.
 
@@ -69,7 +85,30 @@ def decide(approvals: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataF
     return decided, refused
 
 
-def approved_snapshots(decided: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Snapshot fields of the objects with an approved event; rejected ones apply nothing."""
-    approved = decided.where("decision = 'approved'").select("object_id").distinct()
-    return snapshot.join(approved, "object_id", "left_semi")
+def approved_snapshots(decided: DataFrame, snapshots: DataFrame, order: str | None = None) -> DataFrame:
+    """Snapshot fields of the objects with an approved event; rejected ones apply nothing.
+
+    Approvals that are bound to runs take the fields that their own run saw. Where several runs of an object were
+    approved, that with the greatest ``order`` (a column of the snapshots, such as when the run ended) wins.
+    """
+    if "run_id" not in decided.columns:
+        approved = decided.where("decision = 'approved'").select("object_id").distinct()
+        return snapshots.join(approved, "object_id", "left_semi")
+    approved = decided.where("decision = 'approved'").select("run_id", "object_id").distinct()
+    seen = snapshots.join(approved, ["run_id", "object_id"], "left_semi")
+    last = seen.groupBy("object_id").agg(F.max_by("run_id", F.struct(order or "run_id", "run_id")).alias("run_id"))
+    return seen.join(last, ["run_id", "object_id"], "left_semi")
+
+
+def apply_approved(elements: DataFrame, decided: DataFrame, snapshots: DataFrame, order: str | None = None) -> DataFrame:
+    """Contract elements after the approved snapshots were merged into them, with the action taken for each.
+
+    Objects without an approved event keep their elements; what is destructive is refused here as well.
+    """
+    chosen = approved_snapshots(decided, snapshots, order)
+    touched = chosen.select("object_id").distinct()
+    rest = elements.join(touched, "object_id", "left_anti").withColumn("action", F.lit("kept"))
+    return apply_snapshot(elements.join(touched, "object_id", "left_semi"), chosen).unionByName(rest.select(*_ELEMENT, "action"))
+
+
+_ELEMENT = ["object_id", "name", "source_type", "destination_type", "required", "nullable", "is_primary_key", "description"]

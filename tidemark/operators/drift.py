@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Types a type may widen into.
@@ -58,25 +58,56 @@ def _object_event(objects: DataFrame, change: str, verb: str) -> DataFrame:
     )
 
 
+def _pairs(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """Fields of both sides paired by (object, field), with the presence of their object, from one exchange by object.
+
+    What an object has on either side is a window over its pairs, which lie together already.
+    """
+    def side(df: DataFrame, mark: str) -> DataFrame:
+        own = {"type": "normalized_type", "nullable": "nullable", "ordinal": "ordinal"}
+        columns = [F.col(own[c]).alias(f"{m}_{c}") if m == mark else F.lit(None).alias(f"{m}_{c}") for m in "pc" for c in own]
+        return df.select("object_id", "name", *columns)
+
+    both = side(previous, "p").unionByName(side(current, "c")).repartition("object_id")
+    kinds = {"type": "string", "nullable": "boolean", "ordinal": "bigint"}
+    pairs = both.groupBy("object_id", "name").agg(
+        *[F.max(f"{m}_{c}").cast(kind).alias(f"{m}_{c}") for m in "pc" for c, kind in kinds.items()])
+    whole = Window.partitionBy("object_id")
+    return pairs.withColumns({
+        "had": F.bool_or(F.col("p_ordinal").isNotNull()).over(whole), "has": F.bool_or(F.col("c_ordinal").isNotNull()).over(whole),
+        "nth": F.row_number().over(whole.orderBy("name"))})
+
+
 def field_events(previous: DataFrame, current: DataFrame) -> DataFrame:
     """Field events of objects present on both sides, keyed by field name whatever its position.
 
     ``event_order`` sorts an object's events: current fields by ordinal, type before nullability, then
-    removed fields. One full outer join on the unique (object, field) carries all of it.
+    removed fields.
     """
-    def side(df: DataFrame, mark: str) -> DataFrame:
-        return df.select(
-            "object_id", "name", F.col("normalized_type").alias(f"{mark}_type"),
-            F.col("nullable").alias(f"{mark}_nullable"), F.col("ordinal").cast("bigint").alias(f"{mark}_ordinal"),
-        )
+    return pair_events(_pairs(previous, current).where("had AND has"), ["object_id"])
 
-    both = presence(previous, current).where("had AND has").select("object_id")
-    pairs = side(previous, "p").join(side(current, "c"), ["object_id", "name"], "full_outer")
-    return pair_events(pairs.join(both, "object_id", "left_semi"), ["object_id"])
+
+def _event(when: Column, change: Column | str, text: Column, before: Column, after: Column, rank: Column, field: Column) -> Column:
+    """An event as a struct, null where it did not happen."""
+    kind = F.lit(change) if isinstance(change, str) else change
+    return F.when(
+        when,
+        F.struct(field.alias("field_name"), kind.alias("change_type"), text.alias("description"), before.alias("previous_value"),
+                 after.alias("current_value"), rank.alias("event_order")),
+    )
 
 
 def pair_events(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Events of paired fields: name and, for the side before (p) and now (c), type, nullable and ordinal."""
+    return _exploded(pairs, keys, _field_candidates())
+
+
+def _exploded(pairs: DataFrame, keys: list[str], candidates: list[Column]) -> DataFrame:
+    events = pairs.select(*keys, F.explode(F.array_compact(F.array(*candidates))).alias("e"))
+    return events.select(*keys, *[F.col(f"e.{c}") for c in EVENT_COLUMNS if c != "object_id"])
+
+
+def _field_candidates() -> list[Column]:
     old, new = F.col("p_type"), F.col("c_type")
     was, now = F.col("p_nullable"), F.col("c_nullable")
     shared = F.col("p_ordinal").isNotNull() & F.col("c_ordinal").isNotNull()
@@ -84,17 +115,12 @@ def pair_events(pairs: DataFrame, keys: list[str]) -> DataFrame:
     field = F.col("name")
 
     def event(when: Column, change: Column | str, text: Column, before: Column, after: Column, rank: Column) -> Column:
-        kind = F.lit(change) if isinstance(change, str) else change
-        return F.when(
-            when,
-            F.struct(kind.alias("change_type"), text.alias("description"), before.alias("previous_value"),
-                     after.alias("current_value"), rank.alias("event_order")),
-        )
+        return _event(when, change, text, before, after, rank, field)
 
     compatible = is_compatible(old, new)
     position = F.col("c_ordinal") * 2
     last = F.lit(1 << 62).cast("bigint")
-    candidates = F.array(
+    return [
         event(F.col("p_ordinal").isNull(), "field_added", F.concat(F.lit("Field "), field, F.lit(" added.")), none, new,
               position),
         event(shared & (old != new), F.when(compatible, "type_widened").otherwise("type_incompatible"),
@@ -106,17 +132,23 @@ def pair_events(pairs: DataFrame, keys: list[str]) -> DataFrame:
               F.concat(F.lit("Field "), field, F.lit(" changed from required to nullable.")), none, none, position + 1),
         event(F.col("c_ordinal").isNull(), "field_removed", F.concat(F.lit("Field "), field, F.lit(" removed.")), old,
               none, last + F.col("p_ordinal")),
-    )
-    return (
-        pairs.select(*keys, field.alias("field_name"), F.explode(F.array_compact(candidates)).alias("e"))
-        .select(*keys, "field_name", "e.*")
-        .select(*keys, *[c for c in EVENT_COLUMNS if c != "object_id"])
-    )
+    ]
 
 
 def diff(previous: DataFrame, current: DataFrame, removed: bool = False) -> DataFrame:
-    """All drift events from previous to current snapshots."""
-    return object_events(previous, current, removed).unionByName(field_events(previous, current))
+    """All drift events from previous to current snapshots, from one exchange of fields."""
+    none, first = F.lit(None).cast("string"), F.col("nth") == 1
+
+    def whole(when: Column, change: str, verb: str) -> Column:
+        text = F.concat(F.lit("Object "), "object_id", F.lit(f" {verb} source."))
+        return _event(when & first, change, text, none, none, F.lit(-1).cast("bigint"), none)
+
+    both = F.col("had") & F.col("has")
+    candidates = [F.when(both, event) for event in _field_candidates()]
+    candidates.append(whole(~F.col("had"), "object_added", "added to"))
+    if removed:
+        candidates.append(whole(~F.col("has"), "object_removed", "removed from"))
+    return _exploded(_pairs(previous, current), ["object_id"], candidates)
 
 
 def with_severity(events: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """All registered queries."""
 
 from tidemark.plans import (  # noqa: F401  registers their queries
-    discovery, drifting, ingestion, operations, quality, tracing,
+    discovery, discovery_runs, drifting, ingestion, operations, quality, tracing,
 )
 from tidemark.plans.registry import ORACLES, QUERIES
 
