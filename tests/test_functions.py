@@ -41,7 +41,10 @@ def test_checksum_ignores_order_and_tells_nulls_apart(spark):
     base = [("x", None, 1.5), ("y", "z", 2.0)]
     assert total(base) == total(list(reversed(base)))
     assert total(base) != total([(None, "x", 1.5), ("y", "z", 2.0)])
-    assert total([]) == "0"
+    assert total([]) == "0:0"
+    # The same row twice, a thousandth, a sign, no number.
+    assert len({total(rows) for rows in (base, [*base, base[0]], [("x", None, 1.501), base[1]], [("x", None, 1.504), base[1]],
+                                         [("x", None, -1.5), base[1]], [("x", None, float("nan")), base[1]], [("x", None, None), base[1]])}) == 7
 
 
 def _skewed(spark):

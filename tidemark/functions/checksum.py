@@ -6,24 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NULL_MARK = "\\N"
-
-
-def canonical_text(df: DataFrame, name: str) -> Column:
-    """Text of a value that does not depend on the engine: floating point as two decimals, null marked."""
-    kind = df.schema[name].dataType
-    value = F.col(name)
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        # 38 digits hold any amount; what is no number at all keeps its name.
-        fits = F.abs(value) < F.lit(1e35)
-        value = F.when(fits, F.when(fits, value).cast("decimal(38,2)").cast("string")).otherwise(value.cast("string"))
-    return F.coalesce(value.cast("string"), F.lit(NULL_MARK))
-
-
-def row_hash(df: DataFrame, columns: list[str]) -> Column:
-    return F.md5(F.concat_ws("|", *[canonical_text(df, c) for c in columns]))
-
-
 def exact_hash(df: DataFrame, columns: list[str]) -> Column:
     """128 bits that tell any two different rows of these columns apart.
 
@@ -44,10 +26,11 @@ def exact_hash(df: DataFrame, columns: list[str]) -> Column:
 
 
 def checksum(df: DataFrame, columns: list[str] | None = None) -> Column:
-    """Aggregate column: sum of the first 32 bits of each row's md5.
+    """Aggregate column: the two 64-bit halves of each row's exact hash, summed apart, as one text.
 
-    Summed as DECIMAL, since 32-bit parts overflow BIGINT after some two billion rows.
+    Rows count as often as they occur and in any order; any other value of any row changes it. The sums are DECIMAL(38),
+    which 10^18 rows do not overflow. No rows sum to ``0:0``.
     """
-    prefix = F.conv(F.substring(row_hash(df, columns or df.columns), 1, 8), 16, 10)
-    total = F.sum(prefix.cast("decimal(20,0)"))
-    return F.coalesce(total, F.lit(0).cast("decimal(30,0)")).cast("string")
+    row = exact_hash(df, columns or df.columns)
+    halves = [F.sum(F.conv(F.substring(row, at, 16), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)") for at in (1, 17)]
+    return F.concat_ws(":", *[F.coalesce(half, F.lit(0).cast("decimal(38,0)")).cast("string") for half in halves])

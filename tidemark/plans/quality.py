@@ -77,15 +77,16 @@ def _(t: Inputs) -> DataFrame:
 
 def _checksum_sql(columns: dict[str, str]) -> str:
     """Oracle text of the checksum; ``columns`` maps a column to its text expression."""
-    texts = ", ".join(f"coalesce({text}, '\\N')" for text in columns.values())
-    return f"CAST(coalesce(sum(('0x' || substr(md5(concat_ws('|', {texts})), 1, 8))::BIGINT), 0) AS VARCHAR)"
+    parts = ", ".join(f"CASE WHEN {text} IS NULL THEN 'n' ELSE concat(length({text}), ':', {text}) END" for text in columns.values())
+    halves = [f"coalesce(sum(('0x' || substr(md5(concat({parts})), {at}, 16))::UBIGINT::HUGEINT), 0)::VARCHAR" for at in (1, 17)]
+    return f"concat({halves[0]}, ':', {halves[1]})"
 
 
 _ORDER_TEXTS = {
     "o_orderkey": "CAST(o_orderkey AS VARCHAR)",
     "o_custkey": "CAST(o_custkey AS VARCHAR)",
     "o_orderstatus": "o_orderstatus",
-    "o_totalprice": "CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR)",
+    "o_totalprice": "CAST(o_totalprice AS VARCHAR)",
     "o_orderdate": "CAST(o_orderdate AS VARCHAR)",
     "o_orderpriority": "o_orderpriority",
 }
@@ -97,6 +98,25 @@ def _(t: Inputs) -> DataFrame:
         F.col("text").alias("checksum"))
 
 
+# Discounts of some lines moved by three thousandths, which cents do not show; other lines came twice.
+_MOVED = """
+    SELECT l_returnflag, l_orderkey, l_linenumber,
+           CASE WHEN l_returnflag = 'N' AND l_linenumber = 1 THEN l_discount + 0.003 ELSE l_discount + 0.001 END AS l_discount FROM {lineitem}
+    UNION ALL SELECT l_returnflag, l_orderkey, l_linenumber, l_discount + 0.001 FROM {lineitem} WHERE l_returnflag = 'R' AND l_linenumber = 2"""
+
+
+@query("checksum_small_changes", """
+    SELECT l_returnflag, l_returnflag NOT IN ('N', 'R') AS checksum_ok FROM {lineitem} GROUP BY l_returnflag""")
+def _(t: Inputs) -> DataFrame:
+    columns = ["l_orderkey", "l_linenumber", "l_discount"]
+    source = t.lineitem.select("l_returnflag", "l_orderkey", "l_linenumber", (F.col("l_discount") + 0.001).alias("l_discount"))
+    sides = [df.groupBy("l_returnflag").agg(checksum(df, columns).alias(f"{side}_checksum"), F.count("*").alias(f"{side}_rows"))
+             for side, df in (("expected", source), ("actual", t.sql(_MOVED)))]
+    checked = reconcile.reconcile(sides[0].join(sides[1], "l_returnflag"), source_checksum="expected_checksum",
+                                  destination_checksum="actual_checksum")
+    return checked.select("l_returnflag", "checksum_ok")
+
+
 _PROFILE_RULES = [
     Rule("row_count_min", value=1),
     Rule("not_null", "o_custkey"),
