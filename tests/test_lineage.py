@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 from tidemark.operators import lineage
+from tidemark.session import scratch_path
 
 EDGES = "src_object string, src_column string, dst_object string, dst_column string, expression string"
 CHAIN = [("src_table", "id", "dw_table", "id_hash", "SHA256(id)"), ("dw_table", "id_hash", "final_table", "id_hash", None)]
@@ -50,15 +51,61 @@ def test_random_graphs_against_a_plain_closure(spark):
     picked = rng.sample(nodes, 5)
     starts = spark.createDataFrame([(*n, f"tag{i}") for i, n in enumerate(picked)], "object_id string, column_name string, tag string")
     got = {(r.tag, r.object_id, r.column_name): r.depth for r in lineage.tag_reach(edges, starts).collect()}
-    want = {}
-    for i, start in enumerate(picked):
+    want = {(f"tag{i}", *n): depth for i, start in enumerate(picked) for n, depth in _closure(pairs, [start]).items()}
+    assert got == want
+
+
+def _closure(pairs, starts):
+    """Fewest steps from any start to every column, a start's own ones apart."""
+    out = {}
+    for start in starts:
         depth, seen, frontier = 0, {start}, {start}
         while frontier:
             depth += 1
             frontier = {b for a, b in pairs if a in frontier} - seen
             seen |= frontier
-            want.update({(f"tag{i}", *n): depth for n in frontier})
-    assert got == want
+            for n in frontier:
+                out[n] = min(out.get(n, depth), depth)
+    return out
+
+
+def test_starts_that_other_starts_lead_to(spark):
+    ring = [("a", "x", "b", "x", None), ("b", "x", "c", "x", None), ("c", "x", "a", "x", None), ("c", "x", "d", "x", None)]
+    got = _found(lineage.trace(_edges(spark, ring), _starts(spark, ("a", "x"), ("c", "x")), "downstream"))
+    assert got == {("a", "x"): 1, ("b", "x"): 1, ("c", "x"): 2, ("d", "x"): 1}
+
+
+def test_random_start_sets_and_stores_against_a_plain_closure(spark, monkeypatch):
+    """Starts among each other's reach, in cycles, from a store in two folders; folders folded every other round."""
+    monkeypatch.setattr(lineage, "HOPS", 2)
+    monkeypatch.setattr(lineage, "FOLD", 2)
+    for seed in (2,):
+        rng = random.Random(seed)
+        nodes = [(f"t{i % 7}", f"c{i}") for i in range(40)]
+        pairs = {(rng.choice(nodes), rng.choice(nodes)) for _ in range(55)} | {(nodes[i], nodes[i + 1]) for i in range(0, 30)}
+        cut = sorted(pairs)[::3]
+        rest = sorted(pairs - set(cut))
+        starts = rng.sample(nodes, 6)
+        store = lineage.LineageStore.write(_edges(spark, [(*a, *b, None) for a, b in rest]), scratch_path(spark, "store"))
+        before = lineage.trace(store, _starts(spark, *starts), "downstream")
+        assert _found(before) == _closure(rest, starts)
+        added = _edges(spark, [(*a, *b, None) for a, b in cut])
+        store.add(added)
+        assert store.edges().count() == len(pairs)
+        assert _found(lineage.trace(store, _starts(spark, *starts), "downstream")) == _closure(pairs, starts)
+        assert _found(lineage.trace(store, _starts(spark, *starts), "upstream")) == _closure({(b, a) for a, b in pairs}, starts)
+        one = [nodes[0]]
+        old = lineage.LineageStore.write(_edges(spark, [(*a, *b, None) for a, b in rest]), scratch_path(spark, "store"))
+        known = lineage.trace(old, _starts(spark, *one), "downstream")
+        old.add(added)
+        assert _found(lineage.extend(known, _starts(spark, *one), old, added, "downstream")) == _closure(pairs, one)
+
+
+def test_traces_copy_no_edges(spark):
+    store = lineage.LineageStore.write(_edges(spark, CHAIN), scratch_path(spark, "store"))
+    steps = lineage._steps(store, ("upstream",))
+    assert all("/upstream/" in f for f in steps.inputFiles())
+    assert "Exchange" not in steps._jdf.queryExecution().executedPlan().toString()
 
 
 def test_upsert_replaces_the_same_triple_only(spark):

@@ -71,6 +71,15 @@ TYPE_MAP = {
     ("sample", "list", ""): "json",
 }
 
+# The relational type that a catalogue's type name stands for.
+CATALOG_TYPES = {
+    "smallint": "Integer", "integer": "Integer", "int": "Integer", "bigint": "BigInteger", "real": "Float", "double": "Float",
+    "double precision": "Float", "numeric": "Numeric", "decimal": "Numeric", "boolean": "Boolean", "date": "Date",
+    "timestamp": "DateTime", "timestamp without time zone": "DateTime", "timestamp with time zone": "DateTime", "time": "Time",
+    "time without time zone": "Time", "character varying": "String", "varchar": "String", "character": "String", "char": "String",
+    "text": "Text", "uuid": "Uuid", "json": "JSON", "jsonb": "JSON", "bytea": "LargeBinary", "blob": "LargeBinary",
+}
+
 # What a system's unmapped types become.
 UNMAPPED = {"relational": "unknown", "bson": "string", "openapi": "string", "sample": "string"}
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.globs import matches_any
 from tidemark.functions.types import normalize_types
+from tidemark.session import cut
 from tidemark.sources.pages import envelope_items
 
 
@@ -67,6 +68,44 @@ def infer_json_fields(
     )
 
 
+def infer_nested_fields(docs: DataFrame, body_col: str, object_col: str) -> DataFrame:
+    """Fields of document collections at every depth, each with the collection's unreadable documents.
+
+    ``path`` joins the keys of objects by dots and names the elements of an array by ``[]``. The rules are those of
+    ``infer_json_fields`` at every path: one observed kind is the type, several make it a string, a null is a kind of its
+    own. ``observed`` counts values, so an array counts each element. A level is one pass over the nested values of the level
+    above, written in between; keys with dots are quoted by backticks.
+    """
+    parsed = docs.select(F.col(object_col).alias("object_id"), F.lit("").alias("path"), F.lit("dict").alias("_type"),
+                         F.try_parse_json(F.col(body_col)).alias("_value"))
+    level, found, depth = parsed, None, 0
+    while True:
+        values = level.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("_value").outer()))
+        key = F.when(F.col("key").contains(".") | F.col("key").contains("`"),
+                     F.concat(F.lit("`"), F.replace("key", F.lit("`"), F.lit("``")), F.lit("`"))).otherwise(F.col("key"))
+        inner = values.select(
+            "object_id", F.when(F.col("key").isNull(), F.concat("path", F.lit("[]"))).when(F.col("path") == "", key).otherwise(
+                F.concat("path", F.lit("."), key)).alias("path"),
+            "key", "pos", F.col("value").alias("_value")).where("pos IS NOT NULL")
+        if not depth:
+            # Collections hold objects; what else a document may be has no fields.
+            inner = inner.where("key IS NOT NULL AND key <> '_id'")
+        typed = cut(inner.select("object_id", "path", _value_type(F.col("_value")).alias("_type"), "_value"), "nested")
+        kinds = typed.groupBy("object_id", "path").agg(
+            F.min("_type").alias("_low"), F.max("_type").alias("_high"), F.count(F.lit(1)).alias("observed"))
+        found = kinds if found is None else found.unionByName(kinds)
+        level, depth = typed.where("_type IN ('dict', 'list')"), depth + 1
+        if level.isEmpty():
+            break
+    settled = found.select(
+        "object_id", "path", F.lit("sample").alias("system"), F.lit("").alias("format"),
+        F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise("str").alias("type"), "observed")
+    broken = unreadable_documents(docs, body_col, object_col)
+    return normalize_types(settled).join(broken, "object_id").select(
+        "object_id", "path", F.concat(F.lit("python:"), "type").alias("source_type"), "normalized_type", "observed",
+        "documents", "unreadable")
+
+
 def infer_first_item(pages: DataFrame, body_col: str, object_col: str, order_col: str) -> DataFrame:
     """Fields of an API resource from the first item of its first page; ``id`` in any case is the key."""
     first = pages.groupBy(F.col(object_col).alias("object_id")).agg(F.min_by(body_col, order_col).alias("_body"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.globs import matches_any
-from tidemark.functions.types import canonical_of
+from tidemark.functions.types import CATALOG_TYPES, canonical_of, normalize_types
 
 FIELD_COLUMNS = [
     "object_id", "ordinal", "name", "source_type", "normalized_type", "nullable", "is_primary_key", "description",
@@ -32,6 +32,57 @@ def snapshot(tables: dict[str, DataFrame], primary_keys: dict[str, list[str]] |
     )
 
 
+def snapshot_from_catalog(columns: DataFrame, keys: DataFrame, indexes: DataFrame, tables: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fields and structures of a relational source from the rows of its catalogue.
+
+    columns(table_schema, table_name, ordinal_position, column_name, data_type, is_nullable, column_comment),
+    keys(table_schema, table_name, constraint_name, constraint_type PRIMARY KEY or FOREIGN KEY, ordinal_position, column_name,
+    referred_table, referred_column), indexes(table_schema, table_name, index_name, is_unique, ordinal_position, column_name),
+    tables(table_schema, table_name, table_comment, row_estimate). Composite keys and indexes are put together again in the
+    order of their columns; indexes without a name are left out. A column in several foreign keys names the table of the
+    last by constraint name. A table without columns has a structure and no fields; a null schema leaves the bare name.
+    """
+    def owned(df: DataFrame) -> DataFrame:
+        return df.withColumn("object_id", F.concat_ws(".", "table_schema", "table_name"))
+
+    def in_order(*names: str) -> Column:
+        """Columns of one constraint by position: as many as the constraint has."""
+        listed = F.sort_array(F.collect_list(F.struct("ordinal_position", *names)))
+        return F.struct(*[listed[name].alias(name) for name in names])
+
+    keys, indexes = owned(keys), owned(indexes).where("index_name IS NOT NULL")
+    primary = keys.where("constraint_type = 'PRIMARY KEY'")
+    foreign = keys.where("constraint_type = 'FOREIGN KEY'")
+    pk = primary.groupBy("object_id").agg(in_order("column_name").alias("c")).select("object_id", F.col("c.column_name").alias("primary_key"))
+    fk = foreign.groupBy("object_id", "constraint_name").agg(
+        in_order("column_name", "referred_column").alias("c"), F.max("referred_table").alias("referred_table"))
+    fk = fk.groupBy("object_id").agg(F.sort_array(F.collect_list(F.struct(
+        F.col("constraint_name").alias("name"), F.col("c.column_name").alias("constrained_columns"), "referred_table",
+        F.col("c.referred_column").alias("referred_columns")))).alias("foreign_keys"))
+    ix = indexes.groupBy("object_id", "index_name").agg(in_order("column_name").alias("c"), F.bool_or("is_unique").alias("unique"))
+    ix = ix.groupBy("object_id").agg(F.sort_array(F.collect_list(F.struct(
+        F.col("index_name").alias("name"), F.col("c.column_name").alias("columns"), "unique"))).alias("indexes"))
+    objects = owned(tables).select("object_id", "table_comment", "row_estimate").join(pk, "object_id", "left").join(
+        fk, "object_id", "left").join(ix, "object_id", "left")
+    none = {name: F.array().cast(objects.schema[name].dataType) for name in ("primary_key", "foreign_keys", "indexes")}
+    structures = objects.withColumns({name: F.coalesce(name, empty) for name, empty in none.items()})
+
+    column = ["object_id", "column_name"]
+    known = primary.select(*column).distinct().withColumn("is_primary_key", F.lit(True))
+    refers = foreign.groupBy(*column).agg(F.max_by("referred_table", "constraint_name").alias("fk_to"))
+    members = indexes.groupBy(*column).agg(F.array_sort(F.collect_set("index_name")).alias("indexes"))
+    kind = F.lower("data_type")
+    class_of = F.create_map(*[F.lit(x) for pair in CATALOG_TYPES.items() for x in pair])
+    named = owned(columns).withColumns({"system": F.lit("relational"), "format": F.lit(""), "type": class_of[kind]})
+    fields = normalize_types(named).join(known, column, "left").join(refers, column, "left").join(members, column, "left")
+    return fields.select(
+        "object_id", F.col("ordinal_position").cast("int").alias("ordinal"), F.col("column_name").alias("name"),
+        F.col("data_type").alias("source_type"), "normalized_type", F.coalesce(F.upper("is_nullable") != "NO", F.lit(True)).alias("nullable"),
+        F.coalesce("is_primary_key", F.lit(False)).alias("is_primary_key"), F.coalesce("column_comment", F.lit("")).alias("description"),
+        "fk_to", F.coalesce("indexes", F.array().cast("array<string>")).alias("indexes"),
+    ), structures
+
+
 def scope_filter(
     objects: DataFrame, include: list[str], exclude: list[str] | None = None, mode: str = "document",
     namespace: str = "namespace", name: str = "name", honour_exclude: bool = False,

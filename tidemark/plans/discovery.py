@@ -118,6 +118,41 @@ def _(t: Inputs) -> DataFrame:
     return infer.infer_json_fields(_order_documents(t), "body", "collection")
 
 
+def _nested_documents(t: Inputs) -> DataFrame:
+    """Orders as documents with objects in lists and lists in objects; every fiftieth cannot be read."""
+    vip = F.when(F.col("o_orderstatus") == "P", "null").otherwise("true")
+    second = F.when(F.col("o_orderkey") % 1000 == 1, '"x"').otherwise("2")
+    body = F.concat(
+        F.lit('{"key": '), F.col("o_orderkey").cast("string"), F.lit(', "buyer": {"id": '), F.col("o_custkey").cast("string"),
+        F.lit(', "vip": '), vip, F.lit('}, "lines": [{"no": 1, "price": 1.5}, {"no": '), second,
+        F.lit('}], "codes": [1, 2.5], "empty": [], "a.b": {"_id": "x"}}'))
+    broken = F.col("o_orderkey") % 50 == 0
+    return t.orders.select(F.col("o_orderpriority").alias("collection"), F.when(broken, '{"key": ').otherwise(body).alias("body"))
+
+
+@query("infer_nested_fields", """
+    WITH d AS (SELECT o_orderpriority AS object_id, count(*) AS documents, count(*) FILTER (WHERE o_orderkey % 50 = 0) AS unreadable
+               FROM {orders} GROUP BY 1),
+         v AS (SELECT o_orderpriority AS object_id, unnest([
+                 {'path': 'key', 'type': 'int', 'n': 1}, {'path': 'buyer', 'type': 'dict', 'n': 1}, {'path': 'buyer.id', 'type': 'int', 'n': 1},
+                 {'path': 'buyer.vip', 'type': CASE WHEN o_orderstatus = 'P' THEN 'NoneType' ELSE 'bool' END, 'n': 1},
+                 {'path': 'lines', 'type': 'list', 'n': 1}, {'path': 'lines[]', 'type': 'dict', 'n': 2},
+                 {'path': 'lines[].no', 'type': 'int', 'n': 1},
+                 {'path': 'lines[].no', 'type': CASE WHEN o_orderkey % 1000 = 1 THEN 'str' ELSE 'int' END, 'n': 1},
+                 {'path': 'lines[].price', 'type': 'float', 'n': 1}, {'path': 'codes', 'type': 'list', 'n': 1},
+                 {'path': 'codes[]', 'type': 'int', 'n': 1}, {'path': 'codes[]', 'type': 'float', 'n': 1}, {'path': 'empty', 'type': 'list', 'n': 1},
+                 {'path': '`a.b`', 'type': 'dict', 'n': 1}, {'path': '`a.b`._id', 'type': 'str', 'n': 1}], recursive := true)
+               FROM {orders} WHERE o_orderkey % 50 <> 0),
+         g AS (SELECT object_id, path, CASE WHEN min(type) = max(type) THEN min(type) ELSE 'str' END AS type, CAST(sum(n) AS BIGINT) AS observed
+               FROM v GROUP BY 1, 2)
+    SELECT object_id, path, concat('python:', type) AS source_type,
+           CASE type WHEN 'int' THEN 'integer' WHEN 'float' THEN 'float' WHEN 'bool' THEN 'boolean' WHEN 'list' THEN 'json'
+                     WHEN 'dict' THEN 'json' ELSE 'string' END AS normalized_type, observed, documents, unreadable
+    FROM g JOIN d USING (object_id)""")
+def _(t: Inputs) -> DataFrame:
+    return infer.infer_nested_fields(_nested_documents(t), "body", "collection")
+
+
 @query("infer_json_fields_events", """
     SELECT event_type AS object_id, unnest(json_keys(any_value(props))) AS name, 'python:int' AS source_type,
            'integer' AS normalized_type, true AS nullable, false AS is_primary_key, count(*) AS documents
@@ -291,6 +326,78 @@ def _(t: Inputs) -> DataFrame:
     return schema.flatten_constraints(_structures(t))
 
 
+# The catalogue of a database with a table for every object of the later capture; every fifth table has a null schema.
+_SCHEMA = "CASE WHEN length(object_id) % 5 = 0 THEN NULL ELSE 'lake' END"
+_CATALOG = {
+    "columns": f"""
+        SELECT {_SCHEMA} AS table_schema, object_id AS table_name, ordinal AS ordinal_position, name AS column_name,
+               CASE normalized_type WHEN 'float' THEN 'double precision' WHEN 'decimal' THEN 'numeric' WHEN 'string' THEN 'text'
+                                    ELSE normalized_type END AS data_type,
+               CASE WHEN nullable THEN 'YES' ELSE 'NO' END AS is_nullable, description AS column_comment FROM {{fields_after}}""",
+    # Two keys of two columns where the columns are there, listed against their order.
+    "keys": f"""
+        SELECT {_SCHEMA} AS table_schema, object_id AS table_name, 'pk' AS constraint_name, 'PRIMARY KEY' AS constraint_type,
+               CASE name WHEN 'f0' THEN 2 ELSE 1 END AS ordinal_position, name AS column_name, CAST(NULL AS STRING) AS referred_table,
+               CAST(NULL AS STRING) AS referred_column FROM {{fields_after}} WHERE name IN ('f0', 'f2')
+        UNION ALL
+        SELECT {_SCHEMA}, object_id, concat('fk_', CASE WHEN name = 'f4' THEN 'b' ELSE 'a' END), 'FOREIGN KEY',
+               CASE name WHEN 'f1' THEN 2 ELSE 1 END, name, concat('parent_', CASE WHEN name = 'f4' THEN 'b' ELSE 'a' END), concat('p', name)
+        FROM {{fields_after}} WHERE name IN ('f1', 'f3', 'f4')
+        UNION ALL
+        SELECT {_SCHEMA}, object_id, 'fk_c', 'FOREIGN KEY', 1, name, 'parent_c', 'id' FROM {{fields_after}} WHERE name = 'f3'""",
+    "indexes": f"""
+        SELECT {_SCHEMA} AS table_schema, object_id AS table_name, CASE WHEN length(object_id) % 3 <> 0 THEN 'ix_wide' END AS index_name,
+               length(object_id) % 2 = 0 AS is_unique, ordinal AS ordinal_position, name AS column_name
+        FROM {{fields_after}} WHERE name IN ('f1', 'f2')
+        UNION ALL SELECT {_SCHEMA}, object_id, 'ix_one', false, 1, name FROM {{fields_after}} WHERE name = 'f2'""",
+    "tables": f"""
+        SELECT DISTINCT {_SCHEMA} AS table_schema, object_id AS table_name, concat('about ', object_id) AS table_comment,
+               CAST(length(object_id) AS BIGINT) AS row_estimate FROM {{fields_after}}
+        UNION ALL SELECT 'lake', 'no_columns', NULL, 0""",
+}
+_CATALOG_ID = "concat_ws('.', table_schema, table_name)"
+
+
+def _from_catalog(t: Inputs) -> tuple[DataFrame, DataFrame]:
+    return schema.snapshot_from_catalog(*[t.sql(_CATALOG[name]) for name in ("columns", "keys", "indexes", "tables")])
+
+
+@query("snapshot_from_catalog", f"""
+    WITH c AS (SELECT *, {_CATALOG_ID} AS object_id FROM ({_CATALOG['columns']})),
+         k AS (SELECT *, {_CATALOG_ID} AS object_id FROM ({_CATALOG['keys']})),
+         i AS (SELECT *, {_CATALOG_ID} AS object_id FROM ({_CATALOG['indexes']}))
+    SELECT object_id, CAST(ordinal_position AS INTEGER) AS ordinal, column_name AS name, data_type AS source_type,
+           CASE lower(data_type) WHEN 'integer' THEN 'integer' WHEN 'bigint' THEN 'bigint' WHEN 'double precision' THEN 'float'
+                                 WHEN 'numeric' THEN 'float' WHEN 'text' THEN 'string' WHEN 'uuid' THEN 'uuid' ELSE 'unknown' END AS normalized_type,
+           is_nullable <> 'NO' AS nullable,
+           EXISTS (SELECT 1 FROM k WHERE k.object_id = c.object_id AND k.column_name = c.column_name AND constraint_type = 'PRIMARY KEY')
+               AS is_primary_key, coalesce(column_comment, '') AS description,
+           (SELECT arg_max(referred_table, constraint_name) FROM k WHERE k.object_id = c.object_id AND k.column_name = c.column_name
+            AND constraint_type = 'FOREIGN KEY') AS fk_to,
+           coalesce((SELECT string_agg(index_name, ',' ORDER BY index_name) FROM i WHERE i.object_id = c.object_id
+                     AND i.column_name = c.column_name), '') AS indexes
+    FROM c""")
+def _(t: Inputs) -> DataFrame:
+    return _from_catalog(t)[0].withColumn("indexes", F.array_join("indexes", ","))
+
+
+@query("structures_from_catalog", f"""
+    WITH k AS (SELECT *, {_CATALOG_ID} AS object_id FROM ({_CATALOG['keys']})),
+         i AS (SELECT *, {_CATALOG_ID} AS object_id FROM ({_CATALOG['indexes']}) WHERE index_name IS NOT NULL)
+    SELECT object_id, 'primary_key' AS kind, 'primary_key' AS constraint_name,
+           CAST(row_number() OVER (PARTITION BY object_id ORDER BY ordinal_position) - 1 AS INTEGER) AS position, column_name AS "column",
+           true AS is_unique, NULL AS referred_table, NULL AS referred_column FROM k WHERE constraint_type = 'PRIMARY KEY'
+    UNION ALL
+    SELECT object_id, 'index', index_name, CAST(row_number() OVER (PARTITION BY object_id, index_name ORDER BY ordinal_position) - 1 AS INTEGER),
+           column_name, is_unique, NULL, NULL FROM i
+    UNION ALL
+    SELECT object_id, 'foreign_key', constraint_name,
+           CAST(row_number() OVER (PARTITION BY object_id, constraint_name ORDER BY ordinal_position) - 1 AS INTEGER), column_name, false,
+           referred_table, referred_column FROM k WHERE constraint_type = 'FOREIGN KEY'""")
+def _(t: Inputs) -> DataFrame:
+    return schema.flatten_constraints(_from_catalog(t)[1])
+
+
 @query("discovery_summary", """
     SELECT o_orderkey AS run_id, count(*) AS objects, CAST(sum(l_linenumber) AS BIGINT) AS fields,
            CASE WHEN any_value(o_orderstatus) = 'O' THEN 'running' WHEN max(l_tax) > 0.07 THEN 'partial'

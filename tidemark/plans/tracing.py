@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import lineage
 from tidemark.plans.registry import Inputs, query
+from tidemark.session import scratch_path
 
 
 def _mappings(t: Inputs) -> DataFrame:
@@ -49,6 +50,17 @@ def _(t: Inputs) -> DataFrame:
     return lineage.split_direct(lineage.edges(_mappings(t)))[1]
 
 
+_STORES: dict[tuple[str, str], lineage.LineageStore] = {}
+
+
+def _store(t: Inputs) -> lineage.LineageStore:
+    """The edges of a folder's tables, stored once for all queries of an application."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _STORES:
+        _STORES[key] = lineage.LineageStore.write(t.lineage_edges, scratch_path(t.spark, "lineage"))
+    return _STORES[key]
+
+
 # Columns of parts that were returned somewhere, and the regions at the other end.
 _PART_STARTS = "SELECT DISTINCT 'part' AS object_id, concat('p', CAST(p_partkey AS STRING)) AS column_name FROM {part} WHERE p_size >= 49"
 _REGION_STARTS = "SELECT 'region' AS object_id, concat('r', CAST(r_regionkey AS STRING)) AS column_name FROM {region} WHERE r_name IN ('ASIA', 'EUROPE')"
@@ -77,21 +89,20 @@ def _closure(starts: str, direction: str) -> str:
          ON i.dst_object = w.object_id AND i.dst_column = w.column_name
     GROUP BY w.object_id, w.column_name HAVING min(depth) > 0""")
 def _(t: Inputs) -> DataFrame:
-    edges = t.lineage_edges
-    traced = lineage.trace(edges, t.sql(_PART_STARTS), "upstream")
-    return lineage.with_transformation(traced, edges)
+    traced = lineage.trace(_store(t), t.sql(_PART_STARTS), "upstream")
+    return lineage.with_transformation(traced, _store(t))
 
 
 @query("lineage_downstream", _closure(_REGION_STARTS, "downstream"))
 def _(t: Inputs) -> DataFrame:
-    return lineage.trace(t.lineage_edges, t.sql(_REGION_STARTS), "downstream")
+    return lineage.trace(_store(t), t.sql(_REGION_STARTS), "downstream")
 
 
 @query("lineage_both", f"""
     SELECT *, 'upstream' AS direction FROM ({_closure(_NATION_STARTS, 'upstream')})
     UNION ALL SELECT *, 'downstream' FROM ({_closure(_NATION_STARTS, 'downstream')})""")
 def _(t: Inputs) -> DataFrame:
-    return lineage.trace(t.lineage_edges, t.sql(_NATION_STARTS), "both")
+    return lineage.trace(_store(t), t.sql(_NATION_STARTS), "both")
 
 
 def _order_part_mappings(t: Inputs) -> DataFrame:
@@ -163,7 +174,40 @@ _TAGGED = """
         FROM walk w JOIN {{lineage_edges}} e ON e.src_object = w.object_id AND e.src_column = w.column_name)
     SELECT tag, object_id, column_name, min(depth) AS depth FROM walk GROUP BY ALL HAVING min(depth) > 0""")
 def _(t: Inputs) -> DataFrame:
-    return lineage.tag_reach(t.lineage_edges, t.sql(_TAGGED))
+    return lineage.tag_reach(_store(t), t.sql(_TAGGED))
+
+
+# Tags on three levels, so that tagged columns feed tagged ones.
+_TAGGED_TWICE = """
+    SELECT 'nation' AS object_id, concat('n', CAST(n_nationkey AS STRING)) AS column_name, 'PII' AS tag FROM {nation} WHERE n_regionkey < 2
+    UNION ALL SELECT 'customer', concat('c', CAST(c_custkey AS STRING)), CASE WHEN c_nationkey < 12 THEN 'PII' ELSE 'RESTRICTED' END
+    FROM {customer} WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000
+    UNION ALL SELECT 'orders', concat('o', CAST(o_orderkey AS STRING)), 'RESTRICTED' FROM {orders} WHERE o_totalprice > 480000"""
+
+
+@query("lineage_tagged_by_tagged", f"""
+    WITH RECURSIVE tagged AS (SELECT DISTINCT * FROM ({_TAGGED_TWICE})),
+    walk(start_object, start_column, object_id, column_name, tag, depth) AS (
+        SELECT object_id, column_name, object_id, column_name, tag, CAST(0 AS BIGINT) FROM tagged
+        UNION
+        SELECT w.start_object, w.start_column, e.dst_object, e.dst_column, w.tag, w.depth + 1
+        FROM walk w JOIN {{lineage_edges}} e ON e.src_object = w.object_id AND e.src_column = w.column_name)
+    SELECT tag, object_id, column_name, min(depth) AS depth FROM walk
+    WHERE NOT (start_object = object_id AND start_column = column_name) GROUP BY ALL""")
+def _(t: Inputs) -> DataFrame:
+    return lineage.tag_reach(_store(t), t.sql(_TAGGED_TWICE))
+
+
+# Lines of returned parts come last, when the lineage of the regions is already known.
+@query("lineage_extended", _closure(_REGION_STARTS, "downstream"))
+def _(t: Inputs) -> DataFrame:
+    late = F.col("expression").eqNullSafe(F.lit("SUM(quantity)")) | (F.col("dst_object") == "customer") & F.col("dst_column").endswith("7")
+    store = lineage.LineageStore.write(_store(t).edges().where(~late), scratch_path(t.spark, "lineage"))
+    starts = t.sql(_REGION_STARTS)
+    traced = lineage.trace(store, starts, "downstream")
+    added = _store(t).edges().where(late)
+    store.add(added)
+    return lineage.extend(traced, starts, store, added, "downstream")
 
 
 @query("lineage_lookup", """
