@@ -5,10 +5,13 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import html as html_module
 import io
 import math
+import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +112,59 @@ def test_main_text_without_boilerplate():
     assert pathratio.main_text(plain) == "Some words, more words. Again, words."
 
 
+LONG = "This is a long paragraph, with several clauses; it goes on, and on, for a while. And then it ends."
+
+
+def _plain_article(html):
+    """A second version for pages with one ``article``: its blocks without markup, by regular expressions."""
+    found = re.search(r"<article>(.*?)</article>", html or "", re.S)
+    if not found:
+        return None
+    blocks = re.split(r"</?(?:p|h1|h2|ul|ol|li|div|table|tr|td|blockquote|pre|br)\b[^>]*>", found[1])
+    texts = (html_module.unescape(re.sub(r"<!--.*?-->|<[^>]+>", "", b)) for b in blocks)
+    return " ".join(filter(None, (" ".join(t.split()) for t in texts)))
+
+
+@pytest.mark.parametrize("words", [pathratio.MARK_WORDS, frozenset()])
+def test_given_pages_against_a_plain_version(sf_dir, monkeypatch, words):
+    """Long articles need no word list; with every path called content, none keeps its text."""
+    rows = pq.read_table(f"{sf_dir}/pages.parquet").to_pylist()
+    monkeypatch.setattr(pathratio, "MARK_WORDS", words)
+    wanted = {r["page_id"]: _plain_article(r["html"]) for r in rows}
+    sized = [r for r in rows if wanted[r["page_id"]] is not None and (words or len(wanted[r["page_id"]]) > 200)]
+    assert len(sized) > 10
+    assert all(pathratio.main_text(r["html"]) == wanted[r["page_id"]] for r in sized)
+    monkeypatch.setattr(pathratio, "content_paths", lambda blocks: {b[0] for b in blocks})
+    assert all(pathratio.main_text(r["html"]) != wanted[r["page_id"]] for r in sized)
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    # A classic server-side page lies in one form.
+    (f"<body><form><h1>T</h1><p>{LONG}</p><input><button>Go</button><select><option>x</select><p>{LONG}</p></form></body>", f"T {LONG} {LONG}"),
+    # An id is a place to link to, not a mark.
+    (f'<article><h1>T</h1><p>{LONG}</p><section id="cookies"><p>{LONG}</p></section><h2 id="related-work">Related</h2><p>{LONG}</p></article>',
+     f"T {LONG} {LONG} Related {LONG}"),
+    # No article, no names: links and a short comment behind the text.
+    (f'<div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><div><a href="/">Home</a> <a href="/s">Shop</a></div><div>Tom wrote: nice!</div>',
+     f"T {LONG} {LONG}"),
+    # A list of links amid the text, a short list item, and a paragraph with a link in it.
+    (f'<div><p>{LONG}</p><ul><li><a href="/">Home</a></li><li><a href="/b">B</a></li></ul><p>{LONG} <a href="/x">See there.</a></p>'
+     f'<ul><li>One.</li></ul><p>{LONG}</p></div>', f"{LONG} {LONG} See there. One. {LONG}"),
+    # Marked containers inside and outside of an article.
+    (f'<div class="cookie-notice">We use cookies, gladly; and more, often.</div><article><p>{LONG}</p><div class="share">Share this, now.</div>'
+     f'<p>{LONG}</p></article><div class="comments"><p>I agree, fully.</p></div><footer>Us, 2024.</footer>', f"{LONG} {LONG}"),
+    # The site's name is a heading too.
+    (f"<header><h1>Site</h1></header><nav><a href='/'>Home</a></nav><div><h2>Head</h2><p>{LONG}</p></div><aside>More, here.</aside>", f"Head {LONG}"),
+])
+def test_pages_of_many_kinds(html, text):
+    assert pathratio.main_text(html) == text
+
+
+def test_a_strong_neighbour_lifts_no_weak_path():
+    paths = pathratio.content_paths([("a.p", 500, 6, 0, 1.0), ("a.div", 6, 0, 0, 1.0), ("a.p", 500, 6, 0, 1.0), ("a.ul.li", 9, 0, 9, 1.0)])
+    assert paths == {"a.p"}
+
+
 @pytest.mark.parametrize("html", [None, "", "<nav>menu</nav>", "<script>x", "<!-- x", "<![if x]>", "<" * 500, "</p></div>"])
 def test_odd_pages(html):
     assert isinstance(pathratio.main_text(html), str)
