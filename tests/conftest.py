@@ -3,6 +3,7 @@ from __future__ import annotations
 import os
 import pathlib
 import sys
+import tempfile
 
 import pytest
 
@@ -25,6 +26,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tidemark-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
