@@ -232,15 +232,16 @@ def fit(docs: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Model:
     return train([r["text"].encode() for r in rows], [r["lang"] for r in rows])
 
 
-def _scored(model):
+def _scored(model, at: int, first_kept: int):
+    """A mapper of rows whose text is in column ``at``, whether it has a letter in column 0; kept columns come after those."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = model.value
         names = pa.array([*held.labels, UNKNOWN], pa.string())
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
-                texts = [t or b"" for t in part.column(0).cast(pa.binary()).to_pylist()]
-                known = np.array(part.column(1).to_pylist(), dtype=bool)
+                texts = [t or b"" for t in part.column(at).cast(pa.binary()).to_pylist()]
+                known = np.array(part.column(0).to_pylist(), dtype=bool)
                 if held.labels:
                     best, score, odd = held.predict(texts)
                 else:
@@ -248,26 +249,29 @@ def _scored(model):
                 best, score = np.where(known, best, len(held.labels)), np.where(known, score, 0.0)
                 rejected = ~known | odd
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[2:], names.take(pa.array(best)), pa.array(score), pa.array(rejected)],
-                    names=[*part.schema.names[2:], "lang_pred", "score", "rejected"])
+                    [*part.columns[first_kept:], names.take(pa.array(best)), pa.array(score), pa.array(rejected)],
+                    names=[*part.schema.names[first_kept:], "lang_pred", "score", "rejected"])
 
     return run
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` of ``docs`` with lang_pred, score (calibrated probability, 0 to 1) and rejected.
 
     A null text and one without any letter get ``und``, score 0 and are rejected; so does every text if the model has
-    seen no label. A text unlike those that the predicted label was learned from is rejected too. Whole texts are read, however long. Only ``text`` is an input of a prediction, so repeated rows get
+    seen no label. A text unlike those that the predicted label was learned from is rejected too. Whole texts are read, however long. Only the column ``text`` is an input of a prediction, so repeated rows get
     the same result; a column of ``keep`` may be null; columns named as the new ones give way to them.
     """
     keep = [c for c in keep if c not in ("lang_pred", "score", "rejected")]
-    text = F.col("text").cast("string")
-    rows = docs.select(text.alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__known"), *keep)
+    whole = F.col(text).cast("string")
+    known = F.coalesce(whole.rlike(r"\p{L}"), F.lit(False)).alias("__known")
+    # A text that is kept goes to Python once, as itself.
+    once = text in keep and docs.schema[text].dataType.simpleString() == "string"
+    rows = docs.select(known, *keep) if once else docs.select(known, whole.alias("__text"), *keep)
+    at, first_kept = (1 + keep.index(text), 1) if once else (1, 2)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = [*rows.schema.fields[2:]]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return rows.mapInArrow(_scored(held), f"{kinds}{', ' * bool(kinds)}lang_pred string, score double, rejected boolean")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[first_kept:])
+    return rows.mapInArrow(_scored(held, at, first_kept), f"{kinds}{', ' * bool(kinds)}lang_pred string, score double, rejected boolean")
 
 
 def fold(docs: DataFrame, parts: int) -> F.Column:
@@ -285,5 +289,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language is recognised; those rejected go. Columns are kept."""
     model = fit(docs.filter(fold(docs, 3) != 1))
     names = [f"c{i}" for i in range(len(docs.columns))]
-    rows = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
-    return identify(rows, model, names).filter(~F.col("rejected")).select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
+    return identify(docs.toDF(*names), model, names, names[docs.columns.index("text")]).filter(~F.col("rejected")).select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
