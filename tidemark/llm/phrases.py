@@ -28,7 +28,9 @@ from tidemark.session import cut
 #: Fewest occurrences of a phrase, most words, percentage at which a longer phrase replaces its parts, phrases reported a language.
 LEAST, DEPTH, PERCENT, TOP, SCALE = 30, 4, 80, 2000, 2_000_000
 #: Suffixes of one group, cells that words are gathered into, bytes of text counted together, bytes hashed at once.
-GROUP_SUFFIXES, CELLS, PACK, CHUNK = 1 << 21, 1 << 16, 1 << 24, 1 << 18
+GROUP_SUFFIXES, CELLS, PACK, CHUNK = 1 << 20, 1 << 16, 1 << 23, 1 << 18
+#: Bytes of text whose words one task counts.
+WORDS_BYTES = 1 << 26
 #: Bits of the filters sent to every task; a fuller filter lets more through and changes no result.
 FILTER_BITS = 1 << 27
 
@@ -344,7 +346,7 @@ def counted(df: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     rows = df.select(lang.alias("lang"), F.xxhash64(lang).alias("salt"), "text")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    words = rows.mapInArrow(_count_words(max(1, -(-size // (4 * PACK)))), _WORDS)
+    words = rows.mapInArrow(_count_words(max(1, -(-size // WORDS_BYTES))), _WORDS)
     words = cut(words.groupBy("key").applyInArrow(_frequent_words(least), _FOUND), "words")
     frequent = words.filter("id IS NOT NULL")
     single = frequent.select(F.array("id").alias("p"), "f")
