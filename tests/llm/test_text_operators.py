@@ -422,6 +422,29 @@ def test_redaction_spares_copied_examples(spark):
     assert text[0].startswith("é [SECRET]") and "ab12" not in text[0]
 
 
+def test_a_run_counts_wherever_its_first_digit_stands(spark):
+    letters = "".join(random.Random(2).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ", k=230))
+    rows = [(0, f"x {letters}123 y", "en", "a"), (1, f"x {letters[:80]}9 y", "en", "a"), (2, f"x {letters}", "en", "a")]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(_docs(spark, rows)).collect()}
+    assert got == {0: "owned:2:235", 1: "owned:2:83", 2: ""}
+
+
+#: The base patterns again, from their description alone.
+PLAIN = (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+                    .replace("(password|passwd|secret|token|api_?key)", "((?i:password|passwd|secret|token|api_?key))")),
+         re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+"))
+
+
+def test_base_patterns_are_those_described():
+    pick = random.Random(9)
+    parts = ["password", "PassWd", "api_key", "APIKEY", "token", "secret", "\"", "'", " ", ":", "=", "  ", "abc123", "AKIA", "ABCDEFGH12345678",
+             "deadbeef" * 3, "0" * 23, "\n", "x", "+/_.-="]
+    for _ in range(3000):
+        text = "".join(pick.choice(parts) for _ in range(12))
+        for own, plain, least in ((secrets.ASSIGN, PLAIN[0], 0), (secrets.ACCESS, PLAIN[1], 20), (secrets.HEX, PLAIN[2], 24)):
+            assert [m.span() for m in re.finditer(own, text)] == [m.span() for m in plain.finditer(text) if len(m[0]) >= least]
+
+
 def test_value_copied_widely_inside_hot_sources_is_an_example(spark):
     two = "Qx3Kq8Lm1Wv6Tn5Rb9Yc7"
     rows = [(i, f"text {i} uses {OWN} and token={KEY}", "en", "hot") for i in range(40)]

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.shingles import set_hash, shingle_sets
+from tidemark.llm.streams import free
 from tidemark.session import cut
 
 #: Buckets of the column counts (their size never grows: 2**20 numbers of four bytes) and rows they travel in.
@@ -378,15 +379,17 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of linked ones stays, that with the smallest doc_id (null last); columns are kept.
 
     Rows of a group with a null doc_id only are told apart by their row key. Documents without words are in no group, so
-    all of them stay, repeated ones too.
+    all of them stay, repeated ones too. Of rows alike in doc_id and text one stays. An empty table gives no rows; other
+    columns may have any name.
     """
     grouped = groups(docs, n, percent)
     alone = grouped.filter("component_id IS NOT NULL").filter("doc_id = component_id").groupBy("component_id").agg(
         F.min("row_key").alias("row_key")).select("row_key")
     unnamed = grouped.filter("component_id IS NULL").select("row_key")
     text, doc = F.col("text").cast("string"), F.col("doc_id").cast("long")
-    keyed = docs.withColumn("__row_key", F.xxhash64(doc, doc.isNull(), text, text.isNull()))
+    key = free("__row_key", docs.columns)
+    keyed = docs.withColumn(key, F.xxhash64(doc, doc.isNull(), text, text.isNull()))
     words = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    stay = alone.union(unnamed).distinct().select(F.col("row_key").alias("__row_key"))
-    kept = keyed.filter(words).join(stay, "__row_key").dropDuplicates(["__row_key"])
+    stay = alone.union(unnamed).distinct().select(F.col("row_key").alias(key))
+    kept = keyed.filter(words).join(stay, key).dropDuplicates([key])
     return kept.select(*docs.columns).union(docs.filter(~words))

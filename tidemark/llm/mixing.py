@@ -221,7 +221,9 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block
     """
     spark = docs.sparkSession
     own = docs.drop("phase", "block", "slot", "release", "deadline", "position")
-    rows, totals = numbered(own)
+    # Other columns go under names of their own, so that none meets one that is used here.
+    inner = [c if c in ("doc_id", "text", "source") else f"own_{i}" for i, c in enumerate(own.columns)]
+    rows, totals = numbered(own.toDF(*inner))
     named = None if weights is None else {"" if s is None else f"={s}": w for s, w in weights.items()}
     largest = totals.orderBy(F.desc("n"), "__source").limit(MOST_SOURCES + 1).collect()
     many = len(largest) > MOST_SOURCES
@@ -262,13 +264,16 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block
     rows = rows.join(slots, ["phase", "__unit", "__nth"], "left")
     slot = F.coalesce(F.col("__base") + F.col("__slot"), "__own_slot", F.col("__after") + F.col("block"))
     return rows.withColumn("slot", slot).select(
-        *own.columns, "phase", "block", "slot", (F.col("__base") + F.col("__release")).alias("release"),
+        *[F.col(n).alias(c) for n, c in zip(inner, own.columns, strict=True)], "phase", "block", "slot", (F.col("__base") + F.col("__release")).alias("release"),
         (F.col("__base") + F.col("__deadline")).alias("deadline"),
         (F.col("slot") * block + F.pmod("__number", F.lit(block))).alias("position"))
 
 
 def in_order(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
-    """``docs`` in the order of the mix: files written from it hold consecutive stretches; columns are kept."""
+    """``docs`` in the order of the mix: files written from it hold consecutive stretches; columns are kept.
+
+    Every row stays, with null or repeated ids, texts and sources as ``mixed`` has them; columns may have any name.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names).withColumns({c: F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text", "source")})
     # The texts go on under their new names only.

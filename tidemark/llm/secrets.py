@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.streams import free
 from tidemark.session import cut
 
 KINDS = ("assign", "access", "hex", "owned")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-#: A shorter run never counts, and a run is matched whole or not at all, so the bound may stand in the pattern.
+#: A shorter run never counts, and a run is matched whole or not at all, so the bound may stand in the pattern. Of the runs
+#: that no keyword announces only those with a digit are candidates.
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
-OWNED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9])[A-Za-z0-9+/_=-]{20,}"
+OWNED = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 LEAST_ASSIGNED = 6
 #: A value held by so many owners is a copied example, and so is one in so many repositories for each of its owners.
 EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 10
@@ -57,7 +59,7 @@ def spans(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
     end = F.sum(F.col("lead") + F.length("match")).over(before)
     value = F.when(F.col("kind") == 0, F.regexp_extract("match", ASSIGN, 2)).otherwise(F.col("match"))
     rows = rows.withColumn("end_at", end).withColumn("value", value)
-    keep = (F.col("kind") != 0) | (F.length("value") >= LEAST_ASSIGNED)
+    keep = ((F.col("kind") != 0) | (F.length("value") >= LEAST_ASSIGNED)) & ((F.col("kind") != 3) | F.col("value").rlike("[0-9]"))
     return rows.select(
         "row_id", "doc_id", "row_key", "owner", "repository", F.when(keep, F.col("kind")).alias("kind"),
         (F.col("end_at") - F.length("match")).alias("start_at"), "end_at", "value", F.when(keep, F.xxhash64("value")).alias("digest"))
@@ -148,18 +150,20 @@ def row_key() -> Column:
 def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret's characters replaced by ``mark``; copied examples stay.
 
-    Every document stays and every column but ``text`` is as it was. Overlapping spans are replaced as one.
+    Every document stays, repeated rows and those with null or empty text too, and every column but ``text`` is as it was,
+    whatever the names of the others. Overlapping spans are replaced as one. A null owner or repository counts as one. An
+    empty table gives no rows.
     """
     rows = classified(docs, owner, repository).filter("kind IS NOT NULL AND NOT copied")
-    item = F.struct("start_at", "end_at")
-    found = rows.groupBy("row_key").agg(F.array_sort(F.collect_set(item)).alias("__spans"))
-    first = F.transform("__spans", lambda s, i: F.struct(
+    key, held = free("__row_key", docs.columns), free("__spans", docs.columns)
+    found = rows.groupBy(F.col("row_key").alias(key)).agg(F.array_sort(F.collect_set(F.struct("start_at", "end_at"))).alias(held))
+    first = F.transform(held, lambda s, i: F.struct(
         s["start_at"].alias("start_at"), s["end_at"].alias("end_at"),
-        F.coalesce(F.array_max(F.transform(F.slice("__spans", 1, i), lambda e: e["end_at"])), F.lit(0)).alias("done")))
-    keyed = docs.withColumn("__row_key", row_key()).join(found.withColumnRenamed("row_key", "__row_key"), "__row_key", "left")
+        F.coalesce(F.array_max(F.transform(F.slice(held, 1, i), lambda e: e["end_at"])), F.lit(0)).alias("done")))
+    keyed = docs.withColumn(key, row_key()).join(found, key, "left")
     text = F.col("text").cast("string")
     pieces = F.transform(first, lambda s: F.when(s["start_at"] >= s["done"], F.concat(
         F.substring(text, s["done"].cast("int") + 1, (s["start_at"] - s["done"]).cast("int")), F.lit(mark))).otherwise(F.lit("")))
-    tail = F.substring(text, F.array_max(F.transform("__spans", lambda s: s["end_at"])).cast("int") + 1, F.length(text))
-    clean = F.when(F.col("__spans").isNull(), text).otherwise(F.concat(F.array_join(pieces, ""), tail))
+    tail = F.substring(text, F.array_max(F.transform(held, lambda s: s["end_at"])).cast("int") + 1, F.length(text))
+    clean = F.when(F.col(held).isNull(), text).otherwise(F.concat(F.array_join(pieces, ""), tail))
     return keyed.withColumn("text", clean).select(*docs.columns)

@@ -1,4 +1,4 @@
-"""Adding up fixed-size arrays that many tasks yield, without gathering them in one place."""
+"""Adding up fixed-size arrays that many tasks yield, without gathering them in one place; and names of columns."""
 
 from __future__ import annotations
 
@@ -12,6 +12,14 @@ from pyspark.sql import DataFrame
 PARTS, TASKS = 64, 16
 
 
+def free(name: str, columns: list[str]) -> str:
+    """A column name like ``name`` that no column has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parts_of(total: np.ndarray) -> pa.RecordBatch:
     """Rows (part, data) of an array of float64."""
     parts = np.array_split(total, PARTS)
