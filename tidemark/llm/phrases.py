@@ -29,8 +29,8 @@ from tidemark.session import cut
 LEAST, DEPTH, PERCENT, TOP, SCALE = 30, 4, 80, 2000, 2_000_000
 #: Suffixes of one group, cells that words are gathered into, bytes of text counted together, bytes hashed at once.
 GROUP_SUFFIXES, CELLS, PACK, CHUNK = 1 << 20, 1 << 16, 1 << 23, 1 << 18
-#: Bytes of text whose words one task counts.
-WORDS_BYTES = 1 << 26
+#: Bytes of text whose words one task counts; rows unpacked at once.
+WORDS_BYTES, ROWS = 1 << 26, 512
 #: Bits of the filters sent to every task; a fuller filter lets more through and changes no result.
 FILTER_BITS = 1 << 27
 
@@ -111,8 +111,9 @@ def _words_of(texts: list[bytes], salts: np.ndarray) -> Iterator[tuple[bytes, np
 def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, list[bytes]]]:
     """(lang, salt, text) of enough rows to count together."""
     langs, salts, texts, size = [], [], [], 0
-    for batch in batches:
-        for lang, salt, text in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
+    parts = (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS))
+    for part in parts:
+        for lang, salt, text in zip(*(part.column(i).to_pylist() for i in (0, 1)), part.column(2).cast(pa.binary()).to_pylist(), strict=True):
             langs.append(lang)
             salts.append(salt)
             texts.append(text or b"")
