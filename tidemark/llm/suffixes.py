@@ -29,8 +29,8 @@ from tidemark.session import cut
 LENGTH, GRAM = 100, 32
 #: Bytes of text whose runs one task sorts; bytes hashed at once; bytes whose runs are packed together.
 PART_BYTES, CHUNK, PACK = 1 << 24, 1 << 18, 1 << 23
-#: Bytes whose suffixes are sorted at once.
-SORT_BYTES = 1 << 21
+#: Bytes whose suffixes are sorted at once; rows unpacked at once.
+SORT_BYTES, ROWS = 1 << 21, 512
 #: Strings of a run at most; a longer one is cut, which changes no result.
 MOST_IN_RUN = 256
 #: An anchor of more runs than this is hot: its strings are dealt one by one. Hot anchors sent to every task, and the share
@@ -160,8 +160,9 @@ def _bytes_of(column: pa.Array) -> list[bytes]:
 def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
     """(doc, tag, text) of enough rows to pack together."""
     docs, tags, texts, size = [], [], [], 0
-    for batch in batches:
-        for doc, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes_of(batch.column(2)), strict=True):
+    parts = (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS))
+    for part in parts:
+        for doc, tag, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _bytes_of(part.column(2)), strict=True):
             docs.append(doc)
             tags.append(tag)
             texts.append(text)
@@ -255,7 +256,7 @@ def _meet(table: pa.Table) -> pa.Table:
 def _pack_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, tag, text) with the text packed, as it is exchanged."""
     codec = pa.Codec("zstd", 3)
-    for batch in batches:
+    for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
         texts = _bytes_of(batch.column(2))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array([codec.compress(t, asbytes=True) for t in texts], pa.binary()),
