@@ -102,7 +102,7 @@ def _local(rows, parts):
     return sorted((tuple(r.values()) for r in next(suffixes._cut_out(iter([last]))).to_pylist()), key=repr)
 
 
-@pytest.mark.parametrize("setting", [{"CHUNK": 300}, {"PACK": 3000}, {"SORT_BYTES": 2000}, {"SORT_BYTES": 300}, {"MOST_IN_RUN": 5}, {}])
+@pytest.mark.parametrize("setting", [{"CHUNK": 300}, {"PACK": 3000}, {"SORT_BYTES": 2000}, {"MOST_IN_RUN": 5}, {}])
 @pytest.mark.parametrize("parts", [1, 5])
 def test_sizes_of_pieces_change_no_row(monkeypatch, setting, parts):
     """Long texts in pieces, many parts, large anchors sorted in slices, and hot anchors (every third) dealt string by string."""
