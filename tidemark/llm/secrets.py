@@ -148,13 +148,15 @@ def row_key() -> Column:
 
 
 def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret's characters replaced by ``mark``; copied examples stay.
+    """``docs`` with every secret's characters replaced by ``mark``; copied examples that several owners hold stay.
+
+    What a single owner holds goes in however many repositories it stands: only owners tell an example from a key in use.
 
     Every document stays, repeated rows and those with null or empty text too, and every column but ``text`` is as it was,
     whatever the names of the others. Overlapping spans are replaced as one. A null owner or repository counts as one. An
     empty table gives no rows.
     """
-    rows = classified(docs, owner, repository).filter("kind IS NOT NULL AND NOT copied")
+    rows = classified(docs, owner, repository).filter("kind IS NOT NULL AND (owners = 1 OR NOT copied)")
     key, held = free("__row_key", docs.columns), free("__spans", docs.columns)
     found = rows.groupBy(F.col("row_key").alias(key)).agg(F.array_sort(F.collect_set(F.struct("start_at", "end_at"))).alias(held))
     first = F.transform(held, lambda s, i: F.struct(
