@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,14 +22,20 @@ from tidemark.session import cut
 BITS = 64
 #: A segment has about as many bits as the number of codes, and no fewer than this.
 LEAST_SEGMENT = 16
+#: Masks of one radius, and probes, that a task holds at once.
+MASKS_AT_ONCE, PROBES_AT_ONCE = 1 << 14, 1 << 17
 
 
 def sign_code(embedding: Column) -> Column:
     """64 sign bits: bit i tells whether the components i, i + 64, ... add up to more than zero."""
-    vector = F.transform(embedding.cast("array<double>"), lambda x, i: F.struct(x.alias("x"), F.pmod(i, F.lit(BITS)).alias("i")))
+    size = F.size(embedding)
+
+    def total(bit: Column) -> Column:
+        places = F.when(size > bit, F.sequence(bit + 1, size, F.lit(BITS)))
+        return F.aggregate(places, F.lit(0.0), lambda a, i: a + F.element_at(embedding, i).cast("double"))
+
     bits = F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda b: F.when(
-        F.aggregate(F.filter(vector, lambda v: v["i"] == b), F.lit(0.0), lambda a, v: a + v["x"]) > 0,
-        F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+        total(b) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
@@ -43,23 +52,39 @@ def _segment(code: str, first: int, bits: int) -> Column:
     return value if bits == BITS else value.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _masks(bits: int, radius: int) -> Iterator[np.ndarray]:
+    """All values of ``bits`` bits of which ``radius`` are set, some at a time."""
+    values = (sum(1 << b for b in c) for c in itertools.combinations(range(bits), radius))
+    while some := list(itertools.islice(values, MASKS_AT_ONCE)):
+        yield np.array(some, dtype=np.uint64)
+
+
+def _at_radius(cuts: list[tuple[int, int]], radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q, most, need = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for seg, (first, bits) in enumerate(cuts):
+                asks = need > seg
+                if radius > bits or not asks.any():
+                    continue
+                codes, bounds = q[asks], most[asks]
+                own = (codes.view(np.uint64) >> np.uint64(first)) & np.uint64((1 << bits) - 1)
+                for masks in _masks(bits, radius):
+                    step = max(1, PROBES_AT_ONCE // len(masks))
+                    for low in range(0, len(own), step):
+                        some = slice(low, low + step)
+                        values = (own[some, None] ^ masks[None, :]).reshape(-1).view(np.int64)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.repeat(codes[some], len(masks))), pa.array(np.repeat(bounds[some], len(masks)).astype(np.int32)),
+                             pa.array(np.full(len(values), seg, dtype=np.int32)), pa.array(values)], names=["q", "most", "seg", "val"])
+
+    return run
 
 
 def _probes(pending: DataFrame, cuts: list[tuple[int, int]], radius: int) -> DataFrame:
     """(q, most, seg, val): values at exactly ``radius`` from each segment that the query still needs (its first ``need``)."""
-    parts = []
-    for seg, (first, bits) in enumerate(cuts):
-        if radius > bits:
-            continue
-        masks = F.array(*(F.lit(_signed(sum(1 << b for b in c))) for c in itertools.combinations(range(bits), radius)))
-        own = pending.filter(F.col("need") > seg).select("q", "most", F.lit(seg).alias("seg"), _segment("q", first, bits).alias("own"))
-        parts.append(own.withColumn("mask", F.explode(masks)).select("q", "most", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("val")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    asked = pending.select(F.col("q").cast("long"), F.col("most").cast("int"), F.col("need").cast("int"))
+    return asked.mapInArrow(_at_radius(cuts, radius), "q long, most int, seg int, val long")
 
 
 def top_k(codes: DataFrame, queries: Column, k: int = 10) -> DataFrame:
