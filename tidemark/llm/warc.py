@@ -34,6 +34,25 @@ _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 
 
+def plain_uri(uri: str) -> str:
+    """``uri`` by the name that Arrow's file systems know: Hadoop has names of its own for some stores."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        return uri
+    if scheme in ("s3a", "s3n"):
+        return f"s3:{rest}"
+    if scheme == "dbfs":
+        # Mounted below /dbfs on every node.
+        return "file:///dbfs/" + rest.lstrip("/")
+    if scheme == "file" and not rest.startswith("//"):
+        return f"file://{rest}"
+    return uri
+
+
+def _store(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(plain_uri(uri))
+
+
 def _sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -61,7 +80,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, size: int, dige
 
 def _writer(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = pafs.FileSystem.from_uri(folder)
+        store, top = _store(folder)
         part = TaskContext.get().partitionId()
         written, out, path, count = [], None, None, 0
         for batch in batches:
@@ -128,7 +147,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """
     spark = pages.sparkSession
     folder = folder or scratch_path(spark, "archives")
-    store, top = pafs.FileSystem.from_uri(folder)
+    store, top = _store(folder)
     store.create_dir(top)
     prefix = folder[: len(folder) - len(top)] if folder.endswith(top) else ""
     written = with_roles(pages).mapInArrow(_writer(folder), "path string, bytes long, records long")
@@ -292,7 +311,7 @@ def _reader(payloads: bool):
 
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                store, inside = pafs.FileSystem.from_uri(path)
+                store, inside = _store(path)
                 rows, held = [], 0
                 with store.open_input_file(inside) as handle:
                     for start, end, found in salvage(_File(handle, handle.size())):
