@@ -86,6 +86,22 @@ def test_salvage_of_uncompressed_records(members):
     assert _ids(inside) == ["<urn:page:0>", "<urn:page:2>"]
 
 
+@pytest.mark.parametrize("uri, plain", [
+    ("s3a://bucket/a/b", "s3://bucket/a/b"), ("s3n://bucket/a", "s3://bucket/a"), ("dbfs:/tmp/x", "file:///dbfs/tmp/x"),
+    ("dbfs:///tmp/x", "file:///dbfs/tmp/x"), ("file:/tmp/x", "file:///tmp/x"), ("file:///tmp/x", "file:///tmp/x"), ("/tmp/a:b", "/tmp/a:b"),
+    ("hdfs://name:9000/x", "hdfs://name:9000/x"), ("gs://bucket/x", "gs://bucket/x")])
+def test_names_of_shared_folders(uri, plain):
+    assert warc.plain_uri(uri) == plain
+
+
+def test_archives_below_a_folder_of_another_scheme(spark, tmp_path, monkeypatch):
+    # The scheme's store is a local folder here; paths that are handed on keep the scheme.
+    monkeypatch.setattr(warc, "_store", lambda uri: warc.pafs.FileSystem.from_uri(uri.replace("file:", "file://")))
+    archives = warc.write_archives(_pages(spark, [(1, "u", "x"), (2, "u", "y")]).coalesce(1), f"file:{tmp_path}/w")
+    assert all(r["path"].startswith(f"file:{tmp_path}") for r in archives.collect())
+    assert warc.read_archives(archives).filter("fault IS NULL").count() == 2
+
+
 def test_damage_on_disk_is_reported(spark, tmp_path):
     archives = warc.write_archives(_pages(spark, [(i, "u", f"page {i} " * 30) for i in range(20)]).coalesce(1), f"file://{tmp_path}/w")
     path = archives.orderBy("path").first()["path"].removeprefix("file://")
@@ -231,6 +247,35 @@ def test_shards_and_recall(spark, monkeypatch):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_sign_codes(spark):
+    pick = np.random.default_rng(4)
+    vectors = [pick.normal(size=n).astype("float32").tolist() for n in (1, 5, 64, 65, 200)] + [[], [0.0] * 70, [1.0, None, 2.0]]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)] + [(99, None)], "i int, v array<float>")
+    got = {r["i"]: r["code"] for r in rows.select("i", multiindex.sign_code(F.col("v")).alias("code")).collect()}
+    for i, v in enumerate(vectors):
+        sums = [[x for x in v[b::64]] for b in range(64)]
+        code = sum(1 << b for b, xs in enumerate(sums) if None not in xs and sum(xs) > 0)
+        assert got[i] == (code - (1 << 64) if code >> 63 else code)
+    assert got[99] == 0
+
+
+def test_masks_of_any_radius(monkeypatch):
+    monkeypatch.setattr(multiindex, "MASKS_AT_ONCE", 100)
+    for radius in range(12):
+        parts = list(multiindex._masks(11, radius))
+        assert all(len(p) <= 100 for p in parts)
+        assert sorted(int(x) for p in parts for x in p) == [x for x in range(1 << 11) if x.bit_count() == radius]
+
+
+@pytest.mark.parametrize("at_once", [1, 7])
+def test_top_k_a_few_probes_at_once(spark, monkeypatch, at_once):
+    monkeypatch.setattr(multiindex, "PROBES_AT_ONCE", at_once)
+    pending = spark.createDataFrame([(-5, 3, 4), (7, 64, 2)], "q long, most int, need int")
+    got = sorted(tuple(r) for r in multiindex._probes(pending, multiindex.segments(10), 1).collect())
+    want = [(q, most, seg, (((q >> 16 * seg) & 0xFFFF) ^ (1 << b))) for q, most, need in [(-5, 3, 4), (7, 64, 2)] for seg in range(need) for b in range(16)]
+    assert got == sorted(want)
+
+
 def test_top_k_of_codes_is_exact(spark):
     rng = np.random.default_rng(7)
     centre = int(rng.integers(0, 2**62))

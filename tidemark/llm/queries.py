@@ -132,6 +132,47 @@ pairs AS (
     FROM codes q JOIN codes c ON q.vec_id % 100 = 0 AND c.vec_id != q.vec_id)
 SELECT query_id, rank::INTEGER AS rank, vec_id, distance
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs) WHERE rank <= 10""",
+    "op10_secret_scan": r"""
+WITH docs AS (SELECT row_number() OVER () AS row_id, doc_id, source, coalesce(text, '') AS text FROM documents),
+cut AS (
+    SELECT row_id, 0 AS kind, regexp_extract_all(text, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS m,
+           string_split_regex(text, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS lead FROM docs
+    UNION ALL SELECT row_id, 1, regexp_extract_all(text, 'AKIA[A-Z0-9]+'), string_split_regex(text, 'AKIA[A-Z0-9]+') FROM docs
+    UNION ALL SELECT row_id, 2, regexp_extract_all(text, '[0-9a-f]+'), string_split_regex(text, '[0-9a-f]+') FROM docs
+    UNION ALL SELECT row_id, 3, regexp_extract_all(text, '[A-Za-z0-9+/_=-]+'), string_split_regex(text, '[A-Za-z0-9+/_=-]+') FROM docs),
+matches AS (SELECT row_id, kind, unnest(range(1, len(lead) + 1)) AS k, unnest(lead) AS lead, unnest(m) AS match FROM cut WHERE len(m) > 0),
+placed AS (
+    SELECT row_id, kind, match, sum(length(lead) + coalesce(length(match), 0)) OVER (PARTITION BY row_id, kind ORDER BY k) AS end_at,
+           CASE WHEN kind = 0 THEN regexp_extract(match, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2)
+                ELSE match END AS value
+    FROM matches),
+spans AS (
+    SELECT row_id, kind, end_at - length(match) AS start_at, end_at, value, doc_id, source
+    FROM placed JOIN docs USING (row_id)
+    WHERE match IS NOT NULL AND length(value) >= [6, 20, 24, 20][kind + 1] AND (kind < 3 OR regexp_matches(value, '[0-9]'))),
+held AS (
+    SELECT value, count(DISTINCT coalesce('=' || source, '')) AS owners,
+           count(DISTINCT coalesce('=' || source, '') || chr(1) || coalesce(doc_id::VARCHAR, '')) AS repositories
+    FROM spans GROUP BY value),
+told AS (
+    SELECT *, owners >= 3 OR repositories >= owners * 10 AS copied,
+           length(value) >= 12 AND len(list_distinct(string_split(value, ''))) >= 8 AND regexp_matches(value, '[0-9]')
+           AND regexp_matches(value, '[A-Za-z]') AS random
+    FROM spans JOIN held USING (value)),
+base AS (SELECT *, ['assign', 'access', 'hex'][kind + 1] || ':' || start_at || ':' || end_at AS span FROM told WHERE kind < 3),
+own AS (
+    SELECT *, 'owned:' || start_at || ':' || end_at AS span FROM told o
+    WHERE kind = 3 AND owners = 1 AND NOT copied AND random
+      AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row_id = o.row_id AND b.start_at < o.end_at AND o.start_at < b.end_at)),
+found AS (SELECT * FROM base UNION ALL SELECT * FROM own)
+SELECT any_value(d.doc_id) AS doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+       count(*) FILTER (kind = 2) AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY start_at, kind) FILTER (kind < 3), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY start_at, kind), '') AS spans, count(*) FILTER (kind = 3) AS n_owned,
+       count(*) FILTER (kind < 3 AND random AND NOT copied) AS n_live, count(*) FILTER (kind < 3 AND copied) AS n_copied,
+       coalesce(string_agg(owners::VARCHAR, ',' ORDER BY start_at, kind), '') AS owners,
+       coalesce(string_agg(repositories::VARCHAR, ',' ORDER BY start_at, kind), '') AS repositories
+FROM docs d LEFT JOIN found f USING (row_id) GROUP BY row_id""",
     # crc32 bit by bit: a byte is mixed in, then eight steps (-1) follow.
     "op11_prefix_trie": r"""
 WITH t AS (
