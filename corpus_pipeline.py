@@ -1,7 +1,7 @@
 """A training corpus made from raw documents, stage by stage.
 
 Each stage is one operator applied to all that the stage before it kept. Stages but the last return the columns of
-documents; the last returns the encoded corpus.
+documents; the last returns the encoded corpus, whose tokens follow each other as the mixing stage has ordered them.
 """
 
 from __future__ import annotations
@@ -32,13 +32,14 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the order that interleaves sources by the square roots of their sizes."""
+    """Documents in the order that interleaves sources by the square roots of their sizes; its files hold them in it."""
     return mixing.in_order(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the digests of its ids and of their decoding."""
-    return bpe.digests(docs, vocabulary())
+    """The corpus as one run of tokens in the order of the mix: for every document its position, the offset of its first
+    token, and the digests of its ids and of their decoding."""
+    return mixing.placed(bpe.digests(mixing.located(docs), vocabulary(), mixing.PLACE), "n_tokens")
 
 
 STAGES = [

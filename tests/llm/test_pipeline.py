@@ -10,7 +10,7 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 
-from tidemark.llm import jaccard, queries, secrets
+from tidemark.llm import jaccard, mixing, queries, secrets
 from tidemark.session import scratch_path
 
 EXTRA = ["row_key", "__row_key", "__spans", "__h", "__source", "__run", "phase", "key", "score", "lang_pred", "kind", "c0", "own_3"]
@@ -115,6 +115,27 @@ def test_encoding_stage_is_that_of_the_library(stages):
     assert Counter(got) == Counter(want)
 
 
+def test_tokens_follow_the_order_of_the_mix(spark, stages):
+    _, _, before, _ = stages[1][3]
+    docs = spark.createDataFrame(before, SCHEMA).selectExpr("doc_id", "sha1(text) AS text", "source")  # texts are mixed by their digest
+    mixed = mixing.mixed(docs).orderBy("position").select("doc_id").collect()
+    columns, rows = stages[1][4][1], stages[1][4][3]
+    got = sorted(tuple(r[columns.index(c)] for c in ("position", "offset", "n_tokens", "doc_id")) for r in rows)
+    assert [r[0] for r in got] == list(range(len(before)))
+    assert [r[3] for r in got] == [r["doc_id"] for r in mixed]
+    assert [r[1] for r in got] == [sum(r[2] for r in got[:i]) for i in range(len(got))]
+
+
+def test_places_are_those_of_the_files(spark):
+    path = scratch_path(spark, "files")
+    spark.range(300).selectExpr("299 - id AS doc_id", "id % 7 AS size").repartitionByRange(13, "doc_id").sortWithinPartitions(
+        "doc_id").write.parquet(path)
+    rows = mixing.placed(mixing.located(spark.read.parquet(path)), "size").collect()
+    assert rows[0].asDict().keys() == {"doc_id", "size", "position", "offset"} and all(r["position"] == r["doc_id"] for r in rows)
+    sizes = [r["size"] for r in sorted(rows)]
+    assert [r["offset"] for r in sorted(rows)] == [sum(sizes[:i]) for i in range(300)]
+
+
 def test_run_is_its_stages(spark, stages):
     root, out = stages
     assert Counter(tuple(r) for r in corpus_pipeline.run(spark, root).collect()) == Counter(out[-1][3])

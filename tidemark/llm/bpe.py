@@ -255,21 +255,22 @@ def _batches(path: str, decoded: bool):
     return run
 
 
-def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
-    """(doc_id, ids array<int>), and with ``decoded`` the text that the ids stand for, one row per row of ``docs``.
+def encode(docs: DataFrame, path: str, decoded: bool = False, beside: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, columns ``beside``, ids array<int>), and with ``decoded`` the text that the ids stand for, one row per row
+    of ``docs``.
 
     ``path`` names a vocabulary file that every executor has. Whole texts are encoded; null and empty texts have no ids
     and decode to the empty text. Texts of any length and repeated rows are encoded alike; a null doc_id stays null; an
     empty table gives no rows; other columns are ignored whatever their names.
     """
-    rows = docs.select(F.col("text").cast("string").alias("text"), "doc_id")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_batches(path, decoded), f"doc_id {kind}, ids array<int>" + ", decoded string" * decoded)
+    rows = docs.select(F.col("text").cast("string").alias("text"), "doc_id", *beside)
+    kept = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", *beside))
+    return rows.mapInArrow(_batches(path, decoded), f"{kept}, ids array<int>" + ", decoded string" * decoded)
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): the encoding as ``encode`` gives it, in digest form."""
-    return encode(docs, path, decoded=True).select(
+def digests(docs: DataFrame, path: str, beside: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, columns ``beside``): the encoding as ``encode`` gives it, in digest form."""
+    return encode(docs, path, decoded=True, beside=beside).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), *beside)

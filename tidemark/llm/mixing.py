@@ -280,3 +280,33 @@ def in_order(docs: DataFrame, weights: dict[str | None, float] | None = None, bl
     placed = mixed(rows.withColumn("text", F.sha1(F.col("text").cast("string"))), weights, block)
     ordered = placed.repartitionByRange("position").sortWithinPartitions("position")
     return ordered.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
+
+
+#: Where a row stands in the files it was read from: number of the file, its path, row of the file.
+PLACE = ("at_part", "at_file", "at_row")
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """``docs``, read from files, with the columns ``PLACE``; columns of these names give way."""
+    file = docs.metadataColumn("_metadata")
+    part = F.regexp_extract(file["file_name"], r"part-(\d+)", 1).try_cast("long")
+    return docs.withColumns(dict(zip(PLACE, (part, file["file_path"], file["row_index"]), strict=True)))
+
+
+def placed(rows: DataFrame, size: str) -> DataFrame:
+    """``rows`` of ``located`` documents with their place in the mix instead of that in the files: position (from 0) and
+    offset, the sum of ``size`` over the rows before.
+
+    Files follow each other by number, as one write leaves them. A file, what one task wrote, is ordered by itself; of
+    each file one row is ordered with those of the others. Files of no rows do not count; no rows give no rows.
+    """
+    rows = cut(rows, "encoded")
+    files = rows.groupBy(*PLACE[:2]).agg(F.count(F.lit(1)).alias("__n"), F.sum(size).alias("__size"))
+    earlier = Window.orderBy("at_part", F.length("at_file"), "at_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("at_file", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("__n", "__size")))
+    inside = Window.partitionBy("at_file").orderBy("at_row")
+    before = F.coalesce(F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = rows.withColumns({"__nth": F.row_number().over(inside) - 1, "__inside": before})
+    return numbered.join(F.broadcast(files), "at_file").withColumns({
+        "position": F.col("__n_before") + F.col("__nth"), "offset": F.col("__size_before") + F.col("__inside")}).drop(
+        *PLACE, "__nth", "__inside", "__n_before", "__size_before")
