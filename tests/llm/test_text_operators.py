@@ -109,6 +109,21 @@ def test_hubs_link_a_group_by_fewer_pairs_than_links(spark):
     assert jaccard._hub_pairs(rows, jaccard._bits(profiles), 80, 0).count() < min(every, 2 * entries)
 
 
+def test_a_cloud_of_near_copies_is_linked_without_its_pairs(spark, monkeypatch):
+    pick = random.Random(8)
+    base, rows = [f"v{i}" for i in range(300)], []
+    for i in range(160):
+        words = list(base)
+        for at in pick.sample(range(300), 3 + i % 4 if i != 80 else 0):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words), "en", "a"))
+    met, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *rest: met.append(pairs.count()) or verified(pairs, *rest))
+    got = jaccard.groups(_docs(spark, rows)).select("doc_id", "component_id").collect()
+    assert _bare(got) == _bare((d, c) for d, n, c in _components(rows, 5, 80) if n)
+    assert len(met) == jaccard.HUB_ROUNDS + 1 and sum(met) < 4 * len(rows)
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard.jaccard_join(_docs(spark, [])).count() == 0
     assert jaccard.keep_one(_docs(spark, [])).count() == 0

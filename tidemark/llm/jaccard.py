@@ -280,12 +280,15 @@ def _in_components(entries: DataFrame, member: DataFrame | None) -> DataFrame:
 def _hub_pairs(entries: DataFrame, bits: DataFrame, percent: int, turn: int) -> DataFrame:
     """Pairs (a, b) of one set of each block with all sets of the block that are not in its component yet.
 
-    As many rows as entries at most, whatever a block's size. ``turn`` picks other sets.
+    As many rows as entries at most, whatever a block's size. The first ``turn`` picks the set in which the block's column
+    has the fewest rarer ones before it: of near copies that with the fewest changes, which most others are linked with.
+    Later ones pick other sets.
     """
+    picked = F.struct(*([] if turn else ["pos"]), F.xxhash64("key", F.lit(turn)))
     rows = entries.withColumn("block", F.explode(F.array(_band(percent), _band(percent) + 1)))
     hubs = rows.groupBy("col", "block").agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-        F.min_by(F.struct("key", "n", "pos", "comp"), F.xxhash64("key", F.lit(turn))).alias("hub"))
+        F.min_by(F.struct("key", "n", "pos", "comp"), picked).alias("hub"))
     hubs = hubs.filter("lo != hi").select("col", "block", *(F.col(f"hub.{c}").alias(f"{c}_b") for c in ("key", "n", "pos", "comp")))
     rows = rows.select("col", "block", *(F.col(c).alias(f"{c}_a") for c in ("key", "n", "pos", "comp")))
     met = rows.join(hubs, ["col", "block"]).filter(
