@@ -108,6 +108,24 @@ def test_traces_copy_no_edges(spark):
     assert "Exchange" not in steps._jdf.queryExecution().executedPlan().toString()
 
 
+def test_edges_are_dealt_out_once_to_be_stored_and_once_a_round(spark, monkeypatch):
+    pairs = [((f"t{level}", f"c{i}"), (f"t{level + 1}", f"c{i // 2}")) for level in range(5) for i in range(300)]
+    plans, rounds, schema = [], [], type(spark.range(1).write)
+    write, parquet = lineage._Rounds.write, schema.parquet
+    monkeypatch.setattr(lineage._Rounds, "write", lambda self, *rest: rounds.append(1) or write(self, *rest))
+
+    def planned(self, path, *rest, **more):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return parquet(self, path, *rest, **more)
+
+    monkeypatch.setattr(schema, "parquet", planned)
+    store = lineage.LineageStore.write(_edges(spark, [(*a, *b, None) for a, b in pairs]), scratch_path(spark, "store"))
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1, 0]
+    starts = [("t0", f"c{i}") for i in range(300)]
+    assert _found(lineage.trace(store, _starts(spark, *starts), "downstream")) == _closure(pairs, starts)
+    assert len(rounds) == 2  # the starts, and one round for five steps
+
+
 def test_upsert_replaces_the_same_triple_only(spark):
     kind = "pipeline_id string, source_object_id string, destination_object_id string, column_mappings array<string>"
     current = spark.createDataFrame([("p", "a", "b", ["1"]), ("p", "a", "c", ["1"])], kind)

@@ -58,9 +58,10 @@ class LineageStore:
         folder = f"{self.path}/edges/{uuid.uuid4().hex}"
         once = lineage.select(*EDGE_COLUMNS).distinct()
         once.sortWithinPartitions("src_object", "src_column").write.parquet(f"{folder}/downstream")
-        # The other order is made from the first copy, so the edges are derived once.
+        # The other order is made from the first copy, so the edges are derived once and dealt out once; each file of both
+        # is sorted by itself.
         first = self.spark.read.schema(once.schema).parquet(f"{folder}/downstream")
-        first.repartition("dst_object", "dst_column").sortWithinPartitions("dst_object", "dst_column").write.parquet(f"{folder}/upstream")
+        first.sortWithinPartitions("dst_object", "dst_column").write.parquet(f"{folder}/upstream")
         return folder
 
     def edges(self, way: str = "downstream") -> DataFrame:
@@ -83,8 +84,9 @@ def _steps(lineage: DataFrame | LineageStore, ways: tuple[str, ...]) -> DataFram
     return reduce(lambda a, b: a.unionByName(b), parts).dropna()
 
 
-#: Steps taken before anything is written, and rounds after which what was reached is written together again.
-HOPS, FOLD = 4, 8
+#: Steps taken before anything is written, and rounds after which what was reached is written together again. The edges are
+#: dealt out once a round, whatever its steps.
+HOPS, FOLD = 6, 8
 
 
 class _Rounds:
