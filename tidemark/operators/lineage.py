@@ -86,7 +86,7 @@ def _steps(lineage: DataFrame | LineageStore, ways: tuple[str, ...]) -> DataFram
 
 #: Steps taken before anything is written, and rounds after which what was reached is written together again. The edges are
 #: dealt out once a round, whatever its steps.
-HOPS, FOLD = 6, 8
+HOPS, FOLD = 5, 8
 
 
 class _Rounds:
