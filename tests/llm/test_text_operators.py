@@ -367,6 +367,78 @@ def test_passes_take_every_document_once(spark):
     assert gru.slices(0) == 1 and gru.slices(1 << 30) > gru.slices(1 << 24) > 1
 
 
+def test_places_of_ended_documents_are_filled():
+    import numpy as np
+
+    pick = np.random.default_rng(4)
+    docs = [pick.integers(0, 50, n).astype(np.uint16) for n in [3000, *pick.integers(1, 60, 2000), 1, 32, 33]]
+    seen, at, steps, before_docs = [[] for _ in docs], [None] * len(docs), 0, None
+    for doc, before, inputs, targets, valid in gru._windows(docs, 20):
+        steps += len(inputs)
+        assert len(set(doc.tolist())) == len(doc) <= 20
+        for k, (d, b) in enumerate(zip(doc.tolist(), before.tolist(), strict=True)):
+            assert (at[d] is None) == (b < 0) and (b < 0 or before_docs[b] == d)
+            at[d] = True
+            seen[d] += list(zip(inputs[valid[:, k], k].tolist(), targets[valid[:, k], k].tolist(), strict=True))
+        before_docs = doc.tolist()
+    # Every token once, after the one before it; and no more steps than the longest document or the filled places need.
+    assert seen == [list(zip([gru.END, *d[:-1].tolist()], d.tolist(), strict=True)) for d in docs]
+    assert steps < 1.1 * max(3000, sum(len(d) + gru.WINDOW for d in docs) / 20)
+
+
+def test_many_documents_train_in_few_wide_steps(monkeypatch):
+    import numpy as np
+
+    docs = [np.full(33, 2 + i % 5, dtype=np.uint16) for i in range(40_000)]
+    net, steps = gru.Network(np.array([1, 60, *[480] * 5])), []
+    monkeypatch.setattr(gru.Network, "forward", lambda self, inputs, *a, f=gru.Network.forward, **b: steps.append(len(inputs)) or f(self, inputs, *a, **b))
+    assert gru.train_on(net, docs) == 33 * 40_000
+    assert sum(steps) < 33 * 40_000 / 32 / 1.5
+
+
+def test_distributions_with_large_weights():
+    import numpy as np
+
+    net = gru.Network(np.array([10, 5, *range(60, 0, -1)]))
+    pick = np.random.default_rng(5)
+    for name in ("wc", "wo"):
+        net.w[name][...] = pick.normal(0, 12, net.w[name].shape)
+    states = np.repeat(pick.uniform(-1, 1, (1, gru.WIDTH)).astype(np.float32), 62, axis=0)
+    got = net.log_probability(states, np.arange(62))[0]
+    first = states[0].astype(np.float64) @ net.w["wc"] + net.w["bc"]
+    want = first - np.logaddexp.reduce(first)
+    words = np.einsum("w,cwk->ck", states[0].astype(np.float64), net.w["wo"]) + net.w["bo"]
+    words = (words - np.logaddexp.reduce(words, axis=1)[:, None] + want[2:, None]).reshape(-1)[:60]
+    assert np.allclose(got, [*want[:2], *words], atol=1e-3) and abs(np.exp(got).sum() - 1) < 1e-3
+
+
+def test_places_of_words_in_the_head():
+    import numpy as np
+
+    pick = np.random.default_rng(6)
+    hashes = np.unique(np.concatenate([pick.integers(0, 1 << 64, 5000, dtype=np.uint64), np.arange(50, dtype=np.uint64), ~np.arange(3, dtype=np.uint64)]))
+    words = gru.Words(hashes, np.arange(len(hashes)), np.zeros(len(hashes), dtype=np.int32), 0, 0, np.zeros(2, dtype=np.int64))
+    asked = np.concatenate([hashes, hashes + np.uint64(1), pick.integers(0, 1 << 64, 5000, dtype=np.uint64)])
+    known, at = words.place(asked)
+    assert known.tolist() == np.isin(asked, hashes).tolist() and (hashes[at[known]] == asked[known]).all()
+    none = gru.Words(hashes[:0], hashes[:0].view(np.int64), np.zeros(0, dtype=np.int32), 0, 0, np.zeros(2, dtype=np.int64))
+    assert not none.look_up(asked)[0].any()
+
+
+def test_numbers_and_counts_of_texts(spark):
+    docs = _docs(spark, [(1, "b a a zz zz q", "en", "a"), (None, None, None, None), (1, "b a a zz zz q", "en", "a"), (2, "A B", "en", "a")])
+    words = spark.sparkContext.broadcast(gru.corpus_words(gru.word_counts(docs.filter("doc_id = 2"))))
+    got = gru.numbered(docs.select("text", "doc_id"), words).collect()
+    a, b = (int(words.value.look_up(next(gru._hashed([w])))[2][0]) for w in (b"a", b"b"))
+    assert {a, b} == {2, 3}
+    want = {1: [b, a, a, 0, 0, 0, 1], None: [1], 2: [a, b, 1]}
+    for r in got:
+        numbers = [int.from_bytes(r["numbers"][k : k + 2], "little") for k in range(0, len(r["numbers"]), 2)]
+        assert numbers == want[r["doc_id"]] and r["n_tokens"] == len(numbers) and r["n_outside"] == numbers.count(0)
+        assert sorted(r["tail_n"]) == ([1, 2] if r["doc_id"] == 1 else []) and r["head_known"] == len(numbers) - sum(r["tail_n"])
+    assert len(got) == 4
+
+
 @pytest.fixture(scope="module")
 def library():
     tokenizers = pytest.importorskip("tokenizers")
