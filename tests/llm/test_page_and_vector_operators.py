@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import hnsw, multiindex, pathratio, warc
 from tidemark.llm.components import components
+from tidemark.session import cut
 
 PAGES = [(3, "http://a/3", "<p>one</p>"), (1, "http://a/1", "<p>one</p>"), (2, None, "<p>é</p>"), (2, "http://a 2\n", "<p>é</p>"), (4, "u", None),
          (5, "u", ""), (None, "u", "<p>one</p>"), (None, "n", "only null"), (6, "u", "long " * 50_000), (7, "x", "WARC/1.1\r\n\r\n"), (8, "y", "8")]
@@ -300,6 +301,32 @@ def test_top_k_of_codes_is_exact(spark):
     assert multiindex.top_k(codes.filter("vec_id = 500"), F.expr("vec_id % 50 = 0")).count() == 0
 
 
+def test_probes_are_not_broadcast(spark, monkeypatch):
+    plans = []
+
+    def run(df, label="cut"):
+        if label == "best":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines())
+        return cut(df, label)
+
+    monkeypatch.setattr(multiindex, "cut", run)
+    pick = np.random.default_rng(8)
+    codes = spark.createDataFrame([(i, int(pick.integers(0, 2**36))) for i in range(300)], "vec_id long, code long")
+    assert multiindex.top_k(codes, F.expr("vec_id % 50 = 0"), k=7).count() == 42
+    assert len(plans) > 1
+    for plan in plans:
+        depth = [re.match(r"[ :]*(?:[+:]- )?", line).end() for line in plan]
+        tasks = [k for k, line in enumerate(plan) if "InArrow" in line]
+        assert tasks
+        for k in tasks:
+            left = depth[k]
+            for above in reversed(range(k)):
+                if depth[above] < left:
+                    assert "BroadcastExchange" not in plan[above]
+                    left = depth[above]
+
+
 def test_components_of_a_long_path(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (None, 3)]
     got = {tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

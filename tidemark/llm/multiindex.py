@@ -111,7 +111,8 @@ def top_k(codes: DataFrame, queries: Column, k: int = 10) -> DataFrame:
         {"most": F.lit(BITS), "need": F.lit(len(cuts))})
     for radius in range(max(bits for _, bits in cuts) + 1):
         apart = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
-        met = _probes(pending, cuts, radius).join(index, ["seg", "val"]).filter(apart <= F.col("most"))
+        # Spark takes the probes to be as few as the queries that ask, and would send them all through the driver.
+        met = _probes(pending, cuts, radius).hint("merge").join(index, ["seg", "val"]).filter(apart <= F.col("most"))
         met = met.select("q", "code", "members", apart.cast("int").alias("distance")).dropDuplicates(["q", "code"])
         found = met.select("q", "distance", F.explode("members").alias("vec_id"))
         if best is not None:
