@@ -327,6 +327,64 @@ def test_probes_are_not_broadcast(spark, monkeypatch):
                     left = depth[above]
 
 
+def _least_apart(fine, k, every):
+    want = set()
+    for i, c in fine:
+        if i % every == 0:
+            others = sorted({(((c ^ d) & (2**64 - 1)).bit_count(), j) for j, d in fine})
+            want |= {(i, rank, j, apart) for rank, (apart, j) in enumerate([x for x in others[:k + 1] if x[1] != i][:k], 1)}
+    return want
+
+
+def test_top_k_over_cells_in_parts_and_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(multiindex, "CELL_CODES", 16)
+    monkeypatch.setattr(multiindex, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(multiindex, "SENT_AT_ONCE", 50)
+    pick = np.random.default_rng(9)
+    low = [int(x) for x in pick.integers(0, 2**30, 260)]
+    fine = {(i, (c << 34) - 2**63 if i % 3 else c) for i, c in enumerate(low)}  # half of the cells are crowded
+    fine |= {(i + 300, c) for i, c in sorted(fine)[:120:2]} | {(i + 600, c) for i, c in sorted(fine)[:120:4]}
+    fine |= {(7, low[3] ^ 1), (7, low[3] ^ 2)}  # one id, equally far
+    codes = spark.createDataFrame(sorted(fine), "vec_id long, code long")
+    got = {tuple(r) for r in multiindex.top_k(codes, F.expr("vec_id % 20 = 0"), k=6).collect()}
+    assert got == _least_apart(fine, 6, 20)
+
+
+def test_queries_travel_once_to_a_cell(spark, monkeypatch):
+    sent, probes = [], multiindex._probes
+
+    def count(*args):
+        sent.append(probes(*args).count())
+        return probes(*args)
+
+    monkeypatch.setattr(multiindex, "_probes", count)
+    pick = np.random.default_rng(8)
+    codes = spark.createDataFrame([(i, int(pick.integers(0, 2**48))) for i in range(300)], "vec_id long, code long")
+    assert multiindex.top_k(codes, F.expr("vec_id % 50 = 0"), k=7).count() == 42
+    assert len(sent) > 1 and max(sent) <= 6 * 4
+
+
+@pytest.mark.parametrize("at_once", [1, 40, 10_000])
+def test_search_of_a_cell(monkeypatch, at_once):
+    for name in ("MASKS_AT_ONCE", "PROBES_AT_ONCE", "MET_AT_ONCE"):
+        monkeypatch.setattr(multiindex, name, at_once)
+    pick = np.random.default_rng(3)
+    codes = np.unique(pick.integers(0, 2**7, 90, dtype=np.uint64) | pick.integers(0, 2, 90, dtype=np.uint64) << np.uint64(40))
+    codes = codes[np.argsort(codes & np.uint64(31), kind="stable")]
+    members = [sorted({int(x) for x in pick.integers(0, 60, 1 + i % 4)}) for i in range(len(codes))]  # ids of several codes
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in members])])
+    cell = multiindex._Cell(multiindex.pickle.dumps((codes, np.concatenate(members), ends)), (0, 5), 0, 4)
+    q, most = codes[::7], np.full(len(codes[::7]), 9, dtype=np.int32)
+    most[0] = 1
+    for radius in range(7):
+        got = set(zip(*(x.tolist() for x in cell.nearest(q, most, radius)), strict=True))
+        want = set()
+        for i, a in enumerate(q.tolist()):
+            met = {((a ^ b).bit_count(), x) for b, xs in zip(codes.tolist(), members, strict=True) for x in xs if ((a ^ b) & 31).bit_count() == radius}
+            want |= {(i, *x) for x in sorted(x for x in met if x[0] <= most[i])[:5]}
+        assert got == want
+
+
 def test_components_of_a_long_path(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (None, 3)]
     got = {tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
